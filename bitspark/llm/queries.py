@@ -5,6 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Base-32 digits of the SHA-1, five bits at a time, from 20-bit groups of the hexadecimal form.
+WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(generate_series(0, 31), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest
+  FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM d JOIN f USING (payload_digest)
+"""
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -13,6 +27,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm import warc
+    from bitspark.llm.scratch import fresh
+
+    path = fresh(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    whole = warc.assemble(warc.read_warc(spark, path))
+    size = F.coalesce("capture.payload_bytes", "original.payload_bytes")
+    digest = F.coalesce("original.payload_digest", "capture.payload_digest")
+    return whole.select(
+        "capture.page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("original.page_id").alias("refers_to")
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))[0].drop("source")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitspark.llm.sigtree import near_duplicates
 
@@ -21,9 +55,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_warc_transactions": op2_warc_transactions,
+        "op4_mixing": op4_mixing,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from bitspark.llm import mixing
+
+    return {"op2_warc_transactions": WARC_SQL, "op4_mixing": mixing.oracle()}
