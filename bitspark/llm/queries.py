@@ -27,6 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm.html_main import extract_main
+
+    return extract_main(_table(spark, sf_dir, "pages"))
+
+
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitspark.llm import warc
     from bitspark.llm.scratch import fresh
@@ -55,6 +61,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_host_suffix_array": op1_host_suffix_array,
         "op2_warc_transactions": op2_warc_transactions,
         "op4_mixing": op4_mixing,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
