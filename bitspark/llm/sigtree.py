@@ -6,10 +6,12 @@ different texts counts.
 
 1. One pass over the texts gives each document its set size and set key.  Equal sets share the key, so
    from here on copies are one node.  The same pass counts shingles in a sketch of fixed size.
-2. Two sets that link share one of their rarest ``n - ceil(t n) + 1`` shingles under *any* global order.
-   The order used is (sketch count, key): it is the same for all documents whatever the sketch's error,
-   so the filter loses nothing, and widespread passages come last.  Nodes that share such a shingle, with
-   sizes that allow a link, are tied to a pivot; classes of ties are the blocks.
+2. Two sets that link share ``1 + e`` of their rarest ``n - ceil(t n) + 1 + e`` shingles under *any* global
+   order.  The order used is (sketch count, key): it is the same for all documents whatever the sketch's
+   error, so the filter loses nothing, and widespread passages come last.  A shingle that over ``FEW``
+   nodes have so, with sizes that allow a link, ties them to a pivot.  Where fewer have it, each of the
+   few pairs counts it, and a pair is tied if it has counted ``1 + e``: a pair that links and falls short
+   has another such shingle in a larger run and is tied there.  Classes of ties are the blocks.
 3. Inside a block a signature tree over the sets' bitmaps (nodes hold the union of bitmaps and the size
    range) is traversed against itself.  A node pair is cut when its size ranges or its largest possible
    overlap rule out every link below it; surviving leaf pairs are compared exactly, unless both sides are
@@ -37,6 +39,18 @@ SLICE = 1 << 16
 BITMAP_BITS = 8192
 LEAF = 8
 HOT = 1 << 14
+FEW = 4
+SALT_SHIFT = 40  # a row's size carries its key's number of salts, less one, in the bits above
+
+
+def _spare(n, num: int, den: int):
+    """Shingles beyond the least prefix; grows with the size, and never asks for more common ones than a link has."""
+    return np.minimum(-(-num * n // den) - 1, n // 16)
+
+
+def _unsalt(grp: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Its own inverse: a key with its salt worked in, or the key again."""
+    return grp ^ np.where(salt > 0, mix(salt * U(0xD6E8FEB86659FD93)), U(0))
 
 
 def _need(total: np.ndarray | int, num: int, den: int):
@@ -107,7 +121,7 @@ def _rarest(width: int, bits: int, ranks, num: int, den: int):
                     if len(seen) < 1 << 18:  # copies in one task are sent once; beyond that they only cost rows
                         seen.add(fp)
                     r = rank[(s & U((1 << bits) - 1)).astype(np.int64)]
-                    keep = n - -(-num * n // den) + 1
+                    keep = n - -(-num * n // den) + 1 + int(_spare(n, num, den))
                     first = np.lexsort((s, r))[:keep]
                     keys.append(s[first])
                     counts.append(r[first])
@@ -116,45 +130,87 @@ def _rarest(width: int, bits: int, ranks, num: int, den: int):
                 if keys:
                     key, node, r = np.concatenate(keys), np.concatenate(nodes), np.concatenate(counts)
                     salts = np.maximum(1, np.ceil(2.0 ** (r / 8.0) / HOT)).astype(U)
-                    salt = mix(node.astype(U)) % salts
-                    grp = np.where(salts > 1, mix(key + salt * U(0xD6E8FEB86659FD93)), key)
-                    yield pd.DataFrame({"grp": grp.astype(np.int64), "key": key.astype(np.int64), "hot": salts > 1, "n": np.concatenate(sizes), "fp": node})
+                    grp = _unsalt(key, mix(node.astype(U)) % salts)
+                    packed = np.concatenate(sizes) + ((salts.astype(np.int64) - 1) << SALT_SHIFT)
+                    yield pd.DataFrame({"grp": grp.astype(np.int64), "n": packed, "fp": node})
 
     return run
 
 
 def _tie(num: int, den: int):
-    """Rows sorted by (grp, n, fp) -> ties (fp, pivot); a pivot holds until the size no longer allows a link with the row before."""
+    """Rows sorted by (grp, n, fp) -> ties ``a, b, need``.
+
+    A run is the rows of a group up to a size that no longer allows a link with the row before.  Runs of
+    over ``FEW`` nodes, and all of salted keys, give ties to their first node, with ``need`` 0; the others
+    give their pairs, with the count that a pair needs.  A salted run also gives its first node as a row
+    with ``need`` -1, the key as ``a`` and the node as ``b``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf in batches:
-            if last is not None:
-                pdf = pd.concat([last[0], pdf], ignore_index=True)
-            if not len(pdf):
+        held = None  # the last run so far: all its rows while it has FEW or fewer, else its first and last
+        large = False  # the held run has given ties already
+        for pdf in _then_none(batches):
+            rows = np.zeros((0, 3), np.int64) if pdf is None else pdf[["grp", "n", "fp"]].to_numpy(np.int64)
+            if held is not None:
+                rows = np.concatenate((held, rows))
+            if not len(rows):
                 continue
-            grp, n, fp = (pdf[c].to_numpy() for c in ("grp", "n", "fp"))
-            new = np.ones(len(pdf), bool)
-            new[1:] = (grp[1:] != grp[:-1]) | (den * n[:-1] < num * n[1:])
-            if last is not None:
-                new[0] = False
-            at = np.maximum.accumulate(np.where(new, np.arange(len(pdf)), 0))
-            pivot = fp[at]
-            if last is not None:
-                pivot[at == 0] = last[1]
-            tied = fp != pivot
-            if last is not None:
-                tied[0] = False
-            lead = new & pdf["hot"].to_numpy()
-            yield pd.DataFrame({
-                "a": np.concatenate((fp[tied], fp[lead])), "b": np.concatenate((pivot[tied], fp[lead])),
-                "key": np.concatenate((pdf["key"].to_numpy()[tied], pdf["key"].to_numpy()[lead])), "n": np.concatenate((n[tied], n[lead])), "lead": np.concatenate((np.zeros(tied.sum(), bool), np.ones(lead.sum(), bool))),
-            })
-            last = (pdf.iloc[-1:], pivot[-1])
+            if large:  # the first row leads the run and its size may be far below the last one's
+                lead, rows = rows[0], rows[1:]
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+            rows = rows[fresh]
+            size, salts = rows[:, 1] & ((1 << SALT_SHIFT) - 1), (rows[:, 1] >> SALT_SHIFT) + 1
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (den * size[:-1] < num * size[1:])
+            starts = np.flatnonzero(new)
+            lengths = np.diff(np.append(starts, len(rows)))
+            number = np.cumsum(new) - 1
+            hot = salts[starts] > 1
+            big = (lengths > FEW) | hot
+            if large:
+                big[0] = True
+            first = rows[starts, 2]
+            if large:
+                first[0] = lead[2]
+            open_ = len(starts) - 1 if pdf is not None else -1
+            if open_ >= 0 and not big[open_]:
+                done = number != open_
+            else:
+                done = np.ones(len(rows), bool)
+            pivot = first[number]
+            star = done & big[number] & (rows[:, 2] != pivot)
+            out = [(rows[star, 2], pivot[star], np.zeros(star.sum(), np.int64))]
+            small = np.flatnonzero(done & ~big[number])
+            for step in range(1, FEW):
+                other = small + step
+                ok = other < len(rows)
+                i, j = small[ok], other[ok]
+                same = number[i] == number[j]
+                i, j = i[same], j[same]
+                out.append((rows[i, 2], rows[j, 2], 1 + _spare(np.minimum(size[i], size[j]), num, den)))
+            leads = starts[hot & ~((np.arange(len(starts)) == 0) & large)]
+            node = rows[leads, 2]
+            key = _unsalt(rows[leads, 0].astype(U), mix(node.astype(U)) % salts[leads].astype(U)).astype(np.int64)
+            out.append((key, node, np.full(len(leads), -1)))
+            a, b, need = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pd.DataFrame({"a": np.where(need < 0, a, np.minimum(a, b)), "b": np.where(need < 0, b, np.maximum(a, b)), "need": need})
+            if pdf is not None:
+                last = rows[number == open_]
+                if big[open_]:
+                    held = np.stack((lead if large and open_ == 0 else last[0], last[-1]))
+                    large = True
+                else:
+                    held, large = last, False
 
     return run
 
 
+def _then_none(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
 # ---------------------------------------------------------------- pass 3: sets of tied nodes, trees
 
 
@@ -315,13 +371,13 @@ def near_duplicates(
     ranks = spark.sparkContext.broadcast(_ranks(measured.df.where("slice is not null"), sketch_bits).tobytes())
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rare = texts.where("text is not null").mapInPandas(_rarest(width, sketch_bits, ranks, num, den), "grp bigint, key bigint, hot boolean, n bigint, fp bigint")
-    tie, tie_schema = _tie(num, den), "a bigint, b bigint, key bigint, n bigint, lead boolean"
-    ties = Stored(rare.repartition(parts, "grp").sortWithinPartitions("grp", "n", "fp").mapInPandas(tie, tie_schema), "ties")
-    # pivots of the salted parts of one hot key meet here: one row a part and size class
-    leads = ties.df.where("lead").select(F.col("key").alias("grp"), "key", F.lit(False).alias("hot"), "n", F.col("a").alias("fp"))
-    across = leads.repartition(parts, "grp").sortWithinPartitions("grp", "n", "fp").mapInPandas(tie, tie_schema)
-    blocks = Stored(components(ties.df.where("not lead").select("a", "b").union(across.select("a", "b"))).select(F.col("node").alias("fp"), "root"), "blocks")
+    rare = texts.where("text is not null").mapInPandas(_rarest(width, sketch_bits, ranks, num, den), "grp bigint, n bigint, fp bigint")
+    ties = Stored(rare.repartition(parts, "grp").sortWithinPartitions("grp", "n", "fp").mapInPandas(_tie(num, den), "a bigint, b bigint, need bigint"), "ties")
+    few = ties.df.where("need > 0").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+    # the first nodes of the salted parts of one hot key meet at that of the least
+    leads = ties.df.where("need = -1").select(F.col("a").alias("key"), "b").distinct()
+    across = leads.join(leads.groupBy("key").agg(F.min("b").alias("a")), "key").select("a", "b")
+    blocks = Stored(components(few.union(ties.df.where("need = 0").select("a", "b")).union(across)).select(F.col("node").alias("fp"), "root"), "blocks")
     ties.drop()
 
     cell = 22
