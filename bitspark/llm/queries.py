@@ -53,6 +53,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))[0].drop("source")
 
 
+def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm.interpolation import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitspark.llm.spotsigs import fingerprints
 
@@ -76,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op1_host_suffix_array": op1_host_suffix_array,
         "op2_warc_transactions": op2_warc_transactions,
         "op4_mixing": op4_mixing,
+        "op6_deleted_interpolation": op6_deleted_interpolation,
         "op8_spotsigs": op8_spotsigs,
         "op9_robust_outliers": op9_robust_outliers,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
