@@ -19,7 +19,7 @@ from bitspark.llm.scratch import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_FACTOR = 1_103_515_245
-FAN = 1 << 15
+FAN = 1 << 12  # slots made from one row of a source's runs
 
 
 def word_count(text: Column) -> Column:
@@ -68,7 +68,8 @@ def draw_slots(sources: DataFrame, *, seed: int = 1, shard_slots: int = 4096) ->
     gives the draw of source counts.
     """
     runs = sources.where("slots > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, (slots - 1) div {FAN})")))
-    runs = runs.select("rank", "blocks", "slots", "first_slot", "all_slots", "run").repartition("rank", "run")
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.select("rank", "blocks", "slots", "first_slot", "all_slots", "run").repartition(parts, "rank", "run")
     slots = runs.withColumn("ordinal", F.explode(F.expr(f"sequence(run * {FAN}, least(slots, (run + 1) * {FAN}) - 1)")))
     epoch = F.expr("ordinal div blocks")
     index = swap_or_not(F.col("ordinal") % F.col("blocks"), F.col("blocks"), F.col("rank"), seed)
@@ -125,7 +126,8 @@ def mix(
     slots = draw_slots(sources, seed=seed, shard_slots=shard_slots)
     pieces = cut_blocks(placed, block)
     drawn = slots.groupBy("rank", "index").agg(F.count("*").alias("times"))
-    taken = pieces.join(drawn, ["rank", "index"]).groupBy(
+    # sizes are estimated before rows are exploded, so that without the hint this could become a broadcast
+    taken = pieces.join(drawn.hint("merge"), ["rank", "index"]).groupBy(
         F.col("rank").alias("k_rank"), F.col("doc_id").alias("k_id"), F.col("start").alias("k_start")
     ).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     same = F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_rank") == F.col("rank")) & (F.col("k_start") == F.col("start"))
