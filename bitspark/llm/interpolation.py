@@ -5,7 +5,8 @@ unigram and the uniform distribution over known words and one unknown.  The mixt
 often the context was seen (a bucket for each power of two) and are learned by expectation-maximisation:
 a deleted part of the training documents is predicted from the counts of the rest.
 
-Texts become chunks: sorted word keys and, for every token, an index into them.  A chunk asks for the
+Texts become chunks, those of the deleted part apart: sorted word keys and, for every token, the word's
+rank by its frequency in the chunk.  A chunk asks for the
 counts of its distinct unigrams and bigrams, cut into ranges of the key; a range adds up what the chunks
 hold and answers each in the order asked.  A frequent word costs one entry a chunk, never one an
 occurrence, and no table of counts is ever in one place.
@@ -27,7 +28,7 @@ from bitspark.llm.scratch import Stored
 from bitspark.llm.textkit import U, chunks, mix, words
 
 END, START = U(0x2545F4914F6CDD1C), U(0x5851F42D4C957F2C)
-CHUNKS = "chunk bigint, doc_ids array<bigint>, held array<boolean>, deleted array<boolean>, ends binary, keys binary, tokens binary, n bigint"
+CHUNKS = "chunk bigint, deleted boolean, doc_ids array<bigint>, held array<boolean>, lengths binary, keys binary, times binary, tokens binary, n bigint"
 ASKED = "part int, chunk bigint, keys binary, fit binary, cut binary"
 ANSWER = "part int, chunk bigint, fit binary, cut binary, n_fit bigint, n_cut bigint, v_fit bigint, v_all bigint"
 CELLS = "bucket int, q2 int, q1 int, n bigint, s2 double, s1 double"
@@ -35,11 +36,23 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Unsigned integers as compressed planes of their bytes: small numbers and sorted differences have empty high planes."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=2).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(dtype).ravel()
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U(0)))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, U), dtype=U)
 
 
 # ---------------------------------------------------------------- chunks
@@ -48,38 +61,42 @@ def _unpack(b: bytes, dtype) -> np.ndarray:
 def _tokenise(limit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         serial = TaskContext.get().partitionId() << 32
-        for pdf in batches:
-            ids, held, deleted = pdf["doc_id"].tolist(), pdf["held"].to_numpy(bool), pdf["deleted"].to_numpy(bool)
-            for first, raw in chunks(pdf["text"].tolist(), limit):
-                found, offsets = words(raw)
-                counts = np.diff(offsets)
-                doc = np.repeat(np.arange(len(raw)), counts)
-                tokens = np.full(len(found) + len(raw), END)
-                tokens[np.arange(len(found)) + doc] = found
-                keys, index = np.unique(tokens & ~U(1), return_inverse=True)
-                sl = slice(first, first + len(raw))
-                yield pd.DataFrame({
-                    "chunk": [serial], "doc_ids": [[None if x != x or x is None else int(x) for x in ids[sl]]], "held": [held[sl].tolist()], "deleted": [deleted[sl].tolist()],
-                    "ends": [_pack(np.cumsum(counts + 1).astype(np.int64))], "keys": [keys.tobytes()], "tokens": [_pack(index.astype(np.uint32))], "n": [len(tokens)],
-                })
-                serial += 1
+        for whole in batches:
+            for deleted, pdf in whole.groupby("deleted", sort=False):
+                ids, held = pdf["doc_id"].tolist(), pdf["held"].tolist()
+                for first, raw in chunks(pdf["text"].tolist(), limit):
+                    found, offsets = words(raw)
+                    counts = np.diff(offsets)
+                    tokens = np.full(len(found) + len(raw), END)
+                    tokens[np.arange(len(found)) + np.repeat(np.arange(len(raw)), counts)] = found
+                    keys, index, times = np.unique(tokens & ~U(1), return_inverse=True, return_counts=True)
+                    rank = np.empty(len(keys), np.uint32)
+                    rank[_by_frequency(times)] = np.arange(len(keys), dtype=np.uint32)
+                    sl = slice(first, first + len(raw))
+                    yield pd.DataFrame({
+                        "chunk": [serial], "deleted": [deleted], "doc_ids": [[None if x is None or x != x else int(x) for x in ids[sl]]], "held": [held[sl]],
+                        "lengths": [_pack((counts + 1).astype(np.uint32))], "keys": [_pack_sorted(keys)], "times": [_pack(times.astype(np.uint32))], "tokens": [_pack(rank[index])], "n": [len(tokens)],
+                    })
+                    serial += 1
 
     return run
 
 
+def _by_frequency(times: np.ndarray) -> np.ndarray:
+    return np.lexsort((np.arange(len(times)), -times.astype(np.int64)))
+
+
 class _Chunk:
     """A chunk's distinct n-grams: ``keys`` sorted, unigrams even and bigrams odd; ``uni``, ``ctx`` and ``bi`` index them for every token."""
 
     def __init__(self, row):
-        self.ids = row["doc_ids"]
-        held, deleted = np.asarray(row["held"], bool), np.asarray(row["deleted"], bool)
-        ends = _unpack(row["ends"], np.int64)
-        uni, tokens = np.frombuffer(row["keys"], U), _unpack(row["tokens"], np.uint32).astype(np.int64)
-        self.starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-        self.held, self.lengths = held, np.diff(np.concatenate(([0], ends)))
-        doc = np.repeat(np.arange(len(ends)), self.lengths)
-        self.cut = (deleted & ~held)[doc]
-        self.fit = ~(deleted | held)[doc]
+        self.ids, self.held = row["doc_ids"], np.asarray(row["held"], bool)
+        self.lengths = _unpack(row["lengths"], np.uint32).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        uni = _unpack_sorted(row["keys"])
+        tokens = _by_frequency(_unpack(row["times"], np.uint32))[_unpack(row["tokens"], np.uint32)]
+        held = np.repeat(self.held, self.lengths)
+        self.cut, self.fit = ~held & bool(row["deleted"]), ~held & (not row["deleted"])
         start = START & ~U(1)
         words_of = uni[tokens]
         before = np.empty_like(words_of)
@@ -117,7 +134,7 @@ def _ask(parts: int):
                 c = _Chunk(row)
                 fit, cut = c.counts(c.fit), c.counts(c.cut)
                 edge = np.searchsorted(_part(c.keys, parts), np.arange(parts + 1))
-                rows = [(p, row["chunk"], c.keys[a:b].tobytes(), _pack(fit[a:b]), _pack(cut[a:b])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+                rows = [(p, row["chunk"], _pack_sorted(c.keys[a:b]), _pack(fit[a:b]), _pack(cut[a:b])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
                 yield pd.DataFrame(rows, columns=["part", "chunk", "keys", "fit", "cut"])
 
     return run
@@ -125,11 +142,11 @@ def _ask(parts: int):
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """All requests of one range -> counts over all chunks, in each chunk's own order, and the range's totals."""
-    asked = [np.frombuffer(k, U) for k in pdf["keys"]]
+    asked = [_unpack_sorted(k) for k in pdf["keys"]]
     keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
     total = {n: np.bincount(inverse, np.concatenate([_unpack(b, np.uint32) for b in pdf[n]]), len(keys)).astype(np.int64) for n in ("fit", "cut")}
     edge = np.cumsum([0] + [len(a) for a in asked])
-    rows = [(p, c, *(_pack(total[n][inverse[a:b]].astype(np.int64)) for n in ("fit", "cut")), 0, 0, 0, 0) for p, c, a, b in zip(pdf["part"], pdf["chunk"], edge[:-1], edge[1:], strict=True)]
+    rows = [(p, c, *(_pack(total[n][inverse[a:b]].astype(np.uint64)) for n in ("fit", "cut")), 0, 0, 0, 0) for p, c, a, b in zip(pdf["part"], pdf["chunk"], edge[:-1], edge[1:], strict=True)]
     word = (keys & U(1) == 0) & (keys != START & ~U(1))
     fit, cut = total["fit"][word], total["cut"][word]
     rows.append((int(pdf["part"].iloc[0]), -1, None, None, int(fit.sum()), int(cut.sum()), int((fit > 0).sum()), int((fit + cut > 0).sum())))
@@ -138,7 +155,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _with_answers(left: pd.DataFrame, right: pd.DataFrame):
     right = right.sort_values("part")
-    join = lambda n: np.concatenate([_unpack(b, np.int64) for b in right[n]])
+    join = lambda n: np.concatenate([_unpack(b, U) for b in right[n]]).astype(np.int64)
     for _, row in left.iterrows():
         yield _Chunk(row), join("fit"), join("cut")
 
@@ -220,7 +237,7 @@ def _score(weights: np.ndarray, n_all: int, v_all: int):
 
 
 def score_texts(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: tuple[int, int] = (7, 2), deleted: int = 0, chunk_bytes: int = 1 << 22,
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: tuple[int, int] = (7, 2), deleted: int = 0, chunk_bytes: int = 1 << 23,
 ) -> DataFrame:
     """Score every text by a model of the training documents: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -245,7 +262,9 @@ def score_texts(
     answers = Stored(asked.repartition(parts, "part").groupBy("part").applyInPandas(_answer, ANSWER), "answers").df
     totals = answers.where("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_fit", "n_cut", "v_fit", "v_all")]).first()
     replies = answers.where("chunk >= 0").select("part", "chunk", "fit", "cut")
-    both = stored.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    cells = both.applyInPandas(_cells(totals["n_fit"]), CELLS).groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")])
+    teachers = stored.where("deleted")
+    taught = teachers.groupBy("chunk").cogroup(replies.join(teachers.select("chunk"), "chunk", "left_semi").groupBy("chunk"))
+    cells = taught.applyInPandas(_cells(totals["n_fit"]), CELLS).groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")])
     weights = learn_weights(cells.toPandas(), totals["v_fit"])
+    both = stored.groupBy("chunk").cogroup(replies.groupBy("chunk"))
     return both.applyInPandas(_score(weights, totals["n_fit"] + totals["n_cut"], totals["v_all"]), SCORES)
