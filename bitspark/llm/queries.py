@@ -47,18 +47,45 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitspark.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))[0].drop("source")
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence as it is read back from the shards."""
+    from bitspark.llm.scratch import fresh
+    from bitspark.llm.training_order import materialise, read_sequences
+
+    path = fresh(spark, "shards")
+    materialise(_table(spark, sf_dir, "documents"), path)
+    back = read_sequences(spark, path)
+    return back.select("doc_id", "part", "slot", F.length("tokens").cast("bigint").alias("n_tokens"), F.crc32("tokens").alias("crc"))
+
+
 def op6_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitspark.llm.interpolation import score_texts
 
     return score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/id`` of one tree."""
+    from bitspark.llm.licenses import scan
+
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string")).alias("path"), "text")
+    found = scan(files)
+    return found.select(F.substring_index("path", "/", -1).cast("bigint").alias("doc_id"), "*")
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitspark.llm.spotsigs import fingerprints
 
@@ -81,8 +108,11 @@ def queries() -> dict[str, Query]:
     return {
         "op1_host_suffix_array": op1_host_suffix_array,
         "op2_warc_transactions": op2_warc_transactions,
+        "op3_length_buckets": op3_length_buckets,
         "op4_mixing": op4_mixing,
+        "op5_training_order": op5_training_order,
         "op6_deleted_interpolation": op6_deleted_interpolation,
+        "op7_license_scan": op7_license_scan,
         "op8_spotsigs": op8_spotsigs,
         "op9_robust_outliers": op9_robust_outliers,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
