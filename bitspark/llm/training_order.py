@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitspark.llm.scratch import store
 from bitspark.llm.textkit import U, mix
 
 HEADER = ">qii"
@@ -62,11 +64,35 @@ def _records(bases, n: int, key: int, stride: int, shard_slots: int):
                     out.append(struct.pack(HEADER, doc, part, len(piece)) + piece.ljust(stride, b"\0"))
             slots = feistel(np.arange(number, number + len(out)), n, key) if out else np.zeros(0, np.int64)
             number += len(out)
-            yield pd.DataFrame({"shard": slots // shard_slots, "slot": slots, "record": out})
+            order = np.argsort(slots, kind="stable")
+            shards = slots[order] // shard_slots
+            cuts = np.flatnonzero(np.diff(shards)) + 1
+            rows = [(int(shards[r[0]]), slots[order[r]].tobytes(), zstandard.compress(b"".join(out[k] for k in order[r]), 3)) for r in np.split(np.arange(len(order)), cuts) if len(r)]
+            yield pd.DataFrame(rows, columns=["shard", "slots", "records"])
 
     return run
 
 
+def _unpacked(stride: int):
+    """Packets -> a row for each record."""
+    size = HEADER_SIZE + stride
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for shard, slots, records in zip(pdf["shard"], pdf["slots"], pdf["records"], strict=True):
+                at, data = np.frombuffer(slots, np.int64), zstandard.decompress(records)
+                yield pd.DataFrame({"shard": np.full(len(at), shard), "slot": at, "record": [data[k * size : (k + 1) * size] for k in range(len(at))]})
+
+    return run
+
+
+def _replayable(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a plain scan of files, which gives the same rows in the same partitions every time."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-*").split(" ")[0] for line in plan.splitlines() if line.strip()]
+    return all(n in ("Project", "Filter") or n.startswith("Relation") for n in nodes)
+
+
 def materialise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", key: int = 1, stride: int = 512, shard_slots: int = 1 << 14) -> int:
     """Write every document's sequences in training order below ``path``; returns their number.
 
@@ -74,22 +100,39 @@ def materialise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
     null id is the least 64-bit integer.  Repeated rows are sequences of their own.  Other columns are
     ignored, whatever their names; an empty table writes nothing.
 
-    Numbers are counted in each partition of ``docs`` from that partition's base, so ``docs`` must give
-    the same rows in the same partitions when it is computed again, as a scan of files does.
+    Records travel in compressed packets, one for each shard that a batch reaches.  Numbers are counted in
+    each partition from that partition's base; a table that isn't a plain scan of files could deal its
+    rows differently the second time, and is written to the shared folder first.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("raw"))
+    if not _replayable(rows):
+        rows = store(rows, "sequences")
     sizes = rows.select(F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / stride)).alias("k"), F.spark_partition_id().alias("p")).groupBy("p").agg(F.sum("k").alias("k"))
     bases, n = {}, 0
     for r in sizes.orderBy("p").collect():  # two numbers for each partition
         bases[r["p"]], n = n, n + r["k"]
     shards = -(-n // shard_slots)
-    made = rows.mapInPandas(_records(spark.sparkContext.broadcast(bases), n, key, stride, shard_slots), "shard bigint, slot bigint, record binary")
-    ordered = made.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "slot")
+    made = rows.mapInPandas(_records(spark.sparkContext.broadcast(bases), n, key, stride, shard_slots), "shard bigint, slots binary, records binary")
+    opened = made.repartition(max(1, shards), "shard").mapInPandas(_unpacked(stride), "shard bigint, slot bigint, record binary")
+    ordered = opened.sortWithinPartitions("shard", "slot")
     ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    _verify(spark, path, n, stride, shard_slots)
     return n
 
 
+def _verify(spark: SparkSession, path: str, n: int, stride: int, shard_slots: int) -> None:
+    """Raise unless every shard is one file of the length that its slots need; only names and lengths are read."""
+    if not n:
+        return
+    size = HEADER_SIZE + stride + 1
+    files = spark.read.format("binaryFile").load(path).select("shard", "length")
+    want = F.least(F.lit(shard_slots), F.lit(n) - F.col("shard") * shard_slots) * size
+    seen = files.agg(F.count("*").alias("files"), F.count_if(F.col("length") == want).alias("whole")).first()
+    if seen["files"] != seen["whole"] or seen["files"] != -(-n // shard_slots):
+        raise RuntimeError(f"shards below {path} are incomplete: the documents changed while they were read")
+
+
 def _read(stride: int, shard_slots: int, first: int, last: int):
     size = HEADER_SIZE + stride + 1
 
