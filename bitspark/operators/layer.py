@@ -22,10 +22,10 @@ def apply_layer(rows: DataFrame, dense: DataFrame, thresholds: DataFrame, code:
 
 
 def accuracy(decoded: DataFrame, label: str = "label", weight: str = "n", unlabelled: int = 0) -> DataFrame:
-    """``correct, total, accuracy``; ``unlabelled`` rows count in the total only."""
+    """``correct, total, accuracy``; ``unlabelled`` rows count in the total only.  Without rows the accuracy is null."""
     right = F.sum(F.when(F.col("decoded") == F.col(label), F.col(weight)).otherwise(0)).cast("bigint")
     total = (F.sum(weight) + unlabelled).cast("bigint")
-    return decoded.agg(F.coalesce(right, F.lit(0)).alias("correct"), F.coalesce(total, F.lit(unlabelled)).cast("bigint").alias("total")).withColumn("accuracy", F.col("correct") / F.col("total"))
+    return decoded.agg(F.coalesce(right, F.lit(0)).alias("correct"), F.coalesce(total, F.lit(unlabelled)).cast("bigint").alias("total")).withColumn("accuracy", F.try_divide(F.col("correct"), F.col("total")))
 
 
 def sparsity(weights: DataFrame, inputs: int = 512, outputs: int = 256) -> DataFrame:
