@@ -36,8 +36,8 @@ def code_bit(byte: Column | str, i: Column | int, kind: str = "full") -> Column:
 
 
 def _constant(kind: str) -> Column:
-    """All codewords as one constant array of rows."""
-    return F.array(*[F.array(*[F.lit(int(w)).cast("bigint") for w in row]) for row in code_table(kind)])
+    """All codewords as one constant array of rows; no word of a codeword is the least bigint, which has no literal."""
+    return F.expr(f"array({', '.join('array(' + ', '.join(f'{w}L' for w in row) + ')' for row in code_table(kind).tolist())})")
 
 
 def encode_byte(byte: Column | str, kind: str = "full") -> Column:

@@ -16,6 +16,10 @@ from bitspark.sources.bits import PERF, synthetic_rows
 from bitspark.sources.shared import stored
 
 
+# Fixed value: how performance records name a run, by lane width in words and bits of a sum.
+NAME = "bitslice-BitArray64x{lane}_u{bits}"
+
+
 def test_model() -> Model:
     """The fixed test filters as arrays; see ``model.test_filters``."""
     m = Model.empty()
@@ -68,7 +72,7 @@ def run_tests(spark: SparkSession, exponent: int, lanes: tuple[int, ...] = (1,),
             t3 = time.perf_counter_ns()
             rows.mapInPandas(_apply(model), "ones bigint").agg(F.sum("ones")).collect()
             t4 = time.perf_counter_ns()
-            name = "popcount" if bits is None else f"bitslice-BitArray64x{lane}_u{bits}"
+            name = "popcount" if bits is None else NAME.format(lane=lane, bits=bits)
             tests.append((name, chunk, n, t1 - began, t3 - t2, t4 - t3, t4 - began, _hash(unit), _hash(counts)))
     cores = spark.sparkContext.defaultParallelism
     from decimal import Decimal
@@ -80,7 +84,7 @@ def run_tests(spark: SparkSession, exponent: int, lanes: tuple[int, ...] = (1,),
 def perf_points(records: DataFrame) -> DataFrame:
     """``precision, x, y``: lane width in words against nanoseconds per example of both counts; other algorithms are left out."""
     test = records.select(F.explode("tests").alias("t")).select("t.*")
-    name = r"^bitslice-BitArray64x(\d+)_u(\d+)$"
+    name = "^" + NAME.format(lane=r"(\d+)", bits=r"(\d+)") + "$"
     shown = test.where(F.col("algorithm").rlike(name)).select(
         F.regexp_extract("algorithm", name, 2).cast("int").alias("precision"), F.regexp_extract("algorithm", name, 1).cast("int").alias("x"), ((F.col("exp_nanos") + F.col("unit_nanos")) / F.col("n_examples")).alias("y"),
     )
