@@ -22,16 +22,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = Stored(edges, "edges")
     for _ in range(max_rounds):
         both = now.df.union(now.df.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = Stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = both.join(low.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         mid = Stored(large, "large")
-        low = mid.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = mid.df.join(low, "u").select(F.explode(F.array(
+        low.drop()
+        low = Stored(mid.df.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = mid.df.join(low.df, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
         )).alias("e")).select("e.*").where("u <> v").distinct()
         after = Stored(small, "small")
         mid.drop()
+        low.drop()
         # every node has one edge, and no root has an edge of its own: stars only
         roots = after.df.select(F.col("v").alias("u")).distinct()
         deep = after.df.join(roots, "u", "left_semi").limit(1).count()

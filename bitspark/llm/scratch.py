@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +53,8 @@ class Stored:
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     return Stored(df, name).df
+
+
+def small(df: DataFrame, limit: int = 50_000) -> DataFrame:
+    """``df`` to be broadcast if it has ``limit`` rows or fewer, else as it is, to be joined by a shuffle.  For stored tables of narrow rows, whose count is cheap."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitspark.llm.components import components
-from bitspark.llm.scratch import Stored
+from bitspark.llm.scratch import Stored, small
 from bitspark.llm.textkit import U, chunks, mix, set_key, shingles, words
 
 SLICE = 1 << 16
@@ -64,6 +65,13 @@ def _need(total: np.ndarray | int, num: int, den: int):
 def _measure(width: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(1 << bits, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def flush() -> None:
+            if waiting:
+                sketch[:] += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
+                waiting.clear()
+
         for pdf in batches:
             ids, texts = pdf["doc_id"].array, pdf["text"].tolist()
             size, key = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -71,22 +79,34 @@ def _measure(width: int, bits: int):
                 found = list(shingles(*words(raw), width))
                 for i, s in enumerate(found, first):
                     size[i], key[i] = len(s), set_key(s)
-                cells = np.concatenate(found) & U((1 << bits) - 1)
-                np.add.at(sketch, cells.astype(np.int64), np.uint32(1))
+                waiting.append((np.concatenate(found) & U((1 << bits) - 1)).astype(np.int64))
+                if sum(map(len, waiting)) > 1 << 22:
+                    flush()
             yield pd.DataFrame({"doc_id": ids, "n": size, "fp": key, "slice": pd.array([pd.NA] * len(texts), "Int32"), "counts": None})
+        flush()
         for k in range(0, len(sketch), SLICE):
             part = sketch[k : k + SLICE]
             if part.any():
-                yield pd.DataFrame({"doc_id": pd.array([pd.NA], "Int64"), "n": 0, "fp": 0, "slice": pd.array([k // SLICE], "Int32"), "counts": [zlib.compress(part.tobytes(), 1)]})
+                yield pd.DataFrame({"doc_id": pd.array([pd.NA], "Int64"), "n": 0, "fp": 0, "slice": pd.array([k // SLICE], "Int32"), "counts": [_pack(part)]})
 
     return run
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts as compressed planes of their bytes: nearly all are below 256."""
+    return zstandard.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(len(counts), -1).T).tobytes(), 1)
+
+
+def _unpack(blob: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _merge_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: dict[int, np.ndarray] = {}
     for pdf in batches:
         for k, blob in zip(pdf["slice"], pdf["counts"], strict=True):
-            part = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
+            part = _unpack(blob, np.uint32).astype(np.uint64)
             total[k] = total[k] + part if k in total else part
     for k, part in total.items():
         ranks = np.minimum(255, np.floor(8 * np.log2(part + 1.0))).astype(np.uint8)
@@ -385,26 +405,32 @@ def near_duplicates(
     for row in blocks.df.select("fp").mapInPandas(_wanted(cell), "flags binary").toLocalIterator():
         flags |= np.frombuffer(zlib.decompress(row["flags"]), np.uint8)
     wanted = spark.sparkContext.broadcast(flags.tobytes())
-    sizes = blocks.df.groupBy("root").agg(F.count("*").alias("m"))
+    sizes = Stored(blocks.df.groupBy("root").agg(F.count("*").alias("m")), "sizes")
     placed = (
-        blocks.df.join(sizes, "root")
+        blocks.df.join(sizes.df, "root")
         .withColumn("parts", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
         .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("fp", "root", "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
     )
+    placed = Stored(placed, "placed")
     total = blocks.df.count()
     bins = max(parts, math.ceil(total / chunk))
     sets = texts.where("text is not null").mapInPandas(_sets(width, cell, wanted), "fp bigint, items binary")
-    tasks = placed.join(sets, "fp").withColumn("bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(bins)))
+    tasks = sets.join(small(placed.df), "fp").withColumn("bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(bins)))
     links = Stored(tasks.groupBy("bin").applyInPandas(_links(num, den), "a bigint, b bigint"), "links")
     blocks.drop()
+    sizes.drop()
     classes = components(links.df)
 
     named = rows.where("n > 0")
     least = named.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes.withColumnRenamed("node", "fp"), "fp", "left")
-    least = least.withColumn("root", F.coalesce("root", "fp"))
-    best = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = Stored(least.join(best, "root").select("fp", "component_id"), "classes")
+    least = Stored(least.withColumn("root", F.coalesce("root", "fp")), "least")
+    best = Stored(least.df.groupBy("root").agg(F.min("least").alias("component_id")), "best")
+    final = Stored(least.df.join(best.df, "root").select("fp", "component_id"), "classes")
+    links.drop()
+    placed.drop()
+    least.drop()
+    best.drop()
     out = named.join(final.df, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
