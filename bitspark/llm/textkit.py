@@ -13,6 +13,7 @@ import numpy as np
 
 U = np.uint64
 CHUNK_BYTES = 1 << 22
+SEGMENT_BYTES = 1 << 20
 _R = U(0x9E3779B97F4A7C15 | 5)
 
 with np.errstate(over="ignore"):
@@ -71,10 +72,18 @@ def words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SEP[data]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_VALUES[data] * up, out=total[1:])
-    keys = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
+    keys = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):  # a few words at a time: eight bytes of work space for each byte of them
+        low = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(ends, low + SEGMENT_BYTES, "right")))
+        part = data[low : ends[upto - 1]]
+        first, last = starts[at:upto] - low, ends[at:upto] - low
+        up, down = _power(len(part) + 1)
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(_VALUES[part] * up[:-1], out=total[1:])
+        keys[at:upto] = mix((total[last] - total[first]) * down[first] + (last - first).astype(U) * U(0xA24BAED4963EE407))
+        at = upto
     bounds = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=bounds[1:])
     return keys, np.searchsorted(starts, bounds)
