@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitspark.llm.scratch import Stored
+from bitspark.llm.scratch import Stored, small
 
 # Notices by which the licences ask to be named.
 TEMPLATES = {
@@ -92,9 +92,9 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", templates:
     vec, ref = Stored(weigh(heads, "file"), "vectors").df, Stored(weigh(shapes, "notice"), "templates").df
     norm = lambda t, who, name: t.groupBy(who).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
     dots = vec.join(ref.select("notice", "term", F.col("w").alias("v")), "term").groupBy("file", "notice").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = dots.join(norm(vec, "file", "a"), "file").join(norm(ref, "notice", "b"), "notice").join(names, "notice").select("file", "license", F.round(F.col("dot") / (F.col("a") * F.col("b")), 9).alias("score"))
-    best = cosine.groupBy("file").agg(F.max("score").alias("own_score")).join(cosine, "file").where("score = own_score").groupBy("file", "own_score").agg(F.min("license").alias("own_license")).where(F.col("own_score") >= threshold)
-    own = Stored(rows.select("file", "path", "mostly").join(best, "file", "left"), "own").df
+    cosine = dots.join(norm(vec, "file", "a").hint("merge"), "file").join(norm(ref, "notice", "b"), "notice").join(names, "notice").select("file", "license", F.round(F.col("dot") / (F.col("a") * F.col("b")), 9).alias("score"))
+    best = cosine.groupBy("file").agg(F.max("score").alias("own_score")).join(cosine.hint("merge"), "file").where("score = own_score").groupBy("file", "own_score").agg(F.min("license").alias("own_license")).where(F.col("own_score") >= threshold)
+    own = Stored(rows.select("file", "path", "mostly").join(best.hint("merge"), "file", "left"), "own").df
 
     slash = F.length("path") - F.length(F.substring_index("path", "/", -1))
     located = own.withColumn("dir", F.when(slash > 0, F.substring("path", F.lit(1), slash)).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
@@ -105,7 +105,7 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", templates:
     dirs = located.where("own_license is null and dir is not null").select("dir").distinct()
     above = dirs.withColumn("holder", F.explode(ancestors(F.col("dir"))))
     near = above.join(at_dir, "holder").groupBy("dir").agg(F.max(F.struct(F.length("holder").alias("depth"), "inherited_license", "inherited_from")).alias("n")).select("dir", "n.inherited_license", "n.inherited_from")
-    none = located.where("own_license is null").join(near, "dir", "left")
+    none = located.where("own_license is null").join(small(Stored(near, "near").df), "dir", "left")
     some = located.where("own_license is not null").withColumn("inherited_license", F.lit(None).cast("string")).withColumn("inherited_from", F.lit(None).cast("string"))
     cols = ["path", "own_license", "own_score", "inherited_license", "inherited_from"]
     return some.select(*cols).union(none.select(*cols)).withColumn("license", F.coalesce("own_license", "inherited_license"))
@@ -115,3 +115,40 @@ def ancestors(folder: Column) -> Column:
     """A directory (with a slash at its end, or empty) and all above it, the empty one last."""
     parts = F.split(folder, "/")
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+
+
+def oracle(files: str, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.4) -> str:
+    """The same scan as one SQL statement over ``files``, a query that gives unique ``doc_id``, ``path`` and ``text``; paths aren't null."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    shown = [(name, body) for name, bodies in sorted((TEMPLATES if templates is None else templates).items()) for body in bodies]
+    values = ", ".join(f"({quote(name)}, {k}, {quote(body)})" for k, (name, body) in enumerate(shown))
+    terms = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: len(t) > 0)"
+    said = f"list_filter(lines, lambda x: regexp_matches(x, {quote(CUES)}))"
+    return f"""
+WITH shown AS (SELECT * FROM (VALUES {values}) AS v(license, notice, body)),
+src AS ({files}),
+l AS (SELECT doc_id, path, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\\S')) AS lines, regexp_matches(coalesce(text, ''), {quote(CUES)}) AS cued FROM src),
+rows AS (SELECT doc_id, path, CASE WHEN cued THEN array_to_string({said}, ' ') END AS header, cued AND len({said}) * 2 >= len(lines) AS mostly FROM l),
+heads AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({terms('header')}) AS term FROM rows WHERE header IS NOT NULL) GROUP BY ALL),
+shapes AS (SELECT notice, term, count(*) AS tf FROM (SELECT notice, unnest({terms('body')}) AS term FROM shown) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT term FROM heads UNION ALL SELECT term FROM shapes) GROUP BY term),
+total AS (SELECT (SELECT count(DISTINCT doc_id) FROM heads) + (SELECT count(*) FROM shown) AS n),
+idf AS (SELECT term, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM df, total),
+vec AS (SELECT doc_id, term, tf * idf AS w FROM heads JOIN idf USING (term)),
+ref AS (SELECT notice, term, tf * idf AS v FROM shapes JOIN idf USING (term)),
+a AS (SELECT doc_id, sqrt(sum(w * w)) AS a FROM vec GROUP BY doc_id), b AS (SELECT notice, sqrt(sum(v * v)) AS b FROM ref GROUP BY notice),
+cosine AS (
+  SELECT doc_id, license, round(dot / (a * b), 9) AS score FROM (SELECT doc_id, notice, sum(w * v) AS dot FROM vec JOIN ref USING (term) GROUP BY ALL)
+  JOIN a USING (doc_id) JOIN b USING (notice) JOIN shown USING (notice)),
+best AS (SELECT doc_id, license AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM cosine) WHERE r = 1 AND score >= {threshold}),
+own AS (SELECT doc_id, path, mostly, own_license, own_score, regexp_replace(path, '[^/]*$', '') AS dir FROM rows LEFT JOIN best USING (doc_id)),
+held AS (
+  SELECT dir AS holder, own_license AS inherited_license, path AS inherited_from FROM (
+    SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license, path) AS r FROM own WHERE own_license IS NOT NULL AND (regexp_matches(path, {quote(NAMES)}) OR mostly)) WHERE r = 1),
+above AS (SELECT dir, unnest(list_transform(generate_series(0, len(string_split(dir, '/')) - 1), lambda k: CASE WHEN k = 0 THEN '' ELSE array_to_string(string_split(dir, '/')[1:k], '/') || '/' END)) AS holder
+  FROM (SELECT DISTINCT dir FROM own)),
+near AS (SELECT dir, inherited_license, inherited_from FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY len(holder) DESC) AS r FROM above JOIN held USING (holder)) WHERE r = 1)
+SELECT doc_id, path, own_license, own_score, CASE WHEN own_license IS NULL THEN inherited_license END AS inherited_license, CASE WHEN own_license IS NULL THEN inherited_from END AS inherited_from,
+  coalesce(own_license, inherited_license) AS license
+FROM own LEFT JOIN near USING (dir)
+"""
