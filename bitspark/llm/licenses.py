@@ -88,7 +88,7 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", templates:
     df = heads.select("term").union(shapes.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     total = heads.select("file").distinct().count() + shown.count()
     idf = df.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weigh = lambda t, who: t.join(idf, "term").select(who, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weigh = lambda t, who: t.join(idf.hint("merge"), "term").select(who, "term", (F.col("tf") * F.col("idf")).alias("w"))
     vec, ref = Stored(weigh(heads, "file"), "vectors").df, Stored(weigh(shapes, "notice"), "templates").df
     norm = lambda t, who, name: t.groupBy(who).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
     dots = vec.join(ref.select("notice", "term", F.col("w").alias("v")), "term").groupBy("file", "notice").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
