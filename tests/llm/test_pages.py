@@ -19,7 +19,8 @@ def page(body: str) -> str:
 
 def text_of(html: str) -> str:
     found = html_main.blocks(html)
-    return "\n\n".join(t for k, t in found if k == html_main.ARTICLE)
+    best = html_main.ARTICLE if any(k == html_main.ARTICLE for k, _ in found) else html_main.WRAPPED
+    return "\n\n".join(t for k, t in found if k == best)
 
 
 @pytest.mark.parametrize(("body", "want"), [
@@ -35,6 +36,9 @@ def text_of(html: str) -> str:
     ("<article><p><span class=share>share me</span> kept</p></article>", "kept"),
     ("<article><p>a <span class=ad>buy <span>more</span> now</span> b</p><p>c</p></article>", "a\n\nb\n\nc"),
     ("<article><p>a<span class=ad>buy<p>b</article>", "a\n\nb"),
+    ("<article><p>a</p><div class='sideBar'>s</div><div id=side-bar>t</div><div class='userComments'>u</div><p class='lead important'>b</p></article>", "a\n\nb"),
+    ("<div class='page with-sidebar'><article><p>whole</p><div class=ad>x</div></article></div>", "whole"),
+    ("<div class='related'><article>other</article></div><article>own</article>", "own"),
     ("<article><ul><li>x<li>y<p>z</ul>tail<hr>end</article>", "x\n\ny\n\nz\n\ntail\n\nend"),
 ])
 def test_article_blocks(body, want):
