@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitspark.llm.scratch import Stored
+from bitspark.llm.scratch import Stored, small
 
 FEATURES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
 #: Least standard deviation of each feature: rates that are zero in most clean texts have no spread of their own.
@@ -133,9 +133,9 @@ def fit(vectors: DataFrame, *, h: float = 0.75, steps: int = 4) -> Stored:
     )
     now = Stored(_cholesky(start, 1.0), "mcd")
     for _ in range(steps):
-        near = vectors.join(now.df, "key").withColumn("d", _distance(x))
+        near = vectors.join(small(now.df), "key").withColumn("d", _distance(x))
         cut = Stored(near.groupBy("key").agg(F.percentile_approx("d", h, 1000).alias("cut")), "cut")
-        kept = near.join(cut.df, "key").where("d <= cut")
+        kept = near.join(small(cut.df), "key").where("d <= cut")
         means = kept.groupBy("key", "n").agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in PAIRS])
         after = Stored(_cholesky(means, consistency(h)), "mcd")
         cut.drop()
@@ -177,6 +177,7 @@ def estimates(counted: DataFrame, *, min_group: int, h: float, steps: int) -> Da
 
 def measure(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with ``distance`` from the finest of their ``levels`` that has an estimate, null without any."""
+    groups = small(groups)
     for k, name in enumerate(("fine", "lang", "all")):
         named = groups.select(F.col("key").alias(f"{name}_key"), *[F.col(c).alias(f"{name}_{c}") for c in groups.columns if c not in ("key", "n")])
         rows = rows.withColumn("at", F.get("levels", F.lit(k))).join(named, F.col("at") == F.col(f"{name}_key"), "left").drop("at")
@@ -187,15 +188,14 @@ def measure(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose documents are kept, with their columns; see ``judge``.
 
-    The estimates are fitted once over all rows; each row is then judged by its own text, so that rows
-    with equal or missing ids get their own verdicts.
+    Every row is written once with its counts to the shared folder, so that each has its own verdict,
+    whatever its id, and no text is counted twice.
     """
     o = {"lang": "lang", "source": "source", "text": "text", "cutoff": 25.0, "min_group": 50, "h": 0.75, "steps": 4} | options
     own = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(
         "__row", level_keys(F.col(f"`{o['lang']}`"), F.col(f"`{o['source']}`")).alias("levels"), statistics(F.col(f"`{o['text']}`")).alias("s")
     )
-    counted = own.select("__row", "levels", "s.*").withColumn("base_failed", base_failed()).select("*", *features())
-    stored = Stored(counted.drop("__row"), "stats").df
+    counted = own.select("__row", "levels", "s.*").withColumn("base_failed", base_failed()).where("not base_failed").select("*", *features())
+    stored = Stored(counted, "counted", "zstd").df
     groups = estimates(stored, min_group=o["min_group"], h=o["h"], steps=o["steps"])
-    measured = measure(counted.where("not base_failed"), groups)
-    return measured.where(F.coalesce("distance", F.lit(0.0)) <= o["cutoff"]).select("__row.*")
+    return measure(stored, groups).where(F.coalesce("distance", F.lit(0.0)) <= o["cutoff"]).select("__row.*")

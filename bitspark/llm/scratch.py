@@ -37,13 +37,15 @@ def cleanup(spark: SparkSession) -> None:
 
 
 class Stored:
-    """A table written as Parquet, so that later steps reread it and lost executors cost no lineage."""
+    """A table written as Parquet, so that later steps reread it and lost executors cost no lineage.
 
-    def __init__(self, df: DataFrame, name: str, partition_by: list[str] | None = None):
+    ``codec`` is for texts worth a slower one; its native buffers add up over many small tasks.
+    """
+
+    def __init__(self, df: DataFrame, name: str, codec: str = "snappy"):
         self.spark = df.sparkSession
         self.path = fresh(self.spark, name)
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path)
+        df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
