@@ -55,20 +55,22 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 def _records(bases, n: int, key: int, stride: int, shard_slots: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = int(bases.value.get(TaskContext.get().partitionId(), 0))
-        for pdf in batches:
-            out: list[bytes] = []
-            for doc, raw in zip(pdf["doc_id"], pdf["raw"], strict=True):
-                doc = NO_ID if doc is None or doc != doc else int(doc)
-                for part in range(max(1, -(-len(raw) // stride))):
-                    piece = raw[part * stride : (part + 1) * stride]
-                    out.append(struct.pack(HEADER, doc, part, len(piece)) + piece.ljust(stride, b"\0"))
-            slots = feistel(np.arange(number, number + len(out)), n, key) if out else np.zeros(0, np.int64)
-            number += len(out)
-            order = np.argsort(slots, kind="stable")
-            shards = slots[order] // shard_slots
-            cuts = np.flatnonzero(np.diff(shards)) + 1
-            rows = [(int(shards[r[0]]), slots[order[r]].tobytes(), zstandard.compress(b"".join(out[k] for k in order[r]), 3)) for r in np.split(np.arange(len(order)), cuts) if len(r)]
-            yield pd.DataFrame(rows, columns=["shard", "slots", "records"])
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                pdf = whole.iloc[at : at + 2048]
+                out: list[bytes] = []
+                for doc, raw in zip(pdf["doc_id"], pdf["raw"], strict=True):
+                    doc = NO_ID if doc is None or doc != doc else int(doc)
+                    for part in range(max(1, -(-len(raw) // stride))):
+                        piece = raw[part * stride : (part + 1) * stride]
+                        out.append(struct.pack(HEADER, doc, part, len(piece)) + piece.ljust(stride, b"\0"))
+                slots = feistel(np.arange(number, number + len(out)), n, key) if out else np.zeros(0, np.int64)
+                number += len(out)
+                order = np.argsort(slots, kind="stable")
+                shards = slots[order] // shard_slots
+                cuts = np.flatnonzero(np.diff(shards)) + 1
+                rows = [(int(shards[r[0]]), slots[order[r]].tobytes(), zstandard.compress(b"".join(out[k] for k in order[r]), 3)) for r in np.split(np.arange(len(order)), cuts) if len(r)]
+                yield pd.DataFrame(rows, columns=["shard", "slots", "records"])
 
     return run
 
