@@ -15,7 +15,11 @@ different texts counts.
 3. Inside a block a signature tree over the sets' bitmaps (nodes hold the union of bitmaps and the size
    range) is traversed against itself.  A node pair is cut when its size ranges or its largest possible
    overlap rule out every link below it; surviving leaf pairs are compared exactly, unless both sides are
-   connected already.  A block over ``chunk`` nodes is dealt as pairs of chunks, each to its own task.
+   connected already.
+4. A block over ``chunk`` nodes is compared inside chunks of that size first.  One node of each class so
+   found stands for it in a comparison of the classes.  Mostly one class is left; only where there are
+   several, their nodes are compared across classes, never inside one, as pairs of chunks.  A class that
+   holds nearly all of a block thus costs time in proportion to its size.
 
 Shingles on hot keys are salted by the sketch's count, so no task gathers a key of unbounded frequency.
 """
@@ -319,8 +323,12 @@ class SignatureTree:
         return a[keep], b[keep]
 
 
-def linked_classes(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each sorted distinct set the smallest index of its class of linked sets."""
+def linked_classes(sets: list[np.ndarray], num: int, den: int, seeds: np.ndarray | None = None, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each sorted distinct set the smallest index of its class of linked sets.
+
+    Sets with equal ``seeds`` are known to be connected.  With two kinds of ``sides``, only pairs of sets
+    on different sides are compared.
+    """
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -329,9 +337,14 @@ def linked_classes(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
             i = parent[i]
         return i
 
+    if seeds is not None:
+        first: dict[int, int] = {}
+        for i, seed in enumerate(seeds.tolist()):
+            parent[i] = first.setdefault(seed, i)
+    across = sides is not None and len(np.unique(sides)) > 1
     if len(sets) > 1:
         for i, others in SignatureTree(sets).pairs(num, den):
-            for j in others.tolist():
+            for j in (others[sides[others] != sides[i]] if across else others).tolist():
                 x, y = find(i), find(j)
                 if x != y:
                     s, t = sets[i], sets[j]
@@ -345,14 +358,13 @@ def linked_classes(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 def _links(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, block in pdf.groupby(["root", "i", "j"], sort=False):
+        for _, block in pdf.groupby("task", sort=False):
             block = block.drop_duplicates("fp")
             # similar sets have a similar least element, so that sorting by it puts them under one node
             sets = [np.frombuffer(x, U) for x in block["items"]]
-            least = np.array([mix(s).min() for s in sets])
-            order = np.lexsort((least, block["chunk"].to_numpy()))
+            order = np.argsort([mix(s).min() for s in sets], kind="stable")
             sets, fps = [sets[k] for k in order], block["fp"].to_numpy()[order]
-            root = linked_classes(sets, num, den)
+            root = linked_classes(sets, num, den, block["seed"].to_numpy()[order], block["side"].to_numpy()[order])
             hit = root != np.arange(len(root))
             out.append(pd.DataFrame({"a": fps[hit], "b": fps[root[hit]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -360,6 +372,57 @@ def _links(num: int, den: int):
     return run
 
 
+def _compare(tasks: DataFrame, bins: int, num: int, den: int, name: str) -> Stored:
+    """Links ``a, b`` among the nodes ``(task, side, seed, fp, items)`` of each task."""
+    dealt = tasks.select("task", "side", "seed", "fp", "items").withColumn("bin", F.pmod(F.xxhash64("task"), F.lit(bins)))
+    return Stored(dealt.groupBy("bin").applyInPandas(_links(num, den), "a bigint, b bigint"), name)
+
+
+def _block_links(nodes: DataFrame, parts: int, chunk: int, num: int, den: int) -> DataFrame:
+    """Links that connect all linked nodes of each block; ``nodes(fp, items, root, m)`` with the block's size ``m``."""
+    bins = lambda n: max(parts, math.ceil(n / chunk))
+    cut = lambda size, by: F.pmod(F.xxhash64(by), F.ceil(F.col(size) / F.lit(chunk)).cast("int")).cast("int")
+    total = nodes.count()
+    inner = nodes.withColumn("side", F.lit(0)).withColumn("seed", F.col("fp")).withColumn("task", F.concat_ws("|", "root", cut("m", "fp")))
+    links = _compare(inner, bins(total), num, den, "links").df
+    large = nodes.where(F.col("m") > chunk)
+    if not large.limit(1).count():
+        return links
+
+    def classed(found: DataFrame) -> DataFrame:
+        """Nodes of large blocks with their class so far."""
+        known = Stored(components(found).select(F.col("node").alias("fp"), F.col("root").alias("seed")), "known")
+        return Stored(large.select("fp", "root", "m").distinct().join(known.df, "fp", "left").withColumn("seed", F.coalesce("seed", "fp")), "classed").df
+
+    def paired(placed: DataFrame, keep) -> DataFrame:
+        """``placed(fp, root, seed, side)`` -> a task for each pair of a block's sides that ``keep`` allows."""
+        sides = Stored(placed.select("root", "side").distinct(), "sides").df
+        other = sides.select("root", F.col("side").alias("side2"))
+        pairs = sides.join(other, "root").where((F.col("side") <= F.col("side2")) & keep)
+        both = pairs.select("root", F.explode(F.array_distinct(F.array("side", "side2"))).alias("side"), F.concat_ws("|", "root", "side", "side2").alias("task"))
+        return placed.join(both, ["root", "side"]).join(large.select("fp", "items"), "fp")
+
+    first = classed(links)
+    reps = first.where("fp = seed")  # a class is named by one of its nodes
+    sizes = Stored(reps.groupBy("root").agg(F.count("*").alias("k")), "reps").df
+    placed = reps.join(sizes, "root").withColumn("side", cut("k", "fp").cast("string"))
+    more = _compare(paired(placed, F.lit(True)), bins(total), num, den, "more").df
+    links = links.union(more)
+    now = classed(links)
+    counts = Stored(now.groupBy("root", "seed").agg(F.count("*").alias("c")), "counts").df
+    open_ = counts.groupBy("root").agg(F.count("*").alias("k"), F.max("c").alias("most"), F.sum(F.when(F.col("c") <= chunk, F.col("c")).otherwise(0)).alias("rest")).where("k > 1 and most > 1")
+    open_ = Stored(open_.select("root", "rest"), "open").df
+    if not open_.limit(1).count():
+        return links
+    big = F.concat_ws(":", F.lit("big"), "seed", cut("c", "fp"))
+    small_ = F.concat_ws(":", F.lit("few"), cut("rest", "seed"))
+    placed = now.join(open_, "root").join(counts, ["root", "seed"]).withColumn("side", F.when(F.col("c") > chunk, big).otherwise(small_))
+    name = lambda c: F.substring_index(c, ":", 2)
+    apart = ~(F.col("side").startswith("big") & (name(F.col("side")) == name(F.col("side2"))))
+    last = _compare(paired(placed, apart), bins(total), num, den, "last").df
+    return links.union(last)
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -406,30 +469,20 @@ def near_duplicates(
         flags |= np.frombuffer(zlib.decompress(row["flags"]), np.uint8)
     wanted = spark.sparkContext.broadcast(flags.tobytes())
     sizes = Stored(blocks.df.groupBy("root").agg(F.count("*").alias("m")), "sizes")
-    placed = (
-        blocks.df.join(sizes.df, "root")
-        .withColumn("parts", F.ceil(F.col("m") / F.lit(chunk)).cast("int"))
-        .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("fp", "root", "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
-    )
-    placed = Stored(placed, "placed")
-    total = blocks.df.count()
-    bins = max(parts, math.ceil(total / chunk))
+    placed = Stored(blocks.df.join(sizes.df, "root").select("fp", "root", "m"), "placed")
     sets = texts.where("text is not null").mapInPandas(_sets(width, cell, wanted), "fp bigint, items binary")
-    tasks = sets.join(small(placed.df), "fp").withColumn("bin", F.pmod(F.xxhash64("root", "i", "j"), F.lit(bins)))
-    links = Stored(tasks.groupBy("bin").applyInPandas(_links(num, den), "a bigint, b bigint"), "links")
+    nodes = Stored(sets.join(small(placed.df), "fp"), "sets")
     blocks.drop()
     sizes.drop()
-    classes = components(links.df)
+    placed.drop()
+    classes = components(_block_links(nodes.df, parts, chunk, num, den))
+    nodes.drop()
 
     named = rows.where("n > 0")
     least = named.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes.withColumnRenamed("node", "fp"), "fp", "left")
     least = Stored(least.withColumn("root", F.coalesce("root", "fp")), "least")
     best = Stored(least.df.groupBy("root").agg(F.min("least").alias("component_id")), "best")
     final = Stored(least.df.join(best.df, "root").select("fp", "component_id"), "classes")
-    links.drop()
-    placed.drop()
     least.drop()
     best.drop()
     out = named.join(final.df, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -134,6 +134,28 @@ def test_signature_tree_equals_all_pairs(seed):
     assert sigtree.linked_classes(sets, 3, 4).tolist() == [find(i) for i in range(len(sets))]
 
 
+def test_large_blocks_lose_no_link(spark):
+    """One block with classes larger and smaller than a chunk, chains over them and lone sets: rounds by class give all classes."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (70, 45, 6, 3):
+        core = rng.integers(0, 2**60, 80, np.uint64)
+        sets += [np.unique(np.concatenate((core[rng.random(80) > 0.04], rng.integers(0, 2**60, 3, np.uint64)))) for _ in range(size)]
+    chain = np.sort(rng.integers(0, 2**60, 140, np.uint64))
+    sets += [np.sort(chain[3 * k : 3 * k + 50]) for k in range(28)]
+    sets += [np.unique(rng.integers(0, 2**60, 60, np.uint64)) for _ in range(20)]
+    fps = rng.permutation(len(sets)) + 1000
+    want = sigtree.linked_classes(sets, 3, 4)
+    rows = [(int(f), s.tobytes(), 7, len(sets)) for f, s in zip(fps, sets, strict=True)] + [(1, sets[0].tobytes(), 8, 2), (2, sets[0].tobytes(), 8, 2)]
+    nodes = spark.createDataFrame(rows + rows[:5], "fp bigint, items binary, root bigint, m bigint")
+    got = {r.node: r.root for r in sigtree.components(sigtree._block_links(nodes, 4, 16, 3, 4)).collect()}
+    assert got[1] == got[2] == 1
+    classes = collections.defaultdict(set)
+    for f, w in zip(fps.tolist(), want.tolist(), strict=True):
+        classes[w].add(f)
+    assert all({got.get(f, f) for f in group} == {min(group)} for group in classes.values()) and len(classes) >= 24
+
+
 def test_runs_split_over_batches_give_the_same_ties():
     import pandas as pd
 
