@@ -18,6 +18,7 @@ from bitspark.llm.permute import PRIME, swap_or_not
 from bitspark.llm.scratch import store
 
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = r"[\x20\x09-\x0D]"
 CELL_FACTOR = 1_103_515_245
 FAN = 1 << 12  # slots made from one row of a source's runs
 
@@ -79,16 +80,16 @@ def draw_slots(sources: DataFrame, *, seed: int = 1, shard_slots: int = 4096) ->
     )
 
 
-def word_offsets(docs: DataFrame) -> DataFrame:
+def word_offsets(docs: DataFrame, ties: list[str] = []) -> DataFrame:  # noqa: B006
     """``docs(rank, doc_id, size)`` -> with ``start``: where the document begins in its source's stream.
 
-    Documents are ordered by (cell, id); the square root of the row count is the number of cells, so that
+    Documents are ordered by (cell, id), equal ids by size and ``ties``; the square root of the row count is the number of cells, so that
     neither a cell of a source nor the list of a source's cells grows in proportion to the table.
     """
     n = docs.select(F.ceil(F.sqrt(F.greatest(F.count("*"), F.lit(1)))).cast("bigint").alias("cells"))
     cell = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(PRIME)) * F.lit(CELL_FACTOR).cast("bigint") % F.lit(PRIME) % F.col("cells")
     docs = docs.withColumn("cells", F.lit(n.first()["cells"])).withColumn("cell", cell)
-    within = W.partitionBy("rank", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("rank", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "size", *ties).rowsBetween(W.unboundedPreceding, -1)
     cells = docs.groupBy("rank", "cell").agg(F.sum("size").alias("words"))
     across = W.partitionBy("rank").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("rank", "cell", F.coalesce(F.sum("words").over(across), F.lit(0)).alias("base"))
@@ -96,12 +97,25 @@ def word_offsets(docs: DataFrame) -> DataFrame:
     return docs.join(cells, ["rank", "cell"]).withColumn("start", (F.col("base") + F.col("inner")).cast("bigint")).drop("cells", "cell", "inner", "base")
 
 
-def cut_blocks(docs: DataFrame, block: int) -> DataFrame:
+def cut_blocks(docs: DataFrame, block: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """``(rank, doc_id, start, size)`` -> a row for each block that a document reaches into: ``index, skip, words``, of the document's own words."""
     reach = docs.where("size > 0").withColumn("index", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     lo = F.greatest(F.col("start"), F.col("index") * block)
     hi = F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
-    return reach.select("rank", "doc_id", "start", "index", (lo - F.col("start")).alias("skip"), (hi - lo).alias("words"))
+    return reach.select("rank", "doc_id", *keys, "start", "index", (lo - F.col("start")).alias("skip"), (hi - lo).alias("words"))
+
+
+def _planned(
+    docs: DataFrame, *, doc_id: str, text: str, source: str, weights: tuple[int, ...], share: float, most: int, block: int, seed: int, shard_slots: int, key: Column | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(sources, placed, slots, pieces)`` of a mix; ``key``, if given, goes with each document into ``placed`` and ``pieces``."""
+    keys = [] if key is None else ["key"]
+    own = [] if key is None else [key.alias("key")]
+    sized = store(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), *own), "sized")
+    sources = store(plan_sources(sized, weights=weights, share=share, most=most, block=block), "sources")
+    ranked = sized.join(sources.select("source", "rank"), sized["source"].eqNullSafe(sources["source"])).select(sized["doc_id"], "rank", "size", *keys)
+    placed = store(word_offsets(ranked, keys), "placed")
+    return sources, placed, draw_slots(sources, seed=seed, shard_slots=shard_slots), cut_blocks(placed, block, keys)
 
 
 def mix(
@@ -119,12 +133,7 @@ def mix(
     cell.  No document is taken more than ``most`` times.  Other columns are ignored, whatever their
     names; an empty table gives empty results.  Equal inputs, seeds and parameters give equal results.
     """
-    sized = store(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size")), "sized")
-    sources = store(plan_sources(sized, weights=weights, share=share, most=most, block=block), "sources")
-    ranked = sized.join(sources.select("source", "rank"), sized["source"].eqNullSafe(sources["source"])).select(sized["doc_id"], "rank", "size")
-    placed = store(word_offsets(ranked), "placed")
-    slots = draw_slots(sources, seed=seed, shard_slots=shard_slots)
-    pieces = cut_blocks(placed, block)
+    sources, placed, slots, pieces = _planned(docs, doc_id=doc_id, text=text, source=source, weights=weights, share=share, most=most, block=block, seed=seed, shard_slots=shard_slots)
     drawn = slots.groupBy("rank", "index").agg(F.count("*").alias("times"))
     # sizes are estimated before rows are exploded, so that without the hint this could become a broadcast
     taken = pieces.join(drawn.hint("merge"), ["rank", "index"]).groupBy(
@@ -137,6 +146,44 @@ def mix(
     return table, slots, pieces
 
 
+def _drawn_text(text: Column, parts: Column) -> Column:
+    """The words of ``text`` that ``parts``, an ordered array of (skip, words), name, with the white space between them; a blank line stands for a gap."""
+    tokens = F.regexp_extract_all(text, F.lit(rf"{BLANK}*{WORD}"), F.lit(0))
+    bare = lambda x: F.regexp_replace(x, f"^{BLANK}+", "")
+
+    def join(t: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            own, before = F.array_join(F.slice(t, p["skip"].cast("int") + 1, p["words"].cast("int")), ""), F.get(parts, i - 1)
+            return F.when(i == 0, F.when(p["skip"] == 0, own).otherwise(bare(own))).when(before["skip"] + before["words"] == p["skip"], own).otherwise(F.concat(F.lit("\n\n"), bare(own)))
+
+        return F.array_join(F.transform(parts, one), "")
+
+    return F.get(F.transform(F.array(tokens), join), F.lit(0))
+
+
+def mixed_documents(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = 128, seed: int = 1, shard_slots: int = 4096,
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each epoch of its source that takes words of a document.
+
+    The text is made of the drawn blocks' words, slots joined with pieces, so that the words of a source are
+    those that ``mix`` counts as ``taken``; ``chars``, if there is such a column, is set to a cut text's length.
+    A document taken whole is as it was, one of which nothing is taken is left out.  Rows are told apart
+    by a 64-bit hash of all their columns.
+    """
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
+    _, _, slots, pieces = _planned(docs, doc_id=doc_id, text=text, source=source, weights=weights, share=share, most=most, block=block, seed=seed, shard_slots=shard_slots, key=key)
+    taken = pieces.join(slots.select("rank", "index", "epoch").hint("merge"), ["rank", "index"])
+    parts = taken.groupBy(F.col("key").alias("__key"), "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("__parts"))
+    rows = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(key.alias("__key"), "__row").groupBy("__key").agg(F.first("__row").alias("__row"))
+    both = rows.hint("merge").join(parts.select("__key", "__parts"), "__key")
+    words = F.aggregate("__parts", F.lit(0).cast("bigint"), lambda n, p: n + p["words"])
+    own = F.col(f"__row.`{text}`")
+    both = both.withColumn("__whole", words == word_count(own)).withColumn("__text", F.when(F.col("__whole"), own).otherwise(_drawn_text(own, F.col("__parts"))))
+    made = {text: F.col("__text")} | ({chars: F.when(F.col("__whole"), F.col(f"__row.`{chars}`")).otherwise(F.char_length("__text"))} if chars in docs.columns else {})
+    return both.select(*[made.get(c, F.col(f"__row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
 ORACLE_MIX_CELLS = "((CASE WHEN doc_id IS NULL THEN 0 ELSE ((doc_id % {p}) + {p}) % {p} END) * {f} % {p} % cells)"
 
 

@@ -8,7 +8,6 @@ of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bitspark.llm import mixing, packing, quality, sigtree
 from bitspark.llm.scratch import Stored
@@ -32,15 +31,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix: one row for each time that a document is taken, whole or, at the end of a target, in part.
+    """The documents of the mix: a row for each epoch in which words of a document are drawn, with the drawn words as its text.
 
     A document none of whose words are taken is left out; one that is taken beyond its size is there twice.
     """
-    taken = mixing.mix(docs)[0].where("taken > 0").select("doc_id", F.when(F.col("taken") > F.col("size"), 2).otherwise(1).alias("__times"))
-    times = taken.groupBy("doc_id").agg(F.max("__times").alias("__times"))
-    times = times.withColumnRenamed("doc_id", "__id")
-    copies = docs.join(times, F.col("__id").eqNullSafe(F.col("doc_id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return copies.select(docs.columns)
+    return mixing.mixed_documents(docs)
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

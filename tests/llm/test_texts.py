@@ -269,6 +269,34 @@ def test_mix_meets_its_targets(docs, rows):
     assert max(per_epoch.values()) == 1
 
 
+def test_mixed_texts_hold_the_words_that_the_mix_takes(spark, docs, rows):
+    import corpus_pipeline
+
+    made = docs.withColumn("text", F.regexp_replace("text", "^(\\S+) (\\S+) ", " $1\n$2\t")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    planned = mixing.mix(made, block=16)[0].collect()
+    got = mixing.mixed_documents(made, block=16).collect()
+    assert mixing.mixed_documents(made).columns == made.columns
+    by_id, by_source, want_id, want = (collections.Counter() for _ in range(4))
+    for r in got:
+        by_id[r.doc_id] += len(words(r.text))
+        by_source[r.source] += len(words(r.text))
+        assert r.n_chars == len(r.text)
+    for r in planned:
+        want_id[r.doc_id] += r.taken
+        want[r.source] += r.taken
+        assert r.taken > 0 or r.doc_id in (None, 7) or r.doc_id not in by_id
+    assert +by_id == +want_id and by_source == +want
+    texts = {r.doc_id: r.text for r in made.where("doc_id is not null and text is not null").collect()}
+    for r in got:
+        if r.doc_id is not None:  # each run of drawn words is a piece of the text as it was
+            assert all(run in texts[r.doc_id] for run in r.text.split("\n\n"))
+    # the stage of the pipeline, with its blocks of 128 words, meets the targets
+    stage, target = collections.Counter(), {r.source: r.target for r in mixing.mix(docs)[0].collect()}
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        stage[r.source] += len(words(r.text))
+    assert all(abs(stage[s] - t) <= 2 * 128 for s, t in target.items())
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(1)
     for _ in range(60):
