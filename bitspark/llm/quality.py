@@ -19,7 +19,9 @@ from bitspark.llm.scratch import Stored, small
 
 FEATURES = ("word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
 #: Least standard deviation of each feature: rates that are zero in most clean texts have no spread of their own.
-FLOORS = (0.10, 0.25, 0.25, 0.25)
+#: Five of them (the root of the cutoff) lie inside what a text that passes the plain rules can reach, so that
+#: each feature can reject by itself: a third of the lines, a quarter of the words or a symbol in four words.
+FLOORS = (0.05, 0.10, 0.12, 0.10)
 PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 SPLIT = r"[\x20\x09-\x0D]+"
 

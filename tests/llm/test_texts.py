@@ -203,6 +203,21 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert all(got[k].kept for k, *_ in good) and not any(got[k].kept for k, *_ in bad)
 
 
+def test_each_rate_rejects_by_itself(spark):
+    from tests.llm.conftest import prose
+
+    def lines(k, n=200):
+        w = prose(k, n).split()
+        return [" ".join(w[i : i + 10]) for i in range(0, n, 10)]
+
+    good = [(k, "\n".join(lines(k)), "en", "a") for k in range(300)]
+    doubled = [(1000 + k, "\n".join(f"{x}\nread more" for x in lines(400 + k)), "en", "a") for k in range(15)]
+    phrases = [(2000 + k, " ".join(f"{x} qua lo vin dar mel sor tik" for x in lines(500 + k)), "en", "a") for k in range(15)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(good + doubled + phrases, "doc_id int, text string, lang string, source string")).collect()}
+    assert all(not got[k].base_failed for k in got) and all(got[k].kept for k, *_ in good)
+    assert not any(got[k].kept for k, *_ in doubled) and not any(got[k].kept for k, *_ in phrases)
+
+
 def test_estimate_equals_numpy(spark):
     """The last concentration step is a fixed rule: recompute it with numpy from the distances of the step before."""
     rng = np.random.default_rng(0)
