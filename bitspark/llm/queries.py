@@ -51,12 +51,13 @@ def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture as its assembled transaction tells it: the nested rows are stored, request and metadata compared with their capture."""
     from bitspark.llm import warc
-    from bitspark.llm.scratch import fresh
+    from bitspark.llm.scratch import Stored, fresh
 
     path = fresh(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
-    whole = warc.assemble(warc.read_warc(spark, path))
+    whole = Stored(warc.verified(warc.assemble(warc.read_warc(spark, path))), "transactions").df
     size = F.coalesce("capture.payload_bytes", "original.payload_bytes")
     digest = F.coalesce("original.payload_digest", "capture.payload_digest")
     return whole.select(

@@ -49,6 +49,17 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     )
 
 
+def request_text(uri: Column) -> Column:
+    """Block of the request for a uri; null is empty."""
+    path, host = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.concat(F.lit("GET "), F.coalesce(path, F.lit("")), F.lit(f" HTTP/1.1{CRLF}Host: "), F.coalesce(host, F.lit("")), F.lit(CRLF * 2))
+
+
+def metadata_text(n: Column) -> Column:
+    """Block of the metadata for a payload of ``n`` bytes, a string."""
+    return F.concat(F.lit("payloadBytes: "), n, F.lit(CRLF))
+
+
 def write_warc(pages: DataFrame, path: str, *, dedupe_from: int = 0, date: str = "1970-01-01T00:00:00Z", captures_per_file: int = 1000) -> None:
     """Write ``pages(page_id, url, html)`` as gzipped WARC files below ``path``, three records a page.
 
@@ -81,10 +92,10 @@ def write_warc(pages: DataFrame, path: str, *, dedupe_from: int = 0, date: str =
     ], http)
     ask = _record([
         ("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uuid("request", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/http; msgtype=request")),
-    ], F.concat(F.lit("GET "), F.coalesce(F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.lit("")), F.lit(f" HTTP/1.1{CRLF}Host: "), F.coalesce(F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")), F.lit(CRLF * 2)))
+    ], request_text(uri))
     meta = _record([
         ("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields")),
-    ], F.concat(F.lit("payloadBytes: "), n, F.lit(CRLF)))
+    ], metadata_text(n))
     records = rows.select(F.explode(F.array(ask, F.when(F.col("first").isNull(), whole).otherwise(again), meta)).alias("value"))
     records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(path)
     revisits.drop()
@@ -151,3 +162,11 @@ def assemble(records: DataFrame) -> DataFrame:
     first = captures.where("refers_to is null").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType))
     again = captures.where("refers_to is not null").join(originals.withColumnRenamed("record_id", "refers_to"), "refers_to", "left").select(*first.columns)
     return first.union(again).join(parts, "record_id", "left").select("capture", "request", "metadata", "original")
+
+
+def verified(whole: DataFrame) -> DataFrame:
+    """``whole`` as it is, if every capture has its own request and metadata as ``write_warc`` writes them; reading it fails if one is lost or another's."""
+    size = F.coalesce("capture.payload_bytes", "original.payload_bytes")
+    right = (F.col("request.fields") == request_text(F.col("capture.uri"))) & (F.col("metadata.fields") == metadata_text(size.cast("string")))
+    wrong = F.raise_error(F.concat(F.lit("capture without its own request and metadata: "), F.col("capture.record_id")))
+    return whole.withColumn("capture", F.when(F.coalesce(right, F.lit(False)), F.col("capture")).otherwise(wrong.cast(whole.schema["capture"].dataType)))

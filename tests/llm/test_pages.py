@@ -134,6 +134,22 @@ def test_transactions(spark, archive):
     assert sorted(map(str, seen)) == sorted(str(d) for d, *_ in PAGES)
 
 
+def test_query_needs_every_request_and_metadata(spark, sf, monkeypatch):
+    from bitspark.llm import queries
+
+    assert queries.op2_warc_transactions(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+    read = warc.read_warc
+    for damage in (lambda r: r.where("type <> 'request'"), lambda r: r.where("type <> 'metadata'"), lambda r: r.withColumn("fields", F.when(F.col("type") == "metadata", F.lit("payloadBytes: 1\r\n")).otherwise(F.col("fields")))):
+        monkeypatch.setattr(warc, "read_warc", lambda *a, damage=damage: damage(read(*a)))
+        with pytest.raises(Exception, match="without its own request"):
+            queries.op2_warc_transactions(spark, sf).collect()
+
+
+def test_verified_passes_odd_pages(spark, archive):
+    assert warc.verified(warc.assemble(warc.read_warc(spark, archive))).count() == len(PAGES)
+    assert len(warc.verified(warc.assemble(warc.read_warc(spark, archive))).collect()) == len(PAGES)
+
+
 def test_headers_are_single_lines(archive, spark):
     uris = [r.uri for r in warc.read_warc(spark, archive).select("uri").collect()]
     assert "http://c.example/%0D%0ASet: x" in uris and None in uris
