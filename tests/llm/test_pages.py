@@ -45,6 +45,22 @@ def test_article_blocks(body, want):
     assert text_of(page(body)) == want
 
 
+@pytest.mark.parametrize("attribute", ["id=search-algorithms", "id=related-work", "id='share-price'", "class=skip-lists", "class='table-header'", "id=code-comments", "class='menu-planning notes'"])
+def test_slugs_inside_an_article_are_no_furniture(attribute):
+    assert text_of(page(f"<article><p>a</p><section {attribute}><h2>H</h2><p>b</p></section><p>c</p></article>")) == "a\n\nH\n\nb\n\nc"
+    assert text_of(page(f"<main><article><p>a</p></article></main><div {attribute}>out</div>")) == "a"
+
+
+def test_whole_names_inside_an_article_are_furniture():
+    for attribute in ("class=share", "id=comments", "class='x related'", "class=user-comments", "class=right-sidebar", "id=side-bar"):
+        assert text_of(page(f"<article><p>a</p><div {attribute}>out</div></article>")) == "a"
+
+
+def test_math_stays():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x=2</annotation></semantics></math>"
+    assert text_of(page(f"<article><p>where {formula} holds</p></article>")) == "where x=2 holds"
+
+
 def test_odd_markup_does_not_fail():
     for html in ("", "<", "<<<>>>", "<p", "</article></p>", "<!--", "<![CDATA[x", "<script>", "a < b > c", "<article" * 2000, "<div>" * 3000 + "x", "<a b='" + "x" * 5000):
         html_main.blocks(html)
