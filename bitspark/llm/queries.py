@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 #: Base-32 digits of the SHA-1, five bits at a time, from 20-bit groups of the hexadecimal form.
 WARC_SQL = """
-WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+WITH p AS (SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
 d AS (
-  SELECT page_id, payload_bytes, list_aggregate(list_transform(generate_series(0, 31), lambda i:
+  SELECT page_id, url, payload_bytes, list_aggregate(list_transform(generate_series(0, 31), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest
   FROM p),
-f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest),
+u AS (SELECT *, md5('request|' || page_id || '|' || payload_digest) AS r, md5('metadata|' || page_id || '|' || payload_digest) AS m FROM d JOIN f USING (payload_digest))
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id > first THEN first END AS refers_to
-FROM d JOIN f USING (payload_digest)
+  CASE WHEN page_id > first THEN first END AS refers_to,
+  '<urn:uuid:' || concat_ws('-', substr(r, 1, 8), substr(r, 9, 4), substr(r, 13, 4), substr(r, 17, 4), substr(r, 21, 12)) || '>' AS request_id,
+  'GET ' || regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', '') || ' HTTP/1.1' || chr(13) || chr(10) || 'Host: ' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) || repeat(chr(13) || chr(10), 2) AS request,
+  '<urn:uuid:' || concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)) || '>' AS metadata_id,
+  'payloadBytes: ' || payload_bytes || chr(13) || chr(10) AS metadata
+FROM u
 """
 
 #: All links by a join on shingles, and what each document reaches over them.
@@ -51,17 +56,19 @@ def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every capture as its assembled transaction tells it: the nested rows are stored, request and metadata compared with their capture."""
+    """Every capture as its assembled transaction tells it, with what its own request and metadata records say."""
     from bitspark.llm import warc
-    from bitspark.llm.scratch import Stored, fresh
+    from bitspark.llm.scratch import fresh, store
 
     path = fresh(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
-    whole = Stored(warc.verified(warc.assemble(warc.read_warc(spark, path))), "transactions").df
+    records = store(warc.read_warc(spark, path), "records")  # parsed once; captures, parts and originals are three reads of it
+    whole = warc.assemble(records)
     size = F.coalesce("capture.payload_bytes", "original.payload_bytes")
     digest = F.coalesce("original.payload_digest", "capture.payload_digest")
     return whole.select(
-        "capture.page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("original.page_id").alias("refers_to")
+        "capture.page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("original.page_id").alias("refers_to"),
+        F.col("request.record_id").alias("request_id"), F.col("request.fields").alias("request"), F.col("metadata.record_id").alias("metadata_id"), F.col("metadata.fields").alias("metadata"),
     )
 
 

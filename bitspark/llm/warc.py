@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,20 +102,61 @@ def write_warc(pages: DataFrame, path: str, *, dedupe_from: int = 0, date: str =
     revisits.drop()
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; blocks are taken by Content-Length, whatever they hold."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)[1:]
-        headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        at = end + 4 + int(headers["content-length"])
-        yield headers, data[end + 4 : at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record ends without separator at byte {at}")
-        at += 4
+def inflated(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """Pieces of a file's plain bytes: of all its gzip or zlib members, one after the other, or the file itself if it isn't compressed.
+
+    Standard archives have a member for each record.  A member that breaks off raises ValueError.
+    """
+    if not content.startswith((b"\x1f\x8b", b"\x78")):
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(content):
+        member = zlib.decompressobj(wbits=47)
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("compressed archive breaks off")
+            piece = member.decompress(view[at : at + step])
+            at = min(at + step, len(content)) - len(member.unused_data)
+            yield piece
+
+
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive's ``inflated`` pieces.
+
+    Blocks are taken by Content-Length, whatever they hold; one record at a time is held.  A header's name
+    ends at its first colon; a line that begins with white space goes on with the one before.
+    """
+    source, held, gone = iter(pieces), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(source, None)
+        if piece is not None:
+            held.extend(piece)
+        return piece is not None
+
+    while True:
+        while len(held) < 5 and more():
+            pass
+        if not held:
+            return
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {gone}")
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                raise ValueError(f"headers without end at byte {gone}")
+        lines = re.sub(r"\r\n[ \t]+", " ", held[:end].decode("utf-8")).split(CRLF)[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        stop = end + 4 + int(headers["content-length"])
+        while len(held) < stop + 4 and more():
+            pass
+        if held[stop : stop + 4] != b"\r\n\r\n":
+            raise ValueError(f"record ends without separator at byte {gone + stop}")
+        yield headers, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
+        gone += stop + 4
 
 
 def _rows(payloads: bool):
@@ -122,7 +164,7 @@ def _rows(payloads: bool):
         for pdf in batches:
             for content in pdf["content"]:
                 out = []
-                for h, block in parse_records(zlib.decompress(content, wbits=47)):
+                for h, block in parse_records(inflated(content)):
                     kind, body = h["warc-type"], None
                     if kind == "response":
                         body = block.partition(b"\r\n\r\n")[2]
@@ -131,14 +173,24 @@ def _rows(payloads: bool):
                         None if body is None else len(body), h.get("warc-payload-digest", "").removeprefix("sha1:") or None if body is None else base64.b32encode(hashlib.sha1(body).digest()).decode(),
                         block.decode("utf-8") if kind in ("metadata", "request") else None, body if payloads else None,
                     ))
-                frame = pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
-                yield frame.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                    if len(out) == 256:
+                        yield _frame(out)
+                        out = []
+                yield _frame(out)
 
     return run
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in RECORDS.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "Int64"})
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The records below ``path``.  Digest and length of a response are of the payload that was read, not of its headers."""
+    """The records below ``path``.  Digest and length of a response are of the payload that was read, not of its headers.
+
+    A file is one row of at most 2 GB compressed, and is inflated a record at a time.  Files of other makers are
+    read too, with a null page id; an empty folder gives no records.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(_rows(payloads), RECORDS)
 
@@ -162,11 +214,3 @@ def assemble(records: DataFrame) -> DataFrame:
     first = captures.where("refers_to is null").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType))
     again = captures.where("refers_to is not null").join(originals.withColumnRenamed("record_id", "refers_to"), "refers_to", "left").select(*first.columns)
     return first.union(again).join(parts, "record_id", "left").select("capture", "request", "metadata", "original")
-
-
-def verified(whole: DataFrame) -> DataFrame:
-    """``whole`` as it is, if every capture has its own request and metadata as ``write_warc`` writes them; reading it fails if one is lost or another's."""
-    size = F.coalesce("capture.payload_bytes", "original.payload_bytes")
-    right = (F.col("request.fields") == request_text(F.col("capture.uri"))) & (F.col("metadata.fields") == metadata_text(size.cast("string")))
-    wrong = F.raise_error(F.concat(F.lit("capture without its own request and metadata: "), F.col("capture.record_id")))
-    return whole.withColumn("capture", F.when(F.coalesce(right, F.lit(False)), F.col("capture")).otherwise(wrong.cast(whole.schema["capture"].dataType)))

@@ -150,20 +150,39 @@ def test_transactions(spark, archive):
     assert sorted(map(str, seen)) == sorted(str(d) for d, *_ in PAGES)
 
 
-def test_query_needs_every_request_and_metadata(spark, sf, monkeypatch):
+def test_query_returns_every_request_and_metadata(spark, sf):
     from bitspark.llm import queries
 
-    assert queries.op2_warc_transactions(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
-    read = warc.read_warc
-    for damage in (lambda r: r.where("type <> 'request'"), lambda r: r.where("type <> 'metadata'"), lambda r: r.withColumn("fields", F.when(F.col("type") == "metadata", F.lit("payloadBytes: 1\r\n")).otherwise(F.col("fields")))):
-        monkeypatch.setattr(warc, "read_warc", lambda *a, damage=damage: damage(read(*a)))
-        with pytest.raises(Exception, match="without its own request"):
-            queries.op2_warc_transactions(spark, sf).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    df = queries.op2_warc_transactions(spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "concurrent_to" in plan
+    got = df.collect()
+    assert len(got) == len(pages)
+    for r in got:
+        host, _, path = pages[r.page_id].url.partition("://")[2].partition("/")
+        assert r.request == f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n" and r.metadata == f"payloadBytes: {len(pages[r.page_id].html.encode())}\r\n"
+    assert len({r.request_id for r in got} | {r.metadata_id for r in got}) == 2 * len(pages)
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    """One gzip member for each record, one for all, none at all, and records cut anywhere over the pieces."""
+    import gzip
 
+    def record(k, kind, block, extra=b""):
+        return b"WARC/1.0\r\nWARC-Type: %s\r\nwarc-record-id:<r%d>\r\nX: a\r\n b\r\n%sContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, k, extra, len(block), block)
 
-def test_verified_passes_odd_pages(spark, archive):
-    assert warc.verified(warc.assemble(warc.read_warc(spark, archive))).count() == len(PAGES)
-    assert len(warc.verified(warc.assemble(warc.read_warc(spark, archive))).collect()) == len(PAGES)
+    records = [record(0, b"warcinfo", b"software: x"), record(1, b"response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + b"\r\n\r\nWARC/1.0\r\n" * 5), record(2, b"response", b"HTTP/1.1 200 OK\r\n\r\n"), record(3, b"metadata", b"m", b"WARC-Concurrent-To: <r1>\r\n")]
+    for name, data in (("each", b"".join(map(gzip.compress, records))), ("all", gzip.compress(b"".join(records))), ("plain", b"".join(records))):
+        (tmp_path / name).write_bytes(data)
+        for step in (1, 7, 1 << 16):
+            assert [h["warc-type"] for h, _ in warc.parse_records(warc.inflated(data, step))] == ["warcinfo", "response", "response", "metadata"]
+        got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / name)).collect()}
+        assert len(got) == 4 and got["<r1>"].payload_bytes == 70 and got["<r2>"].payload_bytes == 0 and got["<r3>"].concurrent_to == "<r1>" and got["<r1>"].page_id is None
+    assert list(warc.parse_records(iter([b"", b""]))) == []
+    for broken in (gzip.compress(records[0])[:-9], records[0][:-2], b"WARC", b"junk!"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(warc.inflated(broken)))
 
 
 def test_headers_are_single_lines(archive, spark):
@@ -198,8 +217,8 @@ def test_base32(spark):
     from bitspark.llm.queries import WARC_SQL
 
     con = duckdb.connect()
-    con.sql("create table pages as select * from (values (1, 'a'), (2, 'é'), (3, 'a'), (4, null)) t(page_id, html)")
+    con.sql("create table pages as select * from (values (1, 'a'), (2, 'é'), (3, 'a'), (4, null)) t(page_id, html), (select 'http://h/p' as url)")
     got = {r[0]: r for r in con.sql(WARC_SQL).fetchall()}
     for k, h in ((1, "a"), (2, "é"), (3, "a"), (4, "")):
         assert got[k][2] == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
-    assert got[3][3:] == ("revisit", 1)
+    assert got[3][3:5] == ("revisit", 1) and got[3][6] == "GET /p HTTP/1.1\r\nHost: h\r\n\r\n"
