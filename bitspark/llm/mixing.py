@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bitspark.llm.permute import PRIME, swap_or_not
+from bitspark.llm.permute import PRIME, permuted, permuted_sql
 from bitspark.llm.scratch import store
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,32 +33,39 @@ def plan_sources(sized: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), shar
     ``sized(source, size)`` is summed by source.  Sources in code point order, null last, weigh
     ``weights`` in turn and share ``share`` times all words; no target exceeds ``most`` times its source.
     The common level at which the shares settle is found in closed form from the sources ordered by
-    the level at which each would be full.
+    the level at which each would be full.  Slots are whole blocks, so that a source's words come within a
+    block of its target.  Sources may be as many as web domains: none of the steps puts them in one task.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("source").asc_nulls_last())
+    src = running(sums, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, "ranks")
     weight = F.element_at(F.array(*[F.lit(w).cast("bigint") for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
-    src = sums.withColumn("rank", (F.row_number().over(order) - 1).cast("bigint")).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    by_level = W.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("rank")).rowsBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy(F.lit(1))
-    src = src.withColumn("w_all", F.sum("weight").over(everything)).withColumn("total", F.sum("source_size").over(everything) * F.lit(share))
+    src = src.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("level", F.col("cap") / F.col("weight"))
+    src = running(src, [F.col("level"), F.col("rank")], {"cap_before": F.col("cap"), "w_before": F.col("weight")}, "levels")
+    all_ = src.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    total = float(all_[1]) * share
     # words used up if the level rises until this source is full
-    src = src.withColumn("cap_below", F.sum("cap").over(by_level)).withColumn("w_above", F.col("w_all") - F.sum("weight").over(by_level))
-    full = F.col("cap_below") + (F.col("cap") / F.col("weight")) * F.col("w_above") <= F.col("total")
+    full = F.col("cap_before") + F.col("cap") + F.col("level") * (F.lit(all_[0]) - F.col("w_before") - F.col("weight")) <= F.lit(total)
     src = src.withColumn("full", full)
-    rest = F.col("total") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(everything)
-    open_w = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0)).over(everything)
-    level = F.when(open_w > 0, rest / open_w)
+    done = src.agg(F.coalesce(F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0)), F.lit(0))).first()
+    level = F.lit((total - float(done[0])) / done[1] if done[1] else None).cast("double")
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), level * F.col("weight")))
     src = src.withColumn("target", target).withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("bigint"))
     slots = F.when(F.col("source_size") > 0, F.least(F.col("blocks") * most, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5))).otherwise(0).cast("bigint")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    return (
-        src.withColumn("slots", slots)
-        .withColumn("first_slot", F.coalesce(F.sum("slots").over(before), F.lit(0)).cast("bigint"))
-        .withColumn("all_slots", F.sum("slots").over(everything))
-        .select("source", "rank", "source_size", "target", "blocks", "slots", "first_slot", "all_slots")
-    )
+    src = running(src.withColumn("slots", slots), [F.col("rank")], {"first_slot": F.col("slots")}, "slots")
+    return src.select("source", "rank", "source_size", "target", "blocks", "slots", "first_slot", F.lit(src.agg(F.sum("slots")).first()[0] or 0).alias("all_slots"))
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``df`` with a column for each of ``sums``: its sum over the rows before in ``order``, which must tell all rows apart.
+
+    Rows are dealt in ranges and summed in each; only the ranges' sums, one row for each, meet in one task.
+    """
+    dealt = store(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).select("*", *[c.cast("bigint").alias(f"__{k}") for k, c in sums.items()]), name)
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    bases = dealt.groupBy("__range").agg(*[F.sum(f"__{k}").alias(f"__{k}") for k in sums]).select("__range", *[F.coalesce(F.sum(f"__{k}").over(before), F.lit(0)).alias(f"__base_{k}") for k in sums])
+    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.select("*", *[F.coalesce(F.sum(f"__{k}").over(inside), F.lit(0)).alias(f"__in_{k}") for k in sums]).join(bases, "__range")
+    return out.select(*df.columns, *[(F.col(f"__base_{k}") + F.col(f"__in_{k}")).cast("bigint").alias(k) for k in sums])
 
 
 def draw_slots(sources: DataFrame, *, seed: int = 1, shard_slots: int = 4096) -> DataFrame:
@@ -73,28 +80,28 @@ def draw_slots(sources: DataFrame, *, seed: int = 1, shard_slots: int = 4096) ->
     runs = runs.select("rank", "blocks", "slots", "first_slot", "all_slots", "run").repartition(parts, "rank", "run")
     slots = runs.withColumn("ordinal", F.explode(F.expr(f"sequence(run * {FAN}, least(slots, (run + 1) * {FAN}) - 1)")))
     epoch = F.expr("ordinal div blocks")
-    index = swap_or_not(F.col("ordinal") % F.col("blocks"), F.col("blocks"), F.col("rank"), seed)
-    slot = swap_or_not(F.col("first_slot") + F.col("ordinal"), F.col("all_slots"), F.lit(0), seed + 1)
+    index = permuted(F.col("ordinal") % F.col("blocks"), F.col("blocks"), F.col("rank"), seed)
+    slot = permuted(F.col("first_slot") + F.col("ordinal"), F.col("all_slots"), F.lit(0), seed + 1)
     return slots.select("rank", "ordinal", epoch.alias("epoch"), index.alias("index"), slot.alias("slot")).select(
         "rank", "ordinal", "epoch", "index", F.expr(f"slot div {shard_slots}").alias("shard"), F.expr(f"slot % {shard_slots}").alias("place")
     )
 
 
 def word_offsets(docs: DataFrame, ties: list[str] = []) -> DataFrame:  # noqa: B006
-    """``docs(rank, doc_id, size)`` -> with ``start``: where the document begins in its source's stream.
+    """``docs(rank, doc_id, size, salt)`` -> with ``start``: where the document begins in its source's stream.
 
     Documents are ordered by (cell, id), equal ids by size and ``ties``; the square root of the row count is the number of cells, so that
-    neither a cell of a source nor the list of a source's cells grows in proportion to the table.
+    neither a cell of a source nor the list of a source's cells grows in proportion to the table.  Null ids are dealt by ``salt``.
     """
     n = docs.select(F.ceil(F.sqrt(F.greatest(F.count("*"), F.lit(1)))).cast("bigint").alias("cells"))
-    cell = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(PRIME)) * F.lit(CELL_FACTOR).cast("bigint") % F.lit(PRIME) % F.col("cells")
+    cell = F.pmod(F.coalesce(F.col("doc_id"), F.col("salt"), F.lit(0)), F.lit(PRIME)) * F.lit(CELL_FACTOR).cast("bigint") % F.lit(PRIME) % F.col("cells")
     docs = docs.withColumn("cells", F.lit(n.first()["cells"])).withColumn("cell", cell)
     within = W.partitionBy("rank", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "size", *ties).rowsBetween(W.unboundedPreceding, -1)
     cells = docs.groupBy("rank", "cell").agg(F.sum("size").alias("words"))
     across = W.partitionBy("rank").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select("rank", "cell", F.coalesce(F.sum("words").over(across), F.lit(0)).alias("base"))
     docs = docs.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return docs.join(cells, ["rank", "cell"]).withColumn("start", (F.col("base") + F.col("inner")).cast("bigint")).drop("cells", "cell", "inner", "base")
+    return docs.join(cells, ["rank", "cell"]).withColumn("start", (F.col("base") + F.col("inner")).cast("bigint")).drop("cells", "cell", "inner", "base", "salt")
 
 
 def cut_blocks(docs: DataFrame, block: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -111,9 +118,10 @@ def _planned(
     """``(sources, placed, slots, pieces)`` of a mix; ``key``, if given, goes with each document into ``placed`` and ``pieces``."""
     keys = [] if key is None else ["key"]
     own = [] if key is None else [key.alias("key")]
-    sized = store(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), *own), "sized")
+    salt = F.when(F.col(f"`{doc_id}`").isNull(), F.xxhash64(f"`{text}`")).alias("salt")
+    sized = store(docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), salt, *own), "sized")
     sources = store(plan_sources(sized, weights=weights, share=share, most=most, block=block), "sources")
-    ranked = sized.join(sources.select("source", "rank"), sized["source"].eqNullSafe(sources["source"])).select(sized["doc_id"], "rank", "size", *keys)
+    ranked = sized.join(sources.select("source", "rank"), sized["source"].eqNullSafe(sources["source"])).select(sized["doc_id"], "rank", "size", "salt", *keys)
     placed = store(word_offsets(ranked, keys), "placed")
     return sources, placed, draw_slots(sources, seed=seed, shard_slots=shard_slots), cut_blocks(placed, block, keys)
 
@@ -123,9 +131,11 @@ def mix(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plan a mix of all documents: ``(documents, slots, pieces)``.
 
-    ``documents``: ``doc_id, source, size, source_size, target, taken`` for every row; ``taken`` is the
-    number of its words in the mix, repeats counted.  ``slots``: see ``draw_slots``.  ``pieces``: which
-    words of which document each block holds, to be joined with ``slots`` by (rank, index).
+    ``documents``: ``doc_id, source, size, source_size, target, taken, shards, first_shard, first_place`` for
+    every row; ``taken`` is the number of its words in the mix, repeats counted, ``shards`` the number of
+    output shards that hold some of them, and the last two say where they come first (null if nowhere).
+    ``slots``: see ``draw_slots``.  ``pieces``: which words of which document each block holds, to be joined
+    with ``slots`` by (rank, index).
 
     A document's size is its number of words ``[^\\x20\\x09-\\x0D]+``; null or blank texts have none and
     none are taken.  A null source is a source of its own, last in order; a source without words gets
@@ -134,15 +144,17 @@ def mix(
     names; an empty table gives empty results.  Equal inputs, seeds and parameters give equal results.
     """
     sources, placed, slots, pieces = _planned(docs, doc_id=doc_id, text=text, source=source, weights=weights, share=share, most=most, block=block, seed=seed, shard_slots=shard_slots)
-    drawn = slots.groupBy("rank", "index").agg(F.count("*").alias("times"))
     # sizes are estimated before rows are exploded, so that without the hint this could become a broadcast
-    taken = pieces.join(drawn.hint("merge"), ["rank", "index"]).groupBy(
-        F.col("rank").alias("k_rank"), F.col("doc_id").alias("k_id"), F.col("start").alias("k_start")
-    ).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    held = pieces.join(slots.hint("merge"), ["rank", "index"])
+    who = [F.col("rank").alias("k_rank"), F.col("doc_id").alias("k_id"), F.col("start").alias("k_start")]
+    by_shard = held.groupBy(*who, "shard").agg(F.sum("words").alias("words"), F.min("place").alias("place"))
+    taken = by_shard.groupBy("k_rank", "k_id", "k_start").agg(F.sum("words").alias("taken"), F.count("*").alias("shards"), F.min(F.struct("shard", "place")).alias("first"))
     same = F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_rank") == F.col("rank")) & (F.col("k_start") == F.col("start"))
-    out = placed.where("size > 0").join(taken, same, "left").select("rank", "doc_id", "size", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
-    out = out.union(placed.where("size = 0").select("rank", "doc_id", "size", F.lit(0).cast("bigint")))
-    table = out.join(sources.select("rank", "source", "source_size", "target"), "rank").select("doc_id", "source", "size", "source_size", "target", "taken")
+    zero = F.lit(0).cast("bigint")
+    cols = ["rank", "doc_id", "size", F.coalesce("taken", zero).alias("taken"), F.coalesce("shards", zero).alias("shards"), F.col("first.shard").alias("first_shard"), F.col("first.place").alias("first_place")]
+    out = placed.where("size > 0").join(taken, same, "left").select(*cols)
+    out = out.union(placed.where("size = 0").select("rank", "doc_id", "size", zero, zero, F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
+    table = out.join(sources.select("rank", "source", "source_size", "target"), "rank").select("doc_id", "source", "size", "source_size", "target", "taken", "shards", "first_shard", "first_place")
     return table, slots, pieces
 
 
@@ -187,21 +199,14 @@ def mixed_documents(
 ORACLE_MIX_CELLS = "((CASE WHEN doc_id IS NULL THEN 0 ELSE ((doc_id % {p}) + {p}) % {p} END) * {f} % {p} % cells)"
 
 
-def oracle(seed: int = 1, block: int = 128, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> str:
-    """The same mix as one SQL statement over ``documents``."""
-    from bitspark.llm.permute import round_constants
-
-    p = PRIME
-    walk = "SELECT *, ordinal % blocks AS x0 FROM expanded"
-    for i, (a, b, c, d) in enumerate(round_constants(seed)):
-        turn = f"(({a} * ((rank + 1) % {p}) + {b}) % {p} % blocks)"
-        other = f"((({turn} - x{i}) % blocks + blocks) % blocks)"
-        bit = f"(((greatest(x{i}, o{i}) % {p}) * {c} + (greatest(x{i}, o{i}) >> 31) * {d} + ((rank + 1) % {p}) * {d}) % {p} % 2)"
-        walk = f"SELECT *, CASE WHEN {bit} = 1 THEN o{i} ELSE x{i} END AS x{i + 1} FROM (SELECT *, {other} AS o{i} FROM ({walk}))"
+def oracle(seed: int = 1, block: int = 128, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shard_slots: int = 4096) -> str:
+    """The same mix as one SQL statement over ``documents``, whose ids aren't null."""
+    walk = lambda name, base, s: f"""{name} AS (  -- images; those beyond n are permuted again
+  {permuted_sql(base, s)} UNION ALL {permuted_sql(f"SELECT * FROM {name} WHERE v >= n", s)})"""
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
-    cell = ORACLE_MIX_CELLS.format(p=p, f=CELL_FACTOR)
+    cell = ORACLE_MIX_CELLS.format(p=PRIME, f=CELL_FACTOR)
     return rf"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM sums),
@@ -216,11 +221,16 @@ opened AS (
 targets AS (
   SELECT *, CASE WHEN fl THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), (rest / open_w) * weight) END AS target,
     (source_size + {block - 1}) // {block} AS blocks FROM opened),
-slots AS (
+quotas AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(blocks * {most}, CAST(floor(target * blocks / source_size + CAST(0.5 AS DOUBLE)) AS BIGINT)) ELSE 0 END AS slots FROM targets),
-expanded AS (SELECT rank, blocks, unnest(generate_series(0, slots - 1)) AS ordinal FROM slots WHERE slots > 0),
-walked AS ({walk}),
-drawn AS (SELECT rank, x{len(round_constants(seed))} AS idx, count(*) AS times FROM walked GROUP BY ALL),
+slots AS (
+  SELECT *, CAST(coalesce(sum(slots) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_slot, CAST(sum(slots) OVER () AS BIGINT) AS all_slots FROM quotas),
+expanded AS (SELECT rank, blocks, first_slot, all_slots, unnest(generate_series(0, slots - 1)) AS ordinal FROM slots WHERE slots > 0),
+{walk("indexed", f"SELECT rank, ordinal, ordinal % blocks AS v, blocks AS n, (rank + 1) % {PRIME} AS k1 FROM expanded", seed)},
+{walk("dealt", "SELECT rank, ordinal, first_slot + ordinal AS v, all_slots AS n, 1::BIGINT AS k1 FROM expanded", seed + 1)},
+drawn AS (
+  SELECT i.rank, i.v AS idx, d.v // {shard_slots} AS shard, d.v % {shard_slots} AS place
+  FROM indexed i JOIN dealt d ON i.rank = d.rank AND i.ordinal = d.ordinal AND i.v < i.n AND d.v < d.n),
 celled AS (
   SELECT s.doc_id, t.rank, s.size, {cell.replace("doc_id", "s.doc_id")} AS cell
   FROM sized s JOIN slots t ON s.source IS NOT DISTINCT FROM t.source, (SELECT CAST(ceil(sqrt(greatest(count(*), 1))) AS BIGINT) AS cells FROM documents)),
@@ -228,9 +238,10 @@ placed AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY rank ORDER BY cell, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM celled),
 pieces AS (SELECT *, unnest(generate_series(start // {block}, (start + size - 1) // {block})) AS idx FROM placed WHERE size > 0),
 took AS (
-  SELECT p.rank, p.doc_id, p.start, CAST(sum((least(p.start + p.size, (p.idx + 1) * {block}) - greatest(p.start, p.idx * {block})) * d.times) AS BIGINT) AS taken
-  FROM pieces p JOIN drawn d ON p.rank = d.rank AND p.idx = d.idx GROUP BY ALL)
-SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(k.taken, 0) AS taken
+  SELECT p.rank, p.doc_id, p.start, CAST(sum(least(p.start + p.size, (p.idx + 1) * {block}) - greatest(p.start, p.idx * {block})) AS BIGINT) AS taken,
+    count(DISTINCT d.shard) AS shards, min(struct_pack(shard := d.shard, place := d.place)) AS first
+  FROM pieces p JOIN drawn d ON p.rank = d.rank AND p.idx = d.idx GROUP BY p.rank, p.doc_id, p.start)
+SELECT p.doc_id, p.size, t.source_size, t.target, coalesce(k.taken, 0) AS taken, coalesce(k.shards, 0) AS shards, k.first.shard AS first_shard, k.first.place AS first_place
 FROM placed p JOIN slots t ON p.rank = t.rank
 LEFT JOIN took k ON k.rank = p.rank AND k.doc_id IS NOT DISTINCT FROM p.doc_id AND k.start = p.start AND p.size > 0
 """
