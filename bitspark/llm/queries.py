@@ -145,7 +145,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from bitspark.llm import licenses, mixing
+    from bitspark.llm import licenses, mixing, packing
 
     files = "SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, text FROM documents"
-    return {"op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL}
+    return {"op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op3_length_buckets": packing.oracle(), "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL}
