@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,8 @@ HEADER = ">qii"
 HEADER_SIZE = struct.calcsize(HEADER)
 NO_ID = -(1 << 63)
 ROUNDS = 6
+TASK_BYTES = 1 << 30  # records that one task sorts and writes, if shards are larger in number than shuffle partitions
+SEQUENCE = "slot bigint, doc_id bigint, part int, tokens binary"
 
 
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -54,7 +57,7 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def _records(bases, n: int, key: int, stride: int, shard_slots: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = int(bases.value.get(TaskContext.get().partitionId(), 0))
+        number = int(bases.value[TaskContext.get().partitionId()])
         for whole in batches:
             for at in range(0, len(whole), 2048):
                 pdf = whole.iloc[at : at + 2048]
@@ -102,31 +105,51 @@ def materialise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
     null id is the least 64-bit integer.  Repeated rows are sequences of their own.  Other columns are
     ignored, whatever their names; an empty table writes nothing.
 
-    Records travel in compressed packets, one for each shard that a batch reaches.  Numbers are counted in
-    each partition from that partition's base; a table that isn't a plain scan of files could deal its
-    rows differently the second time, and is written to the shared folder first.
+    Records travel in compressed packets, one for each shard that a batch reaches, and meet in ranges of
+    slots: a task writes consecutive shards, one after the other.  Numbers are counted in each partition
+    from that partition's base, with the same splits of the files in both jobs; a table that isn't a plain scan
+    of files could deal its rows differently the second time, and is written to the shared folder first.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8").alias("raw"))
     if not _replayable(rows):
         rows = store(rows, "sequences")
-    sizes = rows.select(F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / stride)).alias("k"), F.spark_partition_id().alias("p")).groupBy("p").agg(F.sum("k").alias("k"))
-    bases, n = {}, 0
-    for r in sizes.orderBy("p").collect():  # two numbers for each partition
-        bases[r["p"]], n = n, n + r["k"]
-    shards = -(-n // shard_slots)
-    made = rows.mapInPandas(_records(spark.sparkContext.broadcast(bases), n, key, stride, shard_slots), "shard bigint, slots binary, records binary")
-    opened = made.repartition(max(1, shards), "shard").mapInPandas(_unpacked(stride), "shard bigint, slot bigint, record binary")
-    ordered = opened.sortWithinPartitions("shard", "slot")
-    ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    with _fixed_splits(spark):
+        parts = rows.rdd.getNumPartitions()
+        sizes = rows.select(F.greatest(F.lit(1), F.ceil(F.octet_length("raw") / stride)).alias("k"), F.spark_partition_id().alias("p")).groupBy("p").agg(F.sum("k").alias("k"))
+        counts = np.zeros(parts + 1, np.int64)  # eight bytes for each partition
+        for r in sizes.collect():
+            counts[r["p"] + 1] = r["k"]
+        bases = np.cumsum(counts)
+        n = int(bases[-1])
+        if not n:
+            return 0
+        shards = -(-n // shard_slots)
+        tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (HEADER_SIZE + stride + 1) // TASK_BYTES)))
+        run = -(-shards // tasks)  # consecutive shards of one task, a range of slots
+        made = rows.mapInPandas(_records(spark.sparkContext.broadcast(bases), n, key, stride, shard_slots), "shard bigint, slots binary, records binary")
+        dealt = made.repartitionById(tasks, F.expr(f"cast(shard div {run} as int)"))
+        ordered = dealt.mapInPandas(_unpacked(stride), "shard bigint, slot bigint, record binary").sortWithinPartitions("shard", "slot")
+        ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     _verify(spark, path, n, stride, shard_slots)
     return n
 
 
+@contextmanager
+def _fixed_splits(spark: SparkSession) -> Iterator[None]:
+    """Files are split alike in all jobs inside, though executors, and with them the default parallelism, come and go."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def _verify(spark: SparkSession, path: str, n: int, stride: int, shard_slots: int) -> None:
     """Raise unless every shard is one file of the length that its slots need; only names and lengths are read."""
-    if not n:
-        return
     size = HEADER_SIZE + stride + 1
     files = spark.read.format("binaryFile").load(path).select("shard", "length")
     want = F.least(F.lit(shard_slots), F.lit(n) - F.col("shard") * shard_slots) * size
@@ -156,7 +179,10 @@ def _read(stride: int, shard_slots: int, first: int, last: int):
 
 
 def read_sequences(spark: SparkSession, path: str, *, stride: int = 512, shard_slots: int = 1 << 14, first: int = 0, last: int | None = None) -> DataFrame:
-    """``slot, doc_id, part, tokens`` of the slots in [first, last), from the shards that hold them only."""
+    """``slot, doc_id, part, tokens`` of the slots in [first, last), from the shards that hold them only; none if nothing was written."""
     last = (1 << 62) if last is None else last
-    files = spark.read.format("binaryFile").load(path).where((F.col("shard") >= first // shard_slots) & (F.col("shard") * shard_slots < last))
-    return files.select(F.col("shard").cast("bigint").alias("shard"), "content").mapInPandas(_read(stride, shard_slots, first, last), "slot bigint, doc_id bigint, part int, tokens binary")
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # no documents, no shards
+        return spark.createDataFrame([], SEQUENCE)
+    files = files.where((F.col("shard") >= first // shard_slots) & (F.col("shard") * shard_slots < last))
+    return files.select(F.col("shard").cast("bigint").alias("shard"), "content").mapInPandas(_read(stride, shard_slots, first, last), SEQUENCE)
