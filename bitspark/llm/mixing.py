@@ -180,14 +180,16 @@ def mixed_documents(
 
     The text is made of the drawn blocks' words, slots joined with pieces, so that the words of a source are
     those that ``mix`` counts as ``taken``; ``chars``, if there is such a column, is set to a cut text's length.
-    A document taken whole is as it was, one of which nothing is taken is left out.  Rows are told apart
-    by a 64-bit hash of all their columns.
+    A document taken whole is as it was, one of which nothing is taken (null and blank texts too) is left
+    out.  Rows are told apart by a 64-bit hash of all their columns, so that different texts under one id, or
+    under none, are taken apart; repeated rows are taken each.  A null source is a source of its own.  An empty
+    table gives an empty one.
     """
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns])
     _, _, slots, pieces = _planned(docs, doc_id=doc_id, text=text, source=source, weights=weights, share=share, most=most, block=block, seed=seed, shard_slots=shard_slots, key=key)
     taken = pieces.join(slots.select("rank", "index", "epoch").hint("merge"), ["rank", "index"])
     parts = taken.groupBy(F.col("key").alias("__key"), "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("skip", "words"))).alias("__parts"))
-    rows = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(key.alias("__key"), "__row").groupBy("__key").agg(F.first("__row").alias("__row"))
+    rows = docs.select(key.alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).groupBy("__key").agg(F.first("__row").alias("__row"))
     both = rows.hint("merge").join(parts.select("__key", "__parts"), "__key")
     words = F.aggregate("__parts", F.lit(0).cast("bigint"), lambda n, p: n + p["words"])
     own = F.col(f"__row.`{text}`")

@@ -191,11 +191,12 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose documents are kept, with their columns; see ``judge``.
 
     Every row is written once with its counts to the shared folder, so that each has its own verdict,
-    whatever its id, and no text is counted twice.
+    whatever its id, and no text is counted twice: repeated rows stay repeated, and a null id is no reason to
+    go.  Null and blank texts fail the plain rules.  An empty table gives an empty one.
     """
     o = {"lang": "lang", "source": "source", "text": "text", "cutoff": 25.0, "min_group": 50, "h": 0.75, "steps": 4} | options
-    own = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(
-        "__row", level_keys(F.col(f"`{o['lang']}`"), F.col(f"`{o['source']}`")).alias("levels"), statistics(F.col(f"`{o['text']}`")).alias("s")
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), level_keys(F.col(f"`{o['lang']}`"), F.col(f"`{o['source']}`")).alias("levels"), statistics(F.col(f"`{o['text']}`")).alias("s")
     )
     counted = own.select("__row", "levels", "s.*").withColumn("base_failed", base_failed()).where("not base_failed").select("*", *features())
     stored = Stored(counted, "counted", "zstd").df

@@ -16,7 +16,7 @@ different texts counts.
    range) is traversed against itself.  A node pair is cut when its size ranges or its largest possible
    overlap rule out every link below it; surviving leaf pairs are compared exactly, unless both sides are
    connected already.
-4. A block over ``chunk`` nodes is compared inside chunks of that size first.  One node of each class so
+4. A block over ``chunk`` nodes, or of large sets, is compared inside chunks of bounded size first.  One node of each class so
    found stands for it in a comparison of the classes.  Mostly one class is left; only where there are
    several, their nodes are compared across classes, never inside one, as pairs of chunks.  A class that
    holds nearly all of a block thus costs time in proportion to its size.
@@ -45,6 +45,7 @@ BITMAP_BITS = 8192
 LEAF = 8
 HOT = 1 << 14
 FEW = 4
+CHUNK_SET_BYTES = 1 << 25  # sets that one side of a comparison holds at most, but for a single larger set
 SALT_SHIFT = 40  # a row's size carries its key's number of salts, less one, in the bits above
 
 
@@ -259,16 +260,35 @@ def _sets(width: int, bits: int, wanted):
 
 
 def _wanted(bits: int):
+    """Set keys -> the cells that they set, slice by slice."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.zeros(1 << bits, bool)
         for pdf in batches:
-            flags[(mix(pdf["fp"].to_numpy().astype(U)) & U((1 << bits) - 1)).astype(np.int64)] = True
-        if flags.any():
-            yield pd.DataFrame({"flags": [zlib.compress(np.packbits(flags).tobytes(), 1)]})
+            cell = np.unique((mix(pdf["fp"].to_numpy().astype(U)) & U((1 << bits) - 1)).astype(np.int64))
+            at = np.flatnonzero(np.diff(cell // SLICE, prepend=-1))
+            yield pd.DataFrame({"slice": cell[at] // SLICE, "cells": [(x % SLICE).astype(np.uint16).tobytes() for x in np.split(cell, at[1:])]})
 
     return run
 
 
+def _merge_wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for k, cells in zip(pdf["slice"], pdf["cells"], strict=True):
+            total.setdefault(k, np.zeros(SLICE, bool))[np.frombuffer(cells, np.uint16)] = True
+    for k, flags in total.items():
+        yield pd.DataFrame({"slice": [k], "flags": [zlib.compress(np.packbits(flags).tobytes(), 1)]})
+
+
+def _filter(nodes: DataFrame, bits: int) -> bytes:
+    """A bit for every cell that some node's key has: ``2**bits / 8`` bytes, merged on the executors."""
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    merged = nodes.select("fp").mapInPandas(_wanted(bits), "slice int, cells binary").repartition(min(1 << bits >> 16, 64), "slice")
+    for row in merged.mapInPandas(_merge_wanted, "slice int, flags binary").collect():
+        out[row["slice"] * (SLICE >> 3) : (row["slice"] + 1) * (SLICE >> 3)] = np.frombuffer(zlib.decompress(row["flags"]), np.uint8)
+    return out.tobytes()
+
+
 class SignatureTree:
     """Union bitmaps and size ranges over sets, leaves of ``LEAF`` sets, each level halving the one below."""
 
@@ -379,20 +399,22 @@ def _compare(tasks: DataFrame, bins: int, num: int, den: int, name: str) -> Stor
 
 
 def _block_links(nodes: DataFrame, parts: int, chunk: int, num: int, den: int) -> DataFrame:
-    """Links that connect all linked nodes of each block; ``nodes(fp, items, root, m)`` with the block's size ``m``."""
-    bins = lambda n: max(parts, math.ceil(n / chunk))
-    cut = lambda size, by: F.pmod(F.xxhash64(by), F.ceil(F.col(size) / F.lit(chunk)).cast("int")).cast("int")
-    total = nodes.count()
-    inner = nodes.withColumn("side", F.lit(0)).withColumn("seed", F.col("fp")).withColumn("task", F.concat_ws("|", "root", cut("m", "fp")))
-    links = _compare(inner, bins(total), num, den, "links").df
-    large = nodes.where(F.col("m") > chunk)
+    """Links that connect all linked nodes of each block; ``nodes(fp, items, root, m, w)`` with the block's nodes ``m`` and bytes ``w``."""
+    pieces = lambda m, w: F.greatest(F.ceil(F.col(m) / F.lit(chunk)), F.ceil(F.col(w) / F.lit(CHUNK_SET_BYTES))).cast("int")
+    cut = lambda m, w, by: F.pmod(F.xxhash64(by), pieces(m, w)).cast("int")
+    nodes = nodes.withColumn("b", F.length("items"))
+    total = nodes.agg(F.count("*").alias("m"), F.coalesce(F.sum("b"), F.lit(0)).alias("w")).first()
+    bins = max(parts, math.ceil(total["m"] / chunk), math.ceil(total["w"] / CHUNK_SET_BYTES))
+    inner = nodes.withColumn("side", F.lit(0)).withColumn("seed", F.col("fp")).withColumn("task", F.concat_ws("|", "root", cut("m", "w", "fp")))
+    links = _compare(inner, bins, num, den, "links").df
+    large = nodes.where(pieces("m", "w") > 1)
     if not large.limit(1).count():
         return links
 
     def classed(found: DataFrame) -> DataFrame:
         """Nodes of large blocks with their class so far."""
         known = Stored(components(found).select(F.col("node").alias("fp"), F.col("root").alias("seed")), "known")
-        return Stored(large.select("fp", "root", "m").distinct().join(known.df, "fp", "left").withColumn("seed", F.coalesce("seed", "fp")), "classed").df
+        return Stored(large.select("fp", "root", "b").distinct().join(known.df, "fp", "left").withColumn("seed", F.coalesce("seed", "fp")), "classed").df
 
     def paired(placed: DataFrame, keep) -> DataFrame:
         """``placed(fp, root, seed, side)`` -> a task for each pair of a block's sides that ``keep`` allows."""
@@ -404,22 +426,23 @@ def _block_links(nodes: DataFrame, parts: int, chunk: int, num: int, den: int) -
 
     first = classed(links)
     reps = first.where("fp = seed")  # a class is named by one of its nodes
-    sizes = Stored(reps.groupBy("root").agg(F.count("*").alias("k")), "reps").df
-    placed = reps.join(sizes, "root").withColumn("side", cut("k", "fp").cast("string"))
-    more = _compare(paired(placed, F.lit(True)), bins(total), num, den, "more").df
+    sizes = Stored(reps.groupBy("root").agg(F.count("*").alias("k"), F.sum("b").alias("w")), "reps").df
+    placed = reps.join(sizes, "root").withColumn("side", cut("k", "w", "fp").cast("string"))
+    more = _compare(paired(placed, F.lit(True)), bins, num, den, "more").df
     links = links.union(more)
     now = classed(links)
-    counts = Stored(now.groupBy("root", "seed").agg(F.count("*").alias("c")), "counts").df
-    open_ = counts.groupBy("root").agg(F.count("*").alias("k"), F.max("c").alias("most"), F.sum(F.when(F.col("c") <= chunk, F.col("c")).otherwise(0)).alias("rest")).where("k > 1 and most > 1")
-    open_ = Stored(open_.select("root", "rest"), "open").df
+    counts = Stored(now.groupBy("root", "seed").agg(F.count("*").alias("c"), F.sum("b").alias("cw")).withColumn("parts", pieces("c", "cw")), "counts").df
+    few = lambda x: F.sum(F.when(F.col("parts") == 1, F.col(x)).otherwise(0))
+    open_ = counts.groupBy("root").agg(F.count("*").alias("k"), F.max("c").alias("most"), few("c").alias("rest"), few("cw").alias("rest_w")).where("k > 1 and most > 1")
+    open_ = Stored(open_.select("root", "rest", "rest_w"), "open").df
     if not open_.limit(1).count():
         return links
-    big = F.concat_ws(":", F.lit("big"), "seed", cut("c", "fp"))
-    small_ = F.concat_ws(":", F.lit("few"), cut("rest", "seed"))
-    placed = now.join(open_, "root").join(counts, ["root", "seed"]).withColumn("side", F.when(F.col("c") > chunk, big).otherwise(small_))
+    big = F.concat_ws(":", F.lit("big"), "seed", cut("c", "cw", "fp"))
+    small_ = F.concat_ws(":", F.lit("few"), cut("rest", "rest_w", "seed"))
+    placed = now.join(open_, "root").join(counts, ["root", "seed"]).withColumn("side", F.when(F.col("parts") > 1, big).otherwise(small_))
     name = lambda c: F.substring_index(c, ":", 2)
     apart = ~(F.col("side").startswith("big") & (name(F.col("side")) == name(F.col("side2"))))
-    last = _compare(paired(placed, apart), bins(total), num, den, "last").df
+    last = _compare(paired(placed, apart), bins, num, den, "last").df
     return links.union(last)
 
 
@@ -463,13 +486,12 @@ def near_duplicates(
     blocks = Stored(components(few.union(ties.df.where("need = 0").select("a", "b")).union(across)).select(F.col("node").alias("fp"), "root"), "blocks")
     ties.drop()
 
-    cell = 22
-    flags = np.zeros(1 << cell >> 3, np.uint8)
-    for row in blocks.df.select("fp").mapInPandas(_wanted(cell), "flags binary").toLocalIterator():
-        flags |= np.frombuffer(zlib.decompress(row["flags"]), np.uint8)
-    wanted = spark.sparkContext.broadcast(flags.tobytes())
-    sizes = Stored(blocks.df.groupBy("root").agg(F.count("*").alias("m")), "sizes")
-    placed = Stored(blocks.df.join(sizes.df, "root").select("fp", "root", "m"), "placed")
+    # at most 2^28 bits, 32 MB; a fuller filter lets sets through that the join below leaves out
+    cell = min(28, max(22, math.ceil(math.log2(8 * blocks.df.count() + 1))))
+    wanted = spark.sparkContext.broadcast(_filter(blocks.df, cell))
+    sized = blocks.df.join(rows.where("n > 0").groupBy("fp").agg(F.first("n").alias("n")), "fp")
+    sizes = Stored(sized.groupBy("root").agg(F.count("*").alias("m"), (F.sum("n") * 8).alias("w")), "sizes")
+    placed = Stored(blocks.df.join(sizes.df, "root").select("fp", "root", "m", "w"), "placed")
     sets = texts.where("text is not null").mapInPandas(_sets(width, cell, wanted), "fp bigint, items binary")
     nodes = Stored(sets.join(small(placed.df), "fp"), "sets")
     blocks.drop()
@@ -487,3 +509,18 @@ def near_duplicates(
     best.drop()
     out = named.join(final.df, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, less all but one of each class of near-duplicates: that with the smallest id stays.
+
+    Rows are told apart by themselves, not by their ids: different texts under one id are judged apart, of
+    equal ids in a class that with the smallest hash of its columns stays, and a null id comes after all
+    others.  Rows without words are in no class and stay.  Options are those of ``near_duplicates``.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = Stored(docs.select(F.struct(*columns).alias("d"), F.monotonically_increasing_id().alias("r")), "rows", "zstd").df
+    classes = near_duplicates(rows.select(F.col("r").alias("doc_id"), F.col(f"d.`{text}`").alias("text")), **options)
+    named = rows.select("r", F.col(f"d.`{doc_id}`").cast("bigint").alias("i"), F.xxhash64("d").alias("h")).join(classes.select(F.col("doc_id").alias("r"), "component_id"), "r")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("z"), "i", "h", "r")).alias("m")).select("m.r")
+    return rows.join(Stored(first, "kept").df, "r", "left_semi").select("d.*")

@@ -138,8 +138,10 @@ def test_signature_tree_equals_all_pairs(seed):
     assert sigtree.linked_classes(sets, 3, 4).tolist() == [find(i) for i in range(len(sets))]
 
 
-def test_large_blocks_lose_no_link(spark):
-    """One block with classes larger and smaller than a chunk, chains over them and lone sets: rounds by class give all classes."""
+@pytest.mark.parametrize(("chunk", "size"), [(16, 1 << 25), (1024, 8000)])
+def test_large_blocks_lose_no_link(spark, monkeypatch, chunk, size):
+    """One block with classes larger and smaller than a chunk of nodes or of bytes, chains over them and lone sets: rounds by class give all classes."""
+    monkeypatch.setattr(sigtree, "CHUNK_SET_BYTES", size)
     rng = np.random.default_rng(8)
     sets = []
     for size in (70, 45, 6, 3):
@@ -150,9 +152,10 @@ def test_large_blocks_lose_no_link(spark):
     sets += [np.unique(rng.integers(0, 2**60, 60, np.uint64)) for _ in range(20)]
     fps = rng.permutation(len(sets)) + 1000
     want = sigtree.linked_classes(sets, 3, 4)
-    rows = [(int(f), s.tobytes(), 7, len(sets)) for f, s in zip(fps, sets, strict=True)] + [(1, sets[0].tobytes(), 8, 2), (2, sets[0].tobytes(), 8, 2)]
-    nodes = spark.createDataFrame(rows + rows[:5], "fp bigint, items binary, root bigint, m bigint")
-    got = {r.node: r.root for r in sigtree.components(sigtree._block_links(nodes, 4, 16, 3, 4)).collect()}
+    weight = sum(s.nbytes for s in sets)
+    rows = [(int(f), s.tobytes(), 7, len(sets), weight) for f, s in zip(fps, sets, strict=True)] + [(1, sets[0].tobytes(), 8, 2, 2 * sets[0].nbytes), (2, sets[0].tobytes(), 8, 2, 2 * sets[0].nbytes)]
+    nodes = spark.createDataFrame(rows + rows[:5], "fp bigint, items binary, root bigint, m bigint, w bigint")
+    got = {r.node: r.root for r in sigtree.components(sigtree._block_links(nodes, 4, chunk, 3, 4)).collect()}
     assert got[1] == got[2] == 1
     classes = collections.defaultdict(set)
     for f, w in zip(fps.tolist(), want.tolist(), strict=True):
@@ -181,6 +184,17 @@ def test_runs_split_over_batches_give_the_same_ties():
 # ---------------------------------------------------------------- quality
 
 
+def test_one_row_of_each_class_stays(docs, rows):
+    kept = sigtree.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    groups = collections.defaultdict(list)
+    for k, (a, b, *_) in enumerate(rows):
+        groups[next((j for j in range(len(rows)) if shingle_set(b) and 100 * len(shingle_set(rows[j][1]) & shingle_set(b)) >= 75 * len(shingle_set(rows[j][1]) | shingle_set(b))), k + 1000)].append((a is None, a or 0, k))
+    want = collections.Counter(rows[min(g)[2]][:2] for g in groups.values())
+    assert got == want
+
+
 def brute_counts(text):
     text = text or ""
     w = words(text)
@@ -494,6 +508,70 @@ def test_fingerprints(docs, rows):
     assert np.mean([r.near_edited for r in prose]) > 0.35 and np.mean([r.near_next for r in prose]) < 0.1
 
 
+def spot_strings(text):
+    """Signatures of a text before they are hashed, by plain loops over its words."""
+    plain = re.sub(r"[!-/:-@\[-`{-~]+", "", (text or "").lower())
+    items, run = [], 0
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", plain) if w]
+    for k, w in enumerate(found):
+        anchor = w in spotsigs.ANCHORS.split()
+        run = 0 if anchor else run + 1
+        items.append((anchor, w))
+        if run == spotsigs.RUN and k + 1 < len(found) and found[k + 1] not in spotsigs.ANCHORS.split():
+            items.append((True, ""))
+            run = 0
+        elif run == spotsigs.RUN:
+            run = 0
+    out = set()
+    for k, (anchor, w) in enumerate(items):
+        chain = [x for a, x in items[k + 1 :] if not a][: spotsigs.CHAIN]
+        if anchor and len(chain) == spotsigs.CHAIN:
+            out.add((w, *chain))
+    return out
+
+
+def test_signatures_equal_plain_loops(docs, rows, spark):
+    texts = [r[1] for r in rows if r[1] and len(r[1]) < 20_000] + ["the cat sat on the mat with a hat", "one two three four five six seven the eight nine ten eleven twelve thirteen fourteen", "a b. The c, d-e the f of g!"]
+    strings = [spot_strings(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [set(r.s) for r in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).orderBy("doc_id").collect()]
+    assert sum(map(bool, strings)) > 25
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if strings[a] and strings[b]:
+            assert len(sets[a]) == len(strings[a]) and len(sets[a] & sets[b]) == len(strings[a] & strings[b])
+    # the likeness to the edited text, from the strings
+    got = {r.doc_id: r for r in spotsigs.fingerprints(df).collect()}
+    for k in range(1, len(texts)):
+        cut = len(texts[k]) // 3
+        edited = spot_strings(texts[k][: len(texts[k]) - cut] + texts[k - 1][:cut])
+        if strings[k] and edited:
+            assert math.isclose(got[k].near_edited, len(edited & strings[k]) / len(edited | strings[k]))
+
+
+def test_leaders_equal_plain_loops(spark, docs, rows):
+    group = [(k, "the " + t.replace(" ", " the ", 30)) for k, t in near_group(3, 60)] + [(r[0], r[1]) for r in rows]
+    df = spark.createDataFrame(group, "doc_id bigint, text string")
+    made = [(r.doc_id, r.s) for r in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()]
+    part = lambda s: math.floor(math.log(len(s)) / -math.log(0.75) + 1e-9)
+    heads = {}
+    for d, s in made:
+        if d is not None and s:
+            key = (part(s), s[0])
+            heads[key] = min(heads.get(key, (d, s)), (d, s), key=lambda x: x[0])
+    want = set()
+    for d, s in made:
+        best = None
+        for p in (-1, 0, 1):
+            h = heads.get((part(s) + p, s[0])) if d is not None and s else None
+            if h and h[0] < d:
+                near = len(set(s) & set(h[1])) / len(set(s) | set(h[1]))
+                if near >= 0.75 and (best is None or h[0] < best[0]):
+                    best = (h[0], round(near, 9))
+        want.add((d, *(best or (None, None))))
+    got = {(r.doc_id, r.leader, None if r.near_leader is None else round(r.near_leader, 9)) for r in spotsigs.fingerprints(df).collect()}
+    assert got == want and sum(x[1] is not None for x in want) > 20
+
+
 def test_one_document_follows_itself(spark):
     r = spotsigs.fingerprints(spark.createDataFrame([(1, "the cat and the dog")], "doc_id int, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"the cat and tthe ca").hexdigest() and r.near_next == 1.0
