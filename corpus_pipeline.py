@@ -19,15 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by n-gram Jaccard similarity that with the smallest id.
-
-    Rows without words are linked with nothing and stay; of repeated rows of one id one stays, and rows
-    without an id stay.
-    """
-    classes = sigtree.near_duplicates(docs.select("doc_id", "text"))
-    first = classes.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    """Of each class of documents linked by n-gram Jaccard similarity that with the smallest id; rows without words stay."""
+    return sigtree.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
