@@ -1,9 +1,9 @@
 """Quality rules with robust multivariate outliers.
 
 Each text becomes a few counts, and these a vector of transformed rates.  Per language and source a
-minimum covariance determinant estimate of centre and scatter is found by concentration steps: start at
-the coordinates' medians and quartile ranges, keep the ``h`` share of vectors nearest to the centre, take
-their mean and covariance, repeat.  Vectors too far from their group's estimate by Mahalanobis distance
+minimum covariance determinant estimate of centre and scatter is found by concentration steps from several
+fixed starts: keep the ``h`` share of vectors nearest to the centre, take their mean and covariance, repeat;
+the end with the least determinant is the estimate.  Vectors too far from their group's estimate by Mahalanobis distance
 are rejected, as are texts that fail two plain rules.  DataFrame operations only: quantiles and moments
 are mergeable aggregates, so a hot group costs no task more than its share.
 """
@@ -115,35 +115,52 @@ def _distance(x: list[Column], p: str = "") -> Column:
 
 
 def _cholesky(groups: DataFrame, factor: float) -> DataFrame:
-    """``key, n, m*, c*`` (means, covariances) -> ``key, n, m*, l*``."""
+    """``key, start, n, m*, c*`` (means, covariances) -> ``key, start, n, m*, l*``."""
     for i in range(len(FEATURES)):
         for j in range(i + 1):
             v = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) * F.lit(factor) + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(FLOORS[i] ** 2 / 4))) if i == j else v / F.col(f"l{j}{j}"))
-    return groups.select("key", "n", *[f"m{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i, j in PAIRS])
+    return groups.select("key", "start", "n", *[f"m{i}" for i in range(len(FEATURES))], *[f"l{i}{j}" for i, j in PAIRS])
+
+
+def _moments(rows: DataFrame, *keys: str, count: bool = False) -> DataFrame:
+    many = [F.count("*").alias("n")] if count else []
+    return rows.groupBy(*keys).agg(*many, *[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def _nearest(vectors: DataFrame, now: DataFrame, h: float) -> DataFrame:
+    """Moments of the ``h`` share of each group's vectors that is nearest to each of its estimates so far."""
+    near = vectors.join(small(now), "key").withColumn("d", _distance([F.col(f) for f in FEATURES]))
+    cut = Stored(near.groupBy("key", "start").agg(F.percentile_approx("d", h, 1000).alias("cut")), "cut")
+    return _moments(near.join(small(cut.df), ["key", "start"]).where("d <= cut"), "key", "start", "n")
 
 
 def fit(vectors: DataFrame, *, h: float = 0.75, steps: int = 4) -> Stored:
-    """Estimates ``key, n, m*, l*`` for every group of ``vectors(key, features...)``."""
-    x = [F.col(f) for f in FEATURES]
+    """Estimates ``key, n, m*, l*`` for every group of ``vectors(key, features...)``.
+
+    Concentration steps go from three starts: medians with quartile ranges, the moments of all vectors, and
+    those of the half nearest to the first start.  A step never raises the determinant but may end in a local
+    minimum, so of the three ends the one with the least determinant is a group's estimate.
+    """
     quartiles = vectors.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
-    start = quartiles.select(
-        "key", "n", *[F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(len(FEATURES))],
+    middle = quartiles.select(
+        "key", F.lit(0).alias("start"), "n", *[F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(len(FEATURES))],
         *[((F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, F.lit(2.0))) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS],
     )
-    now = Stored(_cholesky(start, 1.0), "mcd")
+    first = Stored(_cholesky(middle, 1.0), "mcd")
+    everything = _cholesky(_moments(vectors, "key", count=True).withColumn("start", F.lit(1)), 1.0)
+    half = _cholesky(_nearest(vectors, first.df, 0.5), consistency(0.5)).withColumn("start", F.lit(2))
+    now = Stored(first.df.union(everything).union(half), "mcd")
     for _ in range(steps):
-        near = vectors.join(small(now.df), "key").withColumn("d", _distance(x))
-        cut = Stored(near.groupBy("key").agg(F.percentile_approx("d", h, 1000).alias("cut")), "cut")
-        kept = near.join(small(cut.df), "key").where("d <= cut")
-        means = kept.groupBy("key", "n").agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}{j}") for i, j in PAIRS])
-        after = Stored(_cholesky(means, consistency(h)), "mcd")
-        cut.drop()
+        after = Stored(_cholesky(_nearest(vectors, now.df, h), consistency(h)), "mcd")
         now.drop()
         now = after
-    return now
+    determinant = sum((F.log(f"l{i}{i}") for i in range(1, len(FEATURES))), F.log("l00"))
+    rest = [c for c in now.df.columns if c not in ("key", "start")]
+    best = now.df.groupBy("key").agg(F.min(F.struct(F.round(determinant, 9).alias("det"), "start", *rest)).alias("b"))
+    return Stored(best.select("key", *[f"b.{c}" for c in rest]), "mcd")
 
 
 def judge(

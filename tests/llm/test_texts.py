@@ -242,7 +242,7 @@ def test_estimate_equals_numpy(spark):
     x = np.abs(rng.normal(1, 0.3, (400, 4)))
     x[:40] += 4
     df = spark.createDataFrame([("0", *map(float, r)) for r in x], ", ".join(["key string", *[f"{f} double" for f in quality.FEATURES]]))
-    one, two = (quality.fit(df, steps=k).df.first() for k in (3, 4))
+    one, two = (quality.fit(df, steps=k).df.first() for k in (5, 6))
 
     def distances(p):
         low = np.zeros((4, 4))
@@ -260,6 +260,47 @@ def test_estimate_equals_numpy(spark):
     assert np.allclose(low @ low.T, cov, atol=5e-3) and (distances(two)[:40] > 25).all()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_estimate_has_the_least_determinant_of_all_subsets(spark, seed):
+    """Groups of 14 vectors with far outliers: every subset of 11 is tried."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, [3, 2, 4, 3], (14, 4)) + 50
+    x[:3] += rng.normal(0, 5, (3, 4)) + [60, -40, 50, 40]
+    df = spark.createDataFrame([("0", *map(float, r)) for r in x], ", ".join(["key string", *[f"{f} double" for f in quality.FEATURES]]))
+    r = quality.fit(df, h=11 / 14).df.first()
+    best = min(itertools.combinations(range(14), 11), key=lambda c: np.linalg.det(np.cov(x[list(c)].T, bias=True)))
+    assert np.allclose([r[f"m{i}"] for i in range(4)], x[list(best)].mean(0)) and r.n == 14
+    low = np.zeros((4, 4))
+    for i, j in quality.PAIRS:
+        low[i, j] = r[f"l{i}{j}"]
+    assert np.allclose(low @ low.T, np.cov(x[list(best)].T, bias=True) * quality.consistency(11 / 14) + np.diag(np.square(quality.FLOORS)))
+
+
+def test_verdict_equals_numpy(spark, docs):
+    """Kept and rejected from the returned counts and the group estimates, recomputed."""
+    from tests.llm.conftest import prose
+
+    rows = [(k, prose(k, 120 + k % 50) + (" #" * (k % 3) if k % 9 else " $$$ #" * 40), "en" if k % 4 else "de", "a" if k % 2 else "b") for k in range(260)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    got = quality.judge(df, min_group=60).collect()
+    flat = df.select("doc_id", quality.level_keys(F.col("lang"), F.col("source")).alias("levels"), quality.statistics(F.col("text")).alias("s")).select("doc_id", "levels", "s.*").withColumn("base_failed", quality.base_failed()).select("*", *quality.features())
+    group = {r.key: r for r in quality.estimates(flat, min_group=60, h=0.75, steps=4).collect()}
+    by, kept = {r.doc_id: r for r in flat.collect()}, 0
+    for r in got:
+        f = by[r.doc_id]
+        if r.base_failed:
+            assert not r.kept
+            continue
+        g = next(group[k] for k in f.levels if k in group)
+        low = np.zeros((4, 4))
+        for i, j in quality.PAIRS:
+            low[i, j] = g[f"l{i}{j}"]
+        d = (np.linalg.solve(low, np.array([f[c] for c in quality.FEATURES]) - [g[f"m{i}"] for i in range(4)]) ** 2).sum()
+        assert math.isclose(d, r.distance, rel_tol=1e-6, abs_tol=1e-6) and r.kept == (d <= 25)
+        kept += r.kept
+    assert 0 < kept < len(got) and set(group) == {"0", '1=en', '1=de', '2["=en","=a"]', '2["=en","=b"]', '2["=de","=b"]'} & set(group) and len(group) > 3
+
+
 def test_keep_good_keeps_columns(docs):
     kept = quality.keep_good(docs, min_group=10_000)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} >= {0, 1, 111}
