@@ -1,107 +1,191 @@
 """Licence scans.
 
-A file's header is its lines that speak of licensing.  Headers and licence files become sparse TF-IDF
-vectors and are compared with templates by cosine.  A file without a licence of its own inherits that of
-the nearest directory above it that holds a licence file, by joins of paths with their ancestors.
-DataFrame operations only.
+Templates are notices and whole licence texts, cut into passages of at most ``STEP`` words; three dots stand
+for what may come between two of them.  A file is read
+through windows of ``2 * STEP`` words, so that every passage that it holds lies whole in one of them, wherever
+lines are broken.  Windows and passages are sparse TF-IDF vectors over words and pairs of neighbouring words; a
+window is compared with a passage by the cosine over the passage's own terms, so that words round a notice
+can't dilute it, and document frequencies are those of the templates, so that a verdict doesn't depend on
+how large the corpus is.  A template's score is the mean of its passages' best cosines in the file.
+
+A file without a licence of its own inherits that of the nearest directory above it that holds a licence
+file, by joins of paths with their ancestors.  DataFrame operations only.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitspark.llm.quality import let
 from bitspark.llm.scratch import Stored, small
 
-# Notices by which the licences ask to be named.
+# Notices by which the licences ask to be named, the texts of short licences, and the opening
+# and the marking clauses of long ones.
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
 TEMPLATES = {
     "MIT": (
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
         "SPDX-License-Identifier: Apache-2.0",
     ),
+    "GPL-2.0": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0",
     ),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0"),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0"),
+    "BSD-2-Clause": (BSD_GRANT, "Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "BSD-3-Clause": (f"{BSD_GRANT} ... {BSD_NAME}", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software", "SPDX-License-Identifier: Unlicense",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0 Universal.",),
-    "Proprietary": ("All rights reserved.", "Copyright, all rights reserved. Confidential and proprietary."),
+    "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0 Universal.", "CC0 1.0 Universal Statement of Purpose"),
+    "Proprietary": ("All rights reserved.", "Confidential and proprietary."),
 }
-CUES = r"(?i)licen[cs]e|copyright|\bspdx|all rights reserved|permission is hereby granted|redistribut|public domain|creative commons|\bcc by\b|\bcc0\b"
-#: Names of licence files; a file by another name is one if at least half of its lines speak of licensing.
+#: Claims that stand beside many licences; they count where no licence is found.
+WEAK = ("Proprietary",)
+#: Words too common to make a text worth reading closely.
+COMMON = "a above all an and any are as at be by for free from holder in into is it may name not of on or other people person program public so terms that the this to under use used version with without work you your 0 1 2 3 4".split()
+#: Names of licence files; a file by another name is one if its template makes up at least half of its words.
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
+STEP = 32
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 0)
-
-
-def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -> DataFrame:
-    """``license, notice, body``: each notice of each licence, numbered."""
-    rows = [(name, body) for name, bodies in sorted(templates.items()) for body in bodies]
-    return spark.createDataFrame([(name, k, body) for k, (name, body) in enumerate(rows)], "license string, notice int, body string")
-
-
-def header(text: Column) -> Column:
-    """Struct of the lines that speak of licensing, joined, and whether they are at least half of the lines with a character other than white space."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
-    said = F.filter(lines, lambda x: x.rlike(CUES))
-    return F.when(F.coalesce(text, F.lit("")).rlike(CUES), F.struct(F.array_join(said, " ").alias("header"), (F.size(said) * 2 >= F.size(lines)).alias("mostly")))
-
-
-def scan(files: DataFrame, *, path: str = "path", text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.4) -> DataFrame:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+@dataclass
+class Shapes:
+    """Templates as tables: ``passages`` (passage, template, norm), ``terms`` (passage, term, weight), ``templates`` (template, license, weak, passages, words)."""
+
+    passages: list[tuple[int, int, int]]
+    terms: list[tuple[int, str, int]]
+    templates: list[tuple[int, str, bool, int, int]]
+    strong: list[str]
+    least: int
+
+    @property
+    def singles(self) -> list[str]:
+        return sorted({t for _, t, _ in self.terms if " " not in t})
+
+    @property
+    def pairs(self) -> list[str]:
+        return sorted({t for _, t, _ in self.terms if " " in t})
+
+
+def shapes(templates: dict[str, tuple[str, ...]], threshold: float) -> Shapes:
+    """Vectors of the templates, with squared weights as whole millionths, and which words a text must have to reach ``threshold``."""
+    found, passages, n = [], [], 0
+    for name, bodies in sorted(templates.items()):
+        for body in bodies:
+            cuts = []
+            for part in body.lower().split("..."):
+                words = re.findall(r"[^\W_]+", part)
+                size = math.ceil(len(words) / math.ceil(len(words) / STEP))  # passages of about equal length
+                cuts += [words[k : k + size] for k in range(0, len(words), size)]
+            passages += [(n, set(c) | {f"{a} {b}" for a, b in zip(c, c[1:], strict=False)}) for c in cuts]
+            found.append((n, name, name in WEAK, len(cuts), sum(map(len, cuts))))
+            n += 1
+    df: dict[str, int] = {}
+    for _, terms in passages:
+        for t in terms:
+            df[t] = df.get(t, 0) + 1
+    weight = {t: round(1e6 * (math.log((1 + len(passages)) / (1 + k)) + 1) ** 2) for t, k in df.items()}
+    common, least = set(COMMON), 2
+    for _, terms in passages:
+        total = sum(weight[t] for t in terms)
+        rare = [t for t in terms if " " not in t and t not in common]
+        for some in ([], *[[t] for t in rare]):  # what a text with no or one word that isn't common can reach
+            reach = sum(weight[t] for t in terms if all(w in common or w in some for w in t.split()))
+            if reach >= threshold**2 * total:
+                least = min(least, len(some))
+    # any text may match a template of common words alone: then every word counts
+    strong = sorted({t for _, terms in passages for t in terms if " " not in t and (least == 0 or t not in common)})
+    return Shapes(
+        [(k, p, sum(weight[t] for t in terms)) for k, (p, terms) in enumerate(passages)], [(k, t, weight[t]) for k, (_, terms) in enumerate(passages) for t in sorted(terms)], found, strong, max(least, 1),
+    )
+
+
+def scan(files: DataFrame, *, path: str = "path", text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.75) -> DataFrame:
     """Licence of every file: ``path, own_license, own_score, inherited_license, inherited_from, license``.
 
-    ``own_license`` is that of the notice with the highest cosine to the file's header if that reaches
-    ``threshold`` (ties: the first name).  Document frequencies are counted over all headers and
-    templates.  A licence file's licence holds for its directory (of several the most certain, ties: the
-    first name) and is inherited by files in and below it that have none of their own; the nearest counts.
+    ``own_license`` is that of the template with the highest score of ``threshold`` or more; of equal scores
+    the one that comes first in the file counts, then the longest template, then the first name.  A claim
+    in ``WEAK`` counts only without any other.  A licence file's licence holds for its directory (of several
+    the most certain, ties: the first name) and is inherited by files in and below it that have none of their
+    own; the nearest counts.
 
     A null or blank text has no licence of its own but may inherit; a null path is in no directory and
-    repeated rows give repeated rows.  Other columns are ignored, whatever their names; an empty table
-    gives an empty result.
+    repeated rows give repeated rows.  Texts of any length are read whole.  Other columns are ignored,
+    whatever their names; an empty table gives an empty result.
     """
     spark = files.sparkSession
-    rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), header(F.col(f"`{text}`")).alias("h")).select("path", F.col("h.header").alias("header"), F.coalesce("h.mostly", F.lit(False)).alias("mostly"))
-    rows = Stored(rows.withColumn("file", F.monotonically_increasing_id()), "headers").df
-    shown = template_table(spark, TEMPLATES if templates is None else templates)
-    names = shown.select("notice", "license")
-    heads = rows.where("header is not null").select("file", F.explode(_terms(F.col("header"))).alias("term")).groupBy("file", "term").agg(F.count("*").alias("tf"))
-    heads = Stored(heads, "terms").df
-    shapes = shown.select("notice", F.explode(_terms(F.col("body"))).alias("term")).groupBy("notice", "term").agg(F.count("*").alias("tf"))
-    df = heads.select("term").union(shapes.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = heads.select("file").distinct().count() + shown.count()
-    idf = df.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weigh = lambda t, who: t.join(idf.hint("merge"), "term").select(who, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    vec, ref = Stored(weigh(heads, "file"), "vectors").df, Stored(weigh(shapes, "notice"), "templates").df
-    norm = lambda t, who, name: t.groupBy(who).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = vec.join(ref.select("notice", "term", F.col("w").alias("v")), "term").groupBy("file", "notice").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = dots.join(norm(vec, "file", "a").hint("merge"), "file").join(norm(ref, "notice", "b"), "notice").join(names, "notice").select("file", "license", F.round(F.col("dot") / (F.col("a") * F.col("b")), 9).alias("score"))
-    best = cosine.groupBy("file").agg(F.max("score").alias("own_score")).join(cosine.hint("merge"), "file").where("score = own_score").groupBy("file", "own_score").agg(F.min("license").alias("own_license")).where(F.col("own_score") >= threshold)
-    own = Stored(rows.select("file", "path", "mostly").join(best.hint("merge"), "file", "left"), "own").df
-
+    shape = shapes(TEMPLATES if templates is None else templates, threshold)
+    rows = files.select(F.col(f"`{path}`").cast("string").alias("path"), let(_terms(F.col(f"`{text}`")), lambda t: F.struct(F.size(t).alias("n"), _hits(t, shape).alias("hits"))).alias("s"))
+    rows = Stored(rows.select("path", "s.*", F.monotonically_increasing_id().alias("file")), "words").df
+    hits = rows.where("hits is not null").select("file", F.explode("hits").alias("h")).select("file", "h.term", F.explode(F.array(F.col("h.at"), F.col("h.at") - 1)).alias("win")).where("win >= 0").distinct()
+    # the tables of templates are of fixed size
+    terms = F.broadcast(spark.createDataFrame(shape.terms, "passage int, term string, weight bigint"))
+    passages = F.broadcast(spark.createDataFrame(shape.passages, "passage int, template int, norm bigint"))
+    shown = F.broadcast(spark.createDataFrame(shape.templates, "template int, license string, weak boolean, passages int, words int"))
+    shares = hits.join(terms, "term").groupBy("file", "win", "passage").agg(F.sum("weight").alias("w"))
+    best = shares.groupBy("file", "passage").agg(F.max(F.struct("w", (-F.col("win")).alias("before"))).alias("b")).join(passages, "passage")
+    scores = best.groupBy("file", "template").agg(F.sum(F.sqrt(F.col("b.w") / F.col("norm"))).alias("s"), F.max("b.before").alias("before")).join(shown, "template")
+    scores = scores.withColumn("score", F.round(F.col("s") / F.col("passages"), 9)).where(F.col("score") >= threshold)
+    own = scores.groupBy("file").agg(F.min(F.struct("weak", -F.col("score"), -F.col("before"), -F.col("words"), "license", F.col("score").alias("score"), F.col("words").alias("words"))).alias("o"))
+    own = own.select("file", F.col("o.license").alias("own_license"), F.col("o.score").alias("own_score"), F.col("o.words").alias("words"))
+    own = rows.select("file", "path", "n").join(own.hint("merge"), "file", "left").withColumn("mostly", F.coalesce(F.col("words") * 2 >= F.col("n"), F.lit(False))).drop("n", "words")
+    return _inherited(Stored(own, "own").df)
+
+
+def _hits(t: Column, shape: Shapes) -> Column:
+    """Words and pairs of ``t`` that templates have, each with the number of its ``STEP``; null if there are too few words that tell."""
+    # over ten literals become one hash set
+    tells = F.size(F.array_distinct(F.filter(t, lambda x: x.isin(shape.strong)))) >= shape.least
+
+    def at(i: Column) -> Column:
+        one, two = F.get(t, i), F.concat_ws(" ", F.get(t, i), F.get(t, i + 1))
+        hit = lambda term: F.struct(F.floor(i / STEP).cast("int").alias("at"), term.alias("term"))
+        return F.when(two.isin(shape.pairs), F.array(hit(one), hit(two))).otherwise(F.array(hit(one)))
+
+    places = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(t, i).isin(shape.singles))
+    return F.when(tells, F.array_distinct(F.flatten(F.transform(places, at))))
+
+
+def _inherited(own: DataFrame) -> DataFrame:
+    """``path, own_license, own_score, mostly`` -> with the licence of the nearest directory that has one."""
     slash = F.length("path") - F.length(F.substring_index("path", "/", -1))
     located = own.withColumn("dir", F.when(slash > 0, F.substring("path", F.lit(1), slash)).otherwise(F.when(F.col("path").isNotNull(), F.lit(""))))
     holds = located.where("own_license is not null and path is not null").where(F.col("path").rlike(NAMES) | F.col("mostly"))
     # greatest score first, then the first name: of a directory's licence files only one row goes on
-    top = holds.groupBy("dir").agg(F.max("own_score").alias("s"))
-    at_dir = holds.join(top, "dir").where("own_score = s").groupBy("dir").agg(F.min(F.struct("own_license", "path")).alias("l")).select(F.col("dir").alias("holder"), F.col("l.own_license").alias("inherited_license"), F.col("l.path").alias("inherited_from"))
+    at_dir = holds.groupBy("dir").agg(F.min(F.struct(-F.col("own_score"), "own_license", "path")).alias("l")).select(F.col("dir").alias("holder"), F.col("l.own_license").alias("inherited_license"), F.col("l.path").alias("inherited_from"))
     dirs = located.where("own_license is null and dir is not null").select("dir").distinct()
     above = dirs.withColumn("holder", F.explode(ancestors(F.col("dir"))))
     near = above.join(at_dir, "holder").groupBy("dir").agg(F.max(F.struct(F.length("holder").alias("depth"), "inherited_license", "inherited_from")).alias("n")).select("dir", "n.inherited_license", "n.inherited_from")
@@ -117,31 +201,31 @@ def ancestors(folder: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
 
 
-def oracle(files: str, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.4) -> str:
+def oracle(files: str, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.75) -> str:
     """The same scan as one SQL statement over ``files``, a query that gives unique ``doc_id``, ``path`` and ``text``; paths aren't null."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    shown = [(name, body) for name, bodies in sorted((TEMPLATES if templates is None else templates).items()) for body in bodies]
-    values = ", ".join(f"({quote(name)}, {k}, {quote(body)})" for k, (name, body) in enumerate(shown))
-    terms = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: len(t) > 0)"
-    said = f"list_filter(lines, lambda x: regexp_matches(x, {quote(CUES)}))"
+    show = lambda rows: ", ".join("(" + ", ".join(quote(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    shape = shapes(TEMPLATES if templates is None else templates, threshold)
     return f"""
-WITH shown AS (SELECT * FROM (VALUES {values}) AS v(license, notice, body)),
+WITH terms AS (SELECT * FROM (VALUES {show(shape.terms)}) AS v(passage, term, weight)),
+passages AS (SELECT * FROM (VALUES {show(shape.passages)}) AS v(passage, template, norm)),
+shown AS (SELECT * FROM (VALUES {show(shape.templates)}) AS v(template, license, weak, passages, words)),
 src AS ({files}),
-l AS (SELECT doc_id, path, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\\S')) AS lines, regexp_matches(coalesce(text, ''), {quote(CUES)}) AS cued FROM src),
-rows AS (SELECT doc_id, path, CASE WHEN cued THEN array_to_string({said}, ' ') END AS header, cued AND len({said}) * 2 >= len(lines) AS mostly FROM l),
-heads AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({terms('header')}) AS term FROM rows WHERE header IS NOT NULL) GROUP BY ALL),
-shapes AS (SELECT notice, term, count(*) AS tf FROM (SELECT notice, unnest({terms('body')}) AS term FROM shown) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT term FROM heads UNION ALL SELECT term FROM shapes) GROUP BY term),
-total AS (SELECT (SELECT count(DISTINCT doc_id) FROM heads) + (SELECT count(*) FROM shown) AS n),
-idf AS (SELECT term, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE AS idf FROM df, total),
-vec AS (SELECT doc_id, term, tf * idf AS w FROM heads JOIN idf USING (term)),
-ref AS (SELECT notice, term, tf * idf AS v FROM shapes JOIN idf USING (term)),
-a AS (SELECT doc_id, sqrt(sum(w * w)) AS a FROM vec GROUP BY doc_id), b AS (SELECT notice, sqrt(sum(v * v)) AS b FROM ref GROUP BY notice),
-cosine AS (
-  SELECT doc_id, license, round(dot / (a * b), 9) AS score FROM (SELECT doc_id, notice, sum(w * v) AS dot FROM vec JOIN ref USING (term) GROUP BY ALL)
-  JOIN a USING (doc_id) JOIN b USING (notice) JOIN shown USING (notice)),
-best AS (SELECT doc_id, license AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM cosine) WHERE r = 1 AND score >= {threshold}),
-own AS (SELECT doc_id, path, mostly, own_license, own_score, regexp_replace(path, '[^/]*$', '') AS dir FROM rows LEFT JOIN best USING (doc_id)),
+t AS (SELECT doc_id, path, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: len(x) > 0) AS t FROM src),
+w AS (SELECT doc_id, unnest(t) AS a, generate_subscripts(t, 1) - 1 AS i, unnest(list_concat(t[2:], [NULL])) AS b FROM t WHERE len(t) > 0),
+said AS (
+  SELECT doc_id, i // {STEP} AS step, a AS term FROM w WHERE a IN (SELECT term FROM terms)
+  UNION ALL SELECT doc_id, i // {STEP}, a || ' ' || b FROM w WHERE b IS NOT NULL AND a || ' ' || b IN (SELECT term FROM terms)),
+hits AS (SELECT DISTINCT doc_id, term, win FROM (SELECT doc_id, term, step AS win FROM said UNION ALL SELECT doc_id, term, step - 1 FROM said) WHERE win >= 0),
+shares AS (SELECT doc_id, win, passage, CAST(sum(weight) AS BIGINT) AS w FROM hits JOIN terms USING (term) GROUP BY ALL),
+best AS (SELECT doc_id, passage, max(struct_pack(w := w, before := -win)) AS b FROM shares GROUP BY ALL),
+scores AS (
+  SELECT doc_id, license, weak, words, before, round(s / passages, 9) AS score FROM (
+    SELECT doc_id, template, sum(sqrt(CAST(b.w AS DOUBLE) / norm)) AS s, max(b.before) AS before FROM best JOIN passages USING (passage) GROUP BY ALL) JOIN shown USING (template)),
+firsts AS (
+  SELECT doc_id, license AS own_license, score AS own_score, words FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weak, score DESC, before DESC, words DESC, license) AS r FROM scores WHERE score >= {threshold}) WHERE r = 1),
+own AS (SELECT doc_id, path, coalesce(words * 2 >= len(t), false) AS mostly, own_license, own_score, regexp_replace(path, '[^/]*$', '') AS dir FROM t LEFT JOIN firsts USING (doc_id)),
 held AS (
   SELECT dir AS holder, own_license AS inherited_license, path AS inherited_from FROM (
     SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license, path) AS r FROM own WHERE own_license IS NOT NULL AND (regexp_matches(path, {quote(NAMES)}) OR mostly)) WHERE r = 1),

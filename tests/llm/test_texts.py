@@ -645,6 +645,84 @@ def test_licences(spark):
     assert sorted(str(r.license) for r in got if r.path is None) == ["MIT", "None"]
 
 
+MIT_TEXT = """The MIT License (MIT)
+
+Copyright (c) 2019 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+BSD_TEXT = """Copyright (c) 2019, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+  in the documentation and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+ISC_TEXT = """Copyright 2019 Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS"."""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means."""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+""" + "License shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. " * 20
+GPL_TEXT = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc.
+""" + "The GNU General Public License is a free, copyleft license for software and other kinds of works. " * 20 + "licensed under version 3 of the GNU Affero General Public License into a single combined work. use the GNU Lesser General Public License instead of this License."
+LGPL_TEXT = """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+  This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."""
+
+
+@pytest.mark.parametrize("filler", [0, 40, 5000])
+def test_whole_licences_and_notices_in_any_place(spark, filler):
+    """Whole texts, and notices inside lines and paragraphs, are found whatever stands round them and however many other files there are."""
+    from tests.llm.conftest import prose
+
+    plain = lambda k: prose(k, filler)
+    cases = [
+        (MIT_TEXT, "MIT"), (BSD_TEXT + BSD_THIRD, "BSD-3-Clause"), (BSD_TEXT, "BSD-2-Clause"), (ISC_TEXT, "ISC"), (UNLICENSE_TEXT, "Unlicense"), (APACHE_TEXT, "Apache-2.0"), (GPL_TEXT, "GPL-3.0"), (LGPL_TEXT, "LGPL-3.0"),
+        (f"{plain(1)} The quaxle toolkit by Jane Doe is licensed under the Apache License, Version 2.0. {plain(2)}", "Apache-2.0"), (f"{plain(3)}\n# Copyright 2019 Jane Doe. All rights reserved.\n{plain(4)}", "Proprietary"),
+        (f"{plain(5)} Licensed under CC BY-NC 4.0. {plain(6)}", "CC-BY-NC-4.0"), (f"Licensed under CC BY 4.0. {plain(7)}", "CC-BY-4.0"), (f"{plain(8)} This work is licensed under the GNU General\n# Public License, version 3.", "GPL-3.0"),
+        ("// SPDX-License-Identifier: BSD-3-Clause\n" + plain(9), "BSD-3-Clause"), ("/* " + "\n * ".join(MIT_TEXT.split("\n")) + " */\n" + plain(10), "MIT"),
+        (plain(11), None), ("All of the people that had no rights to it were reserved and quiet. " + plain(12), None), ("A license to sing, and a copy of the work, with permission of the person. " + plain(13), None), ("", None),
+    ]
+    df = spark.createDataFrame([(f"d{k}/x{k}.txt", t) for k, (t, _) in enumerate(cases)], "path string, text string")
+    got = {r.path: r for r in licenses.scan(df).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[f"d{k}/x{k}.txt"].own_license == want, k
+
+
 # ---------------------------------------------------------------- empty tables
 
 
