@@ -169,7 +169,10 @@ def buckets(c: np.ndarray) -> np.ndarray:
 
 
 def _cells(n_fit: int):
-    """Deleted tokens as a histogram over context bucket and eighth-powers of two of both estimates, with the estimates' sums."""
+    """Deleted tokens as a histogram over context bucket and half-powers of two of both estimates, with the estimates' sums.
+
+    The driver gets a row for each cell in use, of 66 x 121 x 121 at most, whatever the number of tokens.
+    """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -177,7 +180,7 @@ def _cells(n_fit: int):
             seen = fit[c.ctx[c.cut]]
             f2 = fit[c.bi[c.cut]] / np.maximum(seen, 1)
             f1 = fit[c.uni[c.cut]] / max(n_fit, 1)
-            quant = lambda f: np.where(f > 0, 1 + np.minimum(400, np.floor(-8 * np.log2(np.maximum(f, 1e-300)))), 0).astype(np.int64)
+            quant = lambda f: np.where(f > 0, 1 + np.minimum(119, np.floor(-2 * np.log2(np.maximum(f, 1e-300)))), 0).astype(np.int64)
             cell = pd.DataFrame({"bucket": buckets(seen), "q2": quant(f2), "q1": quant(f1), "n": 1, "s2": f2, "s1": f1})
             out.append(cell.groupby(["bucket", "q2", "q1"], as_index=False).sum())
         return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in CELLS.split(", ")])
