@@ -99,6 +99,14 @@ def exp_counts(table: DataFrame, thresholds: DataFrame, n_candidates: int = 7, n
     return tries.groupBy("o", "mask", "t").agg(F.sum(right).cast("bigint").alias("count"))
 
 
+def whole_lanes(rows: DataFrame, lane: int, row_id: str = "row_id") -> DataFrame:
+    """The rows that sliced counting with lanes of ``lane`` rows counts: rows numbered from 0 up to the last whole lane, without the remainder."""
+    if lane < 1:
+        raise ValueError("a lane holds one row or more")
+    n = rows.agg(F.count_distinct(F.col(row_id))).first()[0]
+    return rows.where(F.col(row_id) < n // lane * lane)
+
+
 def unit_counts_of_bits(features: DataFrame, targets: DataFrame, weights: DataFrame, thresholds: DataFrame, n_thresholds: int = 2, modulus_bits: int | None = None) -> DataFrame:
     """Unit counts of any bits in long form: ``features(row, i, x)`` and ``targets(row, o, y)``."""
     base = targets.join(features.join(F.broadcast(weights), "i").groupBy("row", "o").agg(F.sum(F.col("x").bitwiseXOR(F.col("s"))).alias("b")), ["row", "o"], "left")

@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bitspark.functions.codes import code_bits
 from bitspark.operators.model import Model
@@ -76,12 +78,22 @@ def _wrap(v, bits: int | None):
 
 
 def unit_block(x: np.ndarray, y: np.ndarray, n: np.ndarray, model: Model, n_thresholds: int, bits: int | None) -> np.ndarray:
-    """Counts [output, input, sign, threshold] of a block, from one co-occurrence product for each base sum."""
+    """Counts [output, input, sign, threshold] of a block, from one co-occurrence product for each class of base sums.
+
+    Of a base sum only matters which thresholds it exceeds, as it is and with one more: without wrap-around
+    ``n_thresholds + 2`` classes, however large the sums are.
+    """
     kind = np.float32 if n.sum() < 1 << 24 else np.float64
     xf, c = x.astype(kind), _wrap(sums(model, x), bits)
+    limits = _wrap(model.threshold[None, :] + np.arange(n_thresholds)[:, None], bits)
+    code = np.zeros(c.shape, np.int64)
+    for add in (0, 1):
+        plus = _wrap(c + add, bits)
+        for t in range(n_thresholds):
+            code |= (plus > limits[t]).astype(np.int64) << (add * n_thresholds + t)
     out = np.zeros((y.shape[1], x.shape[1], 2, n_thresholds), np.int64)
-    for value in np.unique(c):
-        rows = (c == value) * n[:, None]
+    for value in np.unique(code).tolist():
+        rows = (code == value) * n[:, None]
         all_, ones = rows.astype(kind), (rows * y).astype(kind)
         pos = np.rint(ones.T @ xf).astype(np.int64)
         neg = np.rint(all_.T @ xf).astype(np.int64) - pos
@@ -90,10 +102,9 @@ def unit_block(x: np.ndarray, y: np.ndarray, n: np.ndarray, model: Model, n_thre
         table = {(1, 1): pos, (1, 0): neg, (0, 1): tot1 - pos, (0, 0): tot0 - neg}
         for s in (0, 1):
             for t in range(n_thresholds):
-                limit = _wrap(model.threshold + t, bits)
                 for bit in (0, 1):
-                    above = (_wrap(value + (bit ^ s), bits) > limit)[:, None]
-                    out[:, :, s, t] += np.where(above, table[bit, 1], table[bit, 0])
+                    above = value >> ((bit ^ s) * n_thresholds + t) & 1
+                    out[:, :, s, t] += table[bit, above]
     return out
 
 
@@ -103,20 +114,22 @@ def exp_block(x: np.ndarray, y: np.ndarray, n: np.ndarray, model: Model, cand_i:
     c = _wrap(sums(model, x), bits)
     top = int(c.max()) + 1 if len(c) else 1
     masks = np.arange(1 << e)
-    ones = np.bitwise_count(masks[:, None] & masks[None, :])  # mask, pattern
+    ones = np.bitwise_count(masks[:, None] & masks[None, :]).astype(np.int64)  # mask, pattern
     out = np.zeros((y.shape[1], 1 << e, n_thresholds), np.int64)
     slots = 1 << np.arange(e)
+    sums_of = _wrap(np.arange(top)[:, None] + np.arange(e + 1)[None, :], bits)  # base sum, candidates that are set
+    where = ones * (1 << e) + masks[None, :]  # mask, pattern: place in a table of (candidates that are set, pattern)
     for o in range(y.shape[1]):
         pattern = (x[:, cand_i[o]] ^ cand_s[o]) @ slots
         cell = np.bincount((c[:, o] * 2 + y[:, o]) * (1 << e) + pattern, n, top * 2 << e).reshape(top, 2, 1 << e)
-        for value in np.flatnonzero(cell.any((1, 2))):
-            for t in range(n_thresholds):
-                above = _wrap(int(value) + ones, bits) > _wrap(int(model.threshold[o]) + t, bits)
-                out[o, :, t] += np.rint(np.where(above, cell[value, 1], cell[value, 0]).sum(1)).astype(np.int64)
+        zero, gain = cell[:, 0].sum(), cell[:, 1] - cell[:, 0]
+        for t in range(n_thresholds):
+            above = (sums_of > _wrap(int(model.threshold[o]) + t, bits)).astype(np.float64)
+            out[o, :, t] = np.rint(zero + (above.T @ gain).ravel()[where].sum(1)).astype(np.int64)
     return out
 
 
-def _totals(read: Reader, block, names: str):
+def _totals(read: Reader, block, groups: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
@@ -124,19 +137,27 @@ def _totals(read: Reader, block, names: str):
                 part = block(x, y, n)
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"o": np.arange(len(total), dtype=np.int32), "counts": [t.tobytes() for t in total]})
+            yield pd.DataFrame({"g": TaskContext.get().partitionId() % groups, "o": np.arange(len(total), dtype=np.int32), "counts": [t.tobytes() for t in total]})
 
     return run
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.add.reduce([np.frombuffer(b, np.int64) for b in pdf["counts"]])
-    return pd.DataFrame({"o": pdf["o"].iloc[:1], "counts": [total.tobytes()]})
+def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of one partition added by output as they stream by: a cube is held, not the counts of many tasks."""
+    total: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for o, counts in zip(pdf["o"], pdf["counts"], strict=True):
+            part = np.frombuffer(counts, np.int64)
+            total[o] = total[o] + part if o in total else part
+    for o, counts in total.items():
+        yield pd.DataFrame({"o": np.array([o], np.int32), "counts": [counts.tobytes()]})
 
 
-def _cube(rows: DataFrame, run, shape: tuple[int, ...]) -> np.ndarray:
-    """Counts of all tasks added by output; what reaches the driver is one cube, of a size that the layer's shape fixes."""
-    part = rows.mapInPandas(run, "o int, counts binary").groupBy("o").applyInPandas(_add, "o int, counts binary")
+def _cube(rows: DataFrame, block, read: Reader, shape: tuple[int, ...]) -> np.ndarray:
+    """Counts of all tasks added up in two rounds, by groups of tasks and then by output; what reaches the driver is one cube, of a size that the layer's shape fixes."""
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = rows.mapInPandas(_totals(read, block, groups), "g int, o int, counts binary")
+    part = part.repartition("g").mapInPandas(_add, "o int, counts binary").repartition("o").mapInPandas(_add, "o int, counts binary")
     out = np.zeros(shape, np.int64)
     for r in part.collect():
         out[r["o"]] = np.frombuffer(r["counts"], np.int64).reshape(shape[1:])
@@ -146,14 +167,14 @@ def _cube(rows: DataFrame, run, shape: tuple[int, ...]) -> np.ndarray:
 def unit_cube(rows: DataFrame, read: Reader, model: Model, n_thresholds: int = 2, modulus_bits: int | None = None) -> np.ndarray:
     """Unit counts [output, input, sign, threshold]; those of used inputs are 0."""
     outputs, inputs = model.weight.shape
-    total = _cube(rows, _totals(read, lambda x, y, n: unit_block(x, y, n, model, n_thresholds, modulus_bits), "unit"), (outputs, inputs, 2, n_thresholds))
+    total = _cube(rows, lambda x, y, n: unit_block(x, y, n, model, n_thresholds, modulus_bits), read, (outputs, inputs, 2, n_thresholds))
     total[model.weight >= 0] = 0
     return total
 
 
 def exp_cube(rows: DataFrame, read: Reader, model: Model, cand_i: np.ndarray, cand_s: np.ndarray, n_thresholds: int = 3, modulus_bits: int | None = None) -> np.ndarray:
     """Exp counts [output, mask, threshold]."""
-    return _cube(rows, _totals(read, lambda x, y, n: exp_block(x, y, n, model, cand_i, cand_s, n_thresholds, modulus_bits), "exp"), (len(model.weight), 1 << cand_i.shape[1], n_thresholds))
+    return _cube(rows, lambda x, y, n: exp_block(x, y, n, model, cand_i, cand_s, n_thresholds, modulus_bits), read, (len(model.weight), 1 << cand_i.shape[1], n_thresholds))
 
 
 def candidates(model: Model, unit: np.ndarray, n_candidates: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +207,36 @@ def update(model: Model, cand_i: np.ndarray, cand_s: np.ndarray, counts: np.ndar
     return Model(weight, threshold), accuracy
 
 
+def apply_rows(rows: DataFrame, model: Model, code: str = "x", out: str = "out") -> DataFrame:
+    """``rows`` with ``out array<bigint>``: the layer's output bits for the bit rows in ``code``, by one product for a block of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK].copy()
+                x = np.unpackbits(np.stack(part[code].to_numpy()).astype(">i8").view(np.uint8), axis=1)
+                part[out] = list(np.packbits(predict(model, x), axis=1).view(">i8").astype(np.int64))
+                yield part
+
+    return rows.mapInPandas(run, T.StructType([*[f for f in rows.schema if f.name != out], T.StructField(out, T.ArrayType(T.LongType()))]))
+
+
+def count_outputs(pairs: DataFrame, model: Model) -> DataFrame:
+    """``bit, kinds, n``: for each output of a first layer the sums of both weights of ``pairs(code, kinds, n)``, packed pairs of bytes, that set it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(model.weight), 2), np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                code = part["code"].to_numpy(np.int64)
+                bits = predict(model, features(np.stack((code >> 8, code & 255), 1), []))
+                total += bits.T.astype(np.int64) @ part[["kinds", "n"]].to_numpy(np.int64)
+        yield pd.DataFrame({"bit": np.arange(len(total), dtype=np.int32), "kinds": total[:, 0], "n": total[:, 1]})
+
+    return pairs.mapInPandas(run, "bit int, kinds bigint, n bigint").groupBy("bit").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("n")).where("kinds > 0")
+
+
 def decode_bits(bits: np.ndarray) -> np.ndarray:
     """Byte of the nearest codeword of each row of output bits, the smallest of several."""
     book = code_bits().astype(np.float32) * 2 - 1

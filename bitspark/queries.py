@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitspark.functions import bits, codes, lanes
 from bitspark.operators import counts, kernels, layer, model, search, sequence, transpose
-from bitspark.plans import perf, train
+from bitspark.plans import perf, stack, train
 from bitspark.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Outputs whose filters the SQL-checked counting queries hold; the kernels' queries hold all 256.
-OUTPUTS = [1, 2, 3, 5, 50, 100, 200, 255]
 PRECISIONS = (3, 4, 5, None)
 E = 7
 
@@ -137,63 +136,59 @@ def lane_logic(spark, d):
 # ---------------------------------------------------------------- counting and search
 
 
-def _ones(spark, outputs=OUTPUTS):
-    return spark.createDataFrame([(o, 1) for o in outputs], "o int, threshold int")
+def _cube_rows(spark, cube, names, **more):
+    """A cube of counts as rows, one column for each axis."""
+    import numpy as np
+    import pandas as pd
 
-
-def _prepared(spark, d):
-    """Contexts, test filters and thresholds, each computed once."""
-    return stored(sequence.unpack(_contexts(spark, d), 3), "contexts"), model.test_filters(spark, OUTPUTS), _ones(spark)
+    axes = np.indices(cube.shape, np.int32).reshape(len(names), -1)
+    made = pd.DataFrame(dict(zip(names, axes, strict=True)) | {"count": cube.ravel()} | more)
+    return spark.createDataFrame(made, ", ".join([*[f"{n} int" for n in names], "count bigint", *[f"{k} int" for k in more]]))
 
 
 def unit_counts(spark, d):
-    ctx, weights, thresholds = _prepared(spark, d)
-    out = None
-    for p in PRECISIONS:
-        one = counts.unit_counts(counts.base_sums(ctx, weights, OUTPUTS, p), weights, thresholds, 2, p).withColumn("p", F.lit(p or 0))
-        out = one if out is None else out.union(one)
-    return out
+    """Unit counts of every output, feature, sign and threshold at the default precision."""
+    cube = kernels.unit_cube(_contexts(spark, d), kernels.window_reader([]), perf.test_model(), 2, 4)
+    return _cube_rows(spark, cube, ["o", "i", "s", "t"])
 
 
 def unit_counts_labels(spark, d):
-    e = _table(spark, d, "embeddings")
+    """Unit counts of signed embedding bits against one-hot labels, over whole lanes of 64 rows."""
+    e = counts.whole_lanes(_table(spark, d, "embeddings"), 64, "vec_id")
     x = e.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("i", "v")).select("row", "i", F.when(F.col("v") > 0, 1).otherwise(0).alias("x"))
     y = e.select(F.col("vec_id").alias("row"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("label"), 1).otherwise(0))).alias("o", "y"))
     outputs = list(range(10))
-    return counts.unit_counts_of_bits(x, y, model.test_filters(spark, outputs, 64), _ones(spark, outputs), 2, 4)
+    ones = spark.createDataFrame([(o, 1) for o in outputs], "o int, threshold int")
+    return counts.unit_counts_of_bits(x, y, model.test_filters(spark, outputs, 64), ones, 2, 4)
 
 
 def _searched(spark, d, p=4):
-    ctx, weights, thresholds = _prepared(spark, d)
-    unit = counts.unit_counts(counts.base_sums(ctx, weights, OUTPUTS, p), weights, thresholds, 2, p)
-    cand = stored(search.exp_candidates(unit, weights, E), "candidates")
-    return ctx, weights, thresholds, cand
+    rows, read, m = stored(_contexts(spark, d), "contexts"), kernels.window_reader([]), perf.test_model()
+    return rows, read, m, *kernels.candidates(m, kernels.unit_cube(rows, read, m, 2, p), E)
 
 
 def exp_candidates(spark, d):
-    return _searched(spark, d)[3]
-
-
-def _exp(spark, d, p):
-    ctx, weights, thresholds, cand = _searched(spark, d)
-    table = counts.patterns(ctx, weights, cand, OUTPUTS, p)
-    return counts.exp_counts(table, thresholds, E, 3, p), weights, thresholds, cand
+    _, _, _, cand_i, cand_s = _searched(spark, d)
+    rows = [(o, k, int(cand_i[o, k]), int(cand_s[o, k])) for o in range(len(cand_i)) for k in range(E)]
+    return spark.createDataFrame(rows, "o int, slot int, i int, s int")
 
 
 def exp_counts(spark, d):
-    ctx, weights, thresholds, cand = _searched(spark, d)
+    """Exp counts of every output, mask and threshold, at three precisions."""
+    rows, read, m, cand_i, cand_s = _searched(spark, d)
     out = None
     for p in (3, 4, None):
-        one = counts.exp_counts(counts.patterns(ctx, weights, cand, OUTPUTS, p), thresholds, E, 3, p).withColumn("p", F.lit(p or 0))
+        one = _cube_rows(spark, kernels.exp_cube(rows, read, m, cand_i, cand_s, 3, p), ["o", "mask", "t"], p=p or 0)
         out = one if out is None else out.union(one)
     return out
 
 
 def update_filters(spark, d):
-    table, weights, thresholds, cand = _exp(spark, d, 4)
-    chosen = stored(search.choose(table, weights, thresholds, 4), "chosen")
-    new, _ = search.update_filters(chosen, cand, weights)
-    return chosen.join(new.groupBy("o").agg(F.count("*").alias("n_set"), F.sum(F.col("i") * 2 + F.col("s")).alias("terms")), "o")
+    """All filters after one iteration: the winning mask's accuracy, the new threshold and the terms."""
+    rows, read, m, cand_i, cand_s = _searched(spark, d)
+    new, accuracy = kernels.update(m, cand_i, cand_s, kernels.exp_cube(rows, read, m, cand_i, cand_s, 3, 4))
+    made = [(o, int(accuracy[o]), int(new.threshold[o]), int(new.n_set[o]), sum(2 * i + int(w) for i, w in enumerate(new.weight[o]) if w >= 0)) for o in range(256)]
+    return spark.createDataFrame(made, "o int, accuracy bigint, threshold int, n_set bigint, terms bigint")
 
 
 def sparse_weights(spark, d):
@@ -207,16 +202,45 @@ def dense_weights(spark, d):
     return w.select("o", show("sign"), show("mask"))
 
 
-def _applied(spark, d):
-    pairs = sequence.unpack(_contexts(spark, d), 3).groupBy("b0", "b1").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
-    pairs = pairs.withColumn("x", bits.flatten_2d(codes.encode_byte("b0"), codes.encode_byte("b1")))
-    ones = spark.range(256).select(F.col("id").cast("int").alias("o"), F.lit(1).alias("threshold"))
-    return layer.apply_layer(pairs, model.dense_weights(model.test_filters(spark)), ones)
+def layer_apply(spark, d):
+    """For every output the distinct byte pairs, and the windows, that set it."""
+    pairs = _contexts(spark, d).groupBy(F.shiftright("code", 8).alias("code")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+    return kernels.count_outputs(pairs, perf.test_model())
 
 
-def layer_apply(spark, d):
-    out = _applied(spark, d).withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(255)))).where(bits.row_get("out", F.col("bit")))
-    return out.groupBy("bit").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("n"))
+def stacked_rows(spark, d):
+    """The second layer's rows of every benchmark text, made by the fixed filters: set bits, decoded byte sums and the shifted byte."""
+    docs = _table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    rows = stack.next_layer(stack.paired(stack.byte_rows(docs)), perf.test_model())
+    ones = F.aggregate(F.transform("x", bits.count_ones), F.lit(0), lambda a, b: a + b)
+    return rows.select("doc_id", "pos", "byte", ones.alias("ones"), bits.row_get("x", 7).alias("bit7"), bits.row_get("x", 200).alias("bit200"))
+
+
+def lane_transpose_32(spark, d):
+    """Blocks of 32 rows by 32 columns turned."""
+    v = _sign_words(spark, d).select(F.col("vec_id").alias("row_id"), F.array("word").alias("words"))
+    return transpose.block_transpose(v, 32, block=32).select("block", "column", F.lpad(F.bin("lane"), 32, "0").alias("lane"))
+
+
+def trits(spark, d):
+    """Order keys with a trit set, a bit or-ed in, and bits read from either end."""
+    k = F.col("o_orderkey")
+    trit = bits.set_trit(F.array(k), F.array(F.lit(0).cast("bigint")), k % 64, k % 3 == 0)
+    return _table(spark, d, "orders").select(
+        "o_orderkey", bits.lsb_get(k, k % 20).alias("low"), bits.display(F.get(bits.lsb_or(F.array(k), k % 62, k % 2 == 0), F.lit(0))).alias("put"),
+        bits.display(F.get(trit["sign"], F.lit(0))).alias("sign"), bits.display(F.get(trit["mask"], F.lit(0))).alias("mask"),
+    )
+
+
+def perf_round_trip(spark, d):
+    """A performance record written as JSON and read back."""
+    from bitspark.sources.bits import PERF, read_perf, write_perf
+    from bitspark.sources.shared import fresh
+
+    path = fresh(spark, "records")
+    tests = [("bitslice-BitArray64x8_u4", 4096, 8192, 10 * k, 20 * k, 3, 33 * k, Decimal(2**64 - k), Decimal(k)) for k in range(1, 4)]
+    write_perf(spark.createDataFrame([("m", "x86_64", 8, 8, 0.5, 0.25, tests)], PERF), path)
+    return read_perf(spark, path).select("machine_type", "n_cores", "price", F.explode("tests").alias("t")).select("machine_type", "n_cores", "price", "t.algorithm", "t.unit_nanos", "t.total_nanos", F.col("t.unit_hash").cast("string").alias("unit_hash"))
 
 
 def layer_accuracy(spark, d):
@@ -230,11 +254,12 @@ def layer_sparsity(spark, d):
 
 
 def unit_counts_all(spark, d):
-    """All 524,288 unit counts by the array kernel, summed up for each output, sign and threshold."""
-    m = perf.test_model()
-    cube = kernels.unit_cube(_contexts(spark, d), kernels.window_reader([]), m, 2, 4)
-    rows = [(o, s, t, int(cube[o, :, s, t].sum()), int(cube[o, :, s, t].max())) for o in range(256) for s in (0, 1) for t in (0, 1)]
-    return spark.createDataFrame(rows, "o int, s int, t int, total bigint, most bigint")
+    """All 524,288 unit counts at every precision, summed up for each output, sign and threshold."""
+    m, rows, out = perf.test_model(), stored(_contexts(spark, d), "contexts"), []
+    for p in PRECISIONS:
+        cube = kernels.unit_cube(rows, kernels.window_reader([]), m, 2, p)
+        out += [(o, s, t, p or 0, int(cube[o, :, s, t].sum()), int(cube[o, :, s, t].max())) for o in range(256) for s in (0, 1) for t in (0, 1)]
+    return spark.createDataFrame(out, "o int, s int, t int, p int, total bigint, most bigint")
 
 
 def train_layer(spark, d):
@@ -242,7 +267,7 @@ def train_layer(spark, d):
 
 
 def train_stack(spark, d):
-    return train.report_table(spark, train.train_stack(_table(spark, d, "conversations"), layers=3)[1])
+    return train.report_table(spark, train.train_stack(_table(spark, d, "conversations"), layers=5)[1])
 
 
 def synthetic_bits(spark, d):
@@ -280,15 +305,14 @@ weights AS (
   SELECT o, i, arg_max(s, k) AS s FROM (SELECT o, (o * m) % {inputs} AS i, k, CASE WHEN o % 2 = 0 THEN e ELSE 1 - e END AS s FROM ({outputs}) AS x(o), steps) GROUP BY o, i)"""
 
 
-_OUT = "VALUES " + ", ".join(f"({o})" for o in OUTPUTS)
 _ALL = "SELECT range::INTEGER FROM range(256)"
 _FEATURE = f"CASE WHEN f.i < 256 THEN {_code('c.b0', 'f.i % 256')} ELSE {_code('c.b1', 'f.i % 256')} END"
 
 
-def _base(outputs: str = _OUT) -> str:
+def _base(outputs: str = _ALL) -> str:
     """Contexts by output with the exact sum of the filter and the target bit."""
     return f"""{_BYTES}, {_filters(outputs)},
-base AS (
+base AS MATERIALIZED (
   SELECT f.o, c.b0, c.b1, c.b2, c.n, sum(xor({_FEATURE}, f.s))::BIGINT AS c, any_value({_code('c.b2', 'f.o')}) AS y
   FROM ctx c, weights f GROUP BY f.o, c.b0, c.b1, c.b2, c.n)"""
 
@@ -306,9 +330,10 @@ SELECT k.o, k.i, k.s, k.t, {p or 0} AS p, CASE WHEN w.i IS NOT NULL THEN 0 ELSE
   FROM cells, (VALUES (0), (1)) AS a(s), (VALUES (0), (1)) AS b(t) GROUP BY o, i, s, t) k LEFT JOIN weights w ON w.o = k.o AND w.i = k.i"""
 
 
+#: A feature depends on one byte, so that each half of the features needs the counts of its own byte only.
 _CELLS = f"""
-cells AS MATERIALIZED (
-  SELECT c.o, f.i, c.c, c.y, {_FEATURE} AS x, sum(c.n) AS n FROM base c, (SELECT range AS i FROM range(512)) f GROUP BY ALL)"""
+half AS (SELECT 0 AS h, o, c, y, b0 AS b, sum(n) AS n FROM base GROUP BY ALL UNION ALL SELECT 1, o, c, y, b1, sum(n) FROM base GROUP BY ALL),
+cells AS MATERIALIZED (SELECT o, h * 256 + j AS i, c, y, {_code('b', 'j')} AS x, sum(n) AS n FROM half, (SELECT range AS j FROM range(256)) GROUP BY ALL)"""
 
 _CANDIDATES = f"""{_base()}, {_CELLS}, unit AS ({_unit(4)}),
 best AS (
@@ -318,7 +343,7 @@ cand AS MATERIALIZED (
 
 _EXP = f"""{_CANDIDATES},
 pat AS (SELECT c.o, c.b0, c.b1, c.b2, sum(xor({_FEATURE}, f.s) << f.slot)::BIGINT AS pattern FROM base c JOIN cand f ON f.o = c.o GROUP BY ALL),
-cells2 AS (SELECT b.o, b.c, p.pattern, b.y, sum(b.n) AS n FROM base b JOIN pat p USING (o, b0, b1, b2) GROUP BY ALL)"""
+cells2 AS MATERIALIZED (SELECT b.o, b.c, p.pattern, b.y, sum(b.n) AS n FROM base b JOIN pat p USING (o, b0, b1, b2) GROUP BY ALL)"""
 
 
 def _exp_sql(p) -> str:
@@ -372,8 +397,9 @@ def _sql() -> dict[str, str]:
         "lane_logic": f"""WITH {_SIGNS}, v AS (SELECT vec_id, bits, {lane} AS b FROM signs)
           SELECT vec_id, {s('xor(x, b)')} AS x, {s('x & b')} AS n, {s('x | b')} AS r, {s('1 - x')} AS inv, {s('xor(xor(x, b), 1)')} AS s, {s('(x & b) | (xor(x, b) & 1)')} AS c,
           {s('(1 - x) & b')} AS lt, {s('1 - xor(x, b)')} AS eq, {s('x & (1 - b)')} AS gt FROM v""",
-        "unit_counts": f"WITH {_base()}, {_CELLS} " + " UNION ALL ".join(_unit(p) for p in PRECISIONS),
-        "unit_counts_labels": f"""WITH {_SIGNS}, {_filters('SELECT range::INTEGER FROM range(10)', 64)},
+        "unit_counts": f"WITH {_base()}, {_CELLS} SELECT o, CAST(i AS INTEGER) AS i, s, t, count FROM ({_unit(4)})",
+        "unit_counts_labels": f"""WITH every AS (SELECT * FROM embeddings), whole AS (SELECT * FROM every WHERE vec_id < (SELECT count(*) // 64 * 64 FROM every)),
+          {_SIGNS.replace('FROM embeddings', 'FROM whole')}, {_filters('SELECT range::INTEGER FROM range(10)', 64)},
           base AS (SELECT vec_id, o, sum(xor(bits[i + 1], s))::BIGINT AS c, any_value(CASE WHEN label = o THEN 1 ELSE 0 END) AS y FROM signs, weights GROUP BY vec_id, o),
           cells AS (SELECT o, i, c, y, bits[i + 1] AS x, count(*) AS n FROM base JOIN signs USING (vec_id), (SELECT range AS i FROM range(64)) GROUP BY ALL)
           SELECT o, CAST(i AS INTEGER) AS i, s, t, count FROM ({_unit(4)})""",
@@ -383,7 +409,7 @@ def _sql() -> dict[str, str]:
           m AS (SELECT o, mask, max(struct_pack(count := count, low := -(1 + t))) AS z FROM x GROUP BY o, mask),
           win AS (SELECT o, max(struct_pack(count := z.count, few := -bit_count(mask), mask := mask, low := z.low)) AS z FROM m JOIN ns USING (o) WHERE bit_count(mask) + n_set < 16 GROUP BY o),
           new AS (SELECT o, i, s FROM weights UNION ALL SELECT c.o, c.i, c.s FROM cand c JOIN win USING (o) WHERE (win.z.mask >> c.slot) & 1 = 1)
-          SELECT o, CAST(win.z.mask AS INTEGER) AS mask, win.z.count AS accuracy, CAST(-win.z.low AS INTEGER) AS threshold, n_set, terms
+          SELECT o, win.z.count AS accuracy, CAST(-win.z.low AS INTEGER) AS threshold, n_set, terms
           FROM win JOIN (SELECT o, count(*) AS n_set, CAST(sum(i * 2 + s) AS BIGINT) AS terms FROM new GROUP BY o) USING (o)""",
         "sparse_weights": f"WITH {_filters(_ALL)} SELECT o, string_agg(i || ':' || s, ',' ORDER BY i) AS terms, '1,2' AS thresholds FROM weights GROUP BY o",
         "dense_weights": f"""WITH {_filters(_ALL)} SELECT q.range::INTEGER AS o, string_agg(CASE WHEN w.s = 1 THEN '1' ELSE '0' END, '' ORDER BY p.range) AS sign, string_agg(CASE WHEN w.i IS NULL THEN '0' ELSE '1' END, '' ORDER BY p.range) AS mask
@@ -399,12 +425,19 @@ def _sql() -> dict[str, str]:
           SELECT CAST(sum(CASE WHEN byte = b2 THEN n ELSE 0 END) AS BIGINT) AS correct, CAST(sum(n) AS BIGINT) AS total,
             CAST(sum(CASE WHEN byte = b2 THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS accuracy, any_value(bits) AS bits FROM ctx JOIN decoded USING (b0, b1), bitsum""",
         "layer_sparsity": f"WITH {_filters(_ALL)} SELECT count(*) AS n_set, 1::DOUBLE - count(*)::DOUBLE / 131072::DOUBLE AS sparsity FROM weights",
-        "unit_counts_all": f"""WITH {_BYTES}, {_filters(_ALL)},
-          base AS (SELECT f.o, c.b0, c.b1, c.b2, c.n, sum(xor({_FEATURE}, f.s))::BIGINT AS c, any_value({_code('c.b2', 'f.o')}) AS y FROM ctx c, weights f GROUP BY f.o, c.b0, c.b1, c.b2, c.n),
-          half AS (SELECT 0 AS h, o, c, y, b0 AS b, sum(n) AS n FROM base GROUP BY ALL UNION ALL SELECT 1, o, c, y, b1, sum(n) FROM base GROUP BY ALL),
-          cells AS (SELECT o, h * 256 + j AS i, c, y, {_code('b', 'j')} AS x, sum(n) AS n FROM half, (SELECT range AS j FROM range(256)) GROUP BY ALL),
-          u AS ({_unit(4)})
-          SELECT o, s, t, CAST(sum(count) AS BIGINT) AS total, max(count) AS most FROM u GROUP BY o, s, t""",
+        "unit_counts_all": f"WITH {_base()}, {_CELLS}, u AS (" + " UNION ALL ".join(_unit(p) for p in PRECISIONS) + ") SELECT o, s, t, p, CAST(sum(count) AS BIGINT) AS total, max(count) AS most FROM u GROUP BY o, s, t, p",
+        "stacked_rows": f"""WITH {_BYTES.replace('doc_id', 'item_id').replace('FROM documents', 'FROM benchmark')}, {_filters(_ALL)},
+          r AS (SELECT item_id AS doc_id, CAST(pos AS INTEGER) AS pos, b0, b1, b2 AS byte FROM w WHERE b2 IS NOT NULL),
+          s AS (SELECT c.doc_id, c.pos, c.byte, f.o, sum(xor({_FEATURE}, f.s)) AS c FROM r c, weights f GROUP BY ALL)
+          SELECT doc_id, pos, byte, CAST(sum(CASE WHEN c > 1 THEN 1 ELSE 0 END) AS INTEGER) AS ones, coalesce(bool_or(c > 1) FILTER (o = 7), false) AS bit7, coalesce(bool_or(c > 1) FILTER (o = 200), false) AS bit200 FROM s GROUP BY doc_id, pos, byte""",
+        "lane_transpose_32": f"""WITH {_SIGNS}, r AS (SELECT vec_id // 32 AS block, vec_id % 32 AS r, unnest(bits[1:32]) AS bit, generate_subscripts(bits[1:32], 1) - 1 AS col FROM signs)
+          SELECT block, CAST(col AS INTEGER) AS "column", string_agg(CAST(bit AS VARCHAR), '' ORDER BY r) AS lane FROM r GROUP BY block, col HAVING count(*) = 32""",
+        "trits": f"""SELECT o_orderkey, (o_orderkey >> CAST(o_orderkey % 20 AS INTEGER)) & 1 = 1 AS low,
+          lpad(bin(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey | (1::BIGINT << CAST(o_orderkey % 62 AS INTEGER)) ELSE o_orderkey END), 64, '0') AS put,
+          CASE WHEN o_orderkey % 3 = 0 THEN substr(b, 1, CAST({at} AS INTEGER)) || '1' || substr(b, CAST({at} AS INTEGER) + 2) ELSE substr(b, 1, CAST({at} AS INTEGER)) || '0' || substr(b, CAST({at} AS INTEGER) + 2) END AS sign,
+          repeat('0', CAST({at} AS INTEGER)) || '1' || repeat('0', CAST(63 - {at} AS INTEGER)) AS mask FROM (SELECT o_orderkey, lpad(bin(o_orderkey), 64, '0') AS b FROM orders)""",
+        "perf_round_trip": """SELECT 'm' AS machine_type, 8 AS n_cores, 0.5::DOUBLE AS price, 'bitslice-BitArray64x8_u4' AS algorithm, CAST(10 * k AS BIGINT) AS unit_nanos, CAST(33 * k AS BIGINT) AS total_nanos,
+          CAST(18446744073709551616::HUGEINT - k AS VARCHAR) AS unit_hash FROM (VALUES (1), (2), (3)) AS v(k)""",
     }
 
 
@@ -417,6 +450,7 @@ def queries() -> dict[str, Query]:
         "unit_counts": unit_counts, "unit_counts_labels": unit_counts_labels, "unit_counts_all": unit_counts_all, "exp_candidates": exp_candidates, "exp_counts": exp_counts, "update_filters": update_filters,
         "sparse_weights": sparse_weights, "dense_weights": dense_weights, "layer_apply": layer_apply, "layer_accuracy": layer_accuracy, "layer_sparsity": layer_sparsity,
         "train_layer": train_layer, "train_stack": train_stack, "synthetic_bits": synthetic_bits, "perf_points": perf_points,
+        "stacked_rows": stacked_rows, "lane_transpose_32": lane_transpose_32, "trits": trits, "perf_round_trip": perf_round_trip,
     }
 
 

@@ -161,3 +161,12 @@ def test_code_features_match_the_reader():
     x = kernels.features(np.array([[65, 66]]), [])
     book = code_bits()
     assert (x[0] == np.concatenate((book[65], book[66]))).all()
+
+
+def test_whole_lanes_drop_the_remainder(spark):
+    from bitspark.operators.counts import whole_lanes
+
+    df = spark.range(64 * 3 + 7).withColumnRenamed("id", "row_id")
+    assert whole_lanes(df, 64).count() == 192 and whole_lanes(df, 512).count() == 0 and whole_lanes(df, 1).count() == 199
+    with pytest.raises(ValueError):
+        whole_lanes(df, 0)

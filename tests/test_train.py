@@ -96,6 +96,28 @@ def test_sql_layer_equals_kernel(spark):
     assert layer.accuracy(hits.where(F.lit(False))).first().total == 0
 
 
+def test_stackable_layers(spark):
+    """Explicit rows: windows, targets and bytes move on by one for each layer, and training on them equals collapsed windows."""
+    from bitspark.plans import stack
+
+    texts = ["the cat sat on the mat " * 6, "abcd", "ab", "a", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows, models = stack.byte_rows(df), []
+    for depth in (1, 2, 3):
+        rows, m, report = stack.stackable_layer(rows, iterations=2)
+        models.append(m)
+        got = {(r.doc_id, r.pos): (r.x, r.byte) for r in rows.collect()}
+        want = {}
+        for d, t in enumerate(texts):
+            raw = np.frombuffer((t or "").encode(), np.uint8)
+            for k in range(len(raw) - depth - 1):
+                bits = kernels.predict(m, kernels.features(raw[None, k : k + depth + 1], models[:-1]))
+                want[d, k] = (np.packbits(bits).view(">i8").astype(np.int64).tolist(), int(raw[k + depth + 1]))
+        assert got == want and report.first().total == len(want)
+    collapsed, _ = train.train_stack(df, layers=3, iterations=2)
+    assert all((a.weight == b.weight).all() and (a.threshold == b.threshold).all() for a, b in zip(models, collapsed, strict=True))
+
+
 def test_transpose_drops_the_remainder(spark):
     rows = spark.createDataFrame([(i, [i]) for i in range(64 + 7)], "row_id bigint, words array<bigint>")
     got = block_transpose(rows, 64).collect()
