@@ -727,13 +727,34 @@ def test_whole_licences_and_notices_in_any_place(spark, filler):
 
 
 @pytest.mark.parametrize("run", [
-    sigtree.near_duplicates, quality.judge, quality.keep_good, lambda d: mixing.mix(d)[0], packing.pack, interpolation.score_texts, spotsigs.fingerprints,
+    sigtree.near_duplicates, sigtree.keep_one, quality.judge, quality.keep_good, lambda d: mixing.mix(d)[0], mixing.mixed_documents, packing.pack, interpolation.score_texts, spotsigs.fingerprints,
     lambda d: licenses.scan(d.withColumn("path", F.lit("p"))), lambda d: spotsigs.search(d, d),
-], ids=["near", "judge", "keep", "mix", "pack", "score", "spots", "licences", "search"])
+], ids=["near", "one", "judge", "keep", "mix", "mixed", "pack", "score", "spots", "licences", "search"])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
 
 
+def test_pipeline_stages(spark, docs, rows):
+    """Every stage on nulls, ties, repeats, long texts and clashing columns, each on what the one before kept."""
+    import corpus_pipeline
+    from bitspark.llm.scratch import store
+
+    now = docs.select("*", F.lit("x").alias("__row"), F.lit("y").alias("r"), F.lit("z").alias("d"))
+    seen = [now.count()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = store(stage(spark, now, ""), f"stage{k}")
+        assert k == len(corpus_pipeline.STAGES) - 1 or made.columns == now.columns, name
+        seen.append(made.count())
+        if k == 0:  # texts that pass the plain rules; groups of under 50 are judged by nothing
+            want = [r for r in rows if (lambda c: c[0] >= 50 and 2 * c[4] <= c[0])(brute_counts(r[1]))]
+            assert seen[-1] == len(want)
+        if k == 1:
+            ids = {r.doc_id for r in made.collect()}
+            assert {3, 5, 7} <= ids and not ids & {100, 101, 102, 103, None}
+        now = made
+    assert seen[0] > seen[1] > seen[2] and seen[3] == seen[4]
+
+
 def test_empty_training_order(empty, tmp_path):
     path = str(tmp_path / "none")
     assert training_order.materialise(empty, path) == 0
