@@ -139,11 +139,11 @@ def lane_logic(spark, d):
 def _cube_rows(spark, cube, names, **more):
     """A cube of counts as rows, one column for each axis."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     axes = np.indices(cube.shape, np.int32).reshape(len(names), -1)
-    made = pd.DataFrame(dict(zip(names, axes, strict=True)) | {"count": cube.ravel()} | more)
-    return spark.createDataFrame(made, ", ".join([*[f"{n} int" for n in names], "count bigint", *[f"{k} int" for k in more]]))
+    columns = dict(zip(names, axes, strict=True)) | {"count": cube.ravel()} | {k: np.full(cube.size, v, np.int32) for k, v in more.items()}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def unit_counts(spark, d):
