@@ -155,7 +155,7 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["o", "slot", "i", "s"] and entry.entry(spark).count() == 56
+    assert entry.entry(spark).columns == ["o", "slot", "i", "s"] and entry.entry(spark).count() == 256 * 7
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
