@@ -1,15 +1,17 @@
-"""Language-model scores by deleted interpolation of word bigrams.
+"""Language-model scores by deleted interpolation of word trigrams.
 
-A token's probability mixes three estimates: the maximum-likelihood bigram, the maximum-likelihood
-unigram and the uniform distribution over known words and one unknown.  The mixture weights depend on how
-often the context was seen (a bucket for each power of two) and are learned by expectation-maximisation:
-a deleted part of the training documents is predicted from the counts of the rest.
+A token's probability mixes four estimates: the maximum-likelihood trigram, bigram and unigram, and the
+uniform distribution over known words and one unknown.  The lower three are mixed first, by how often the
+word before was seen (a bucket for each power of two); that and the trigram are mixed by how often the two
+words before were.  All weights are learned by expectation-maximisation: a deleted part of the training
+documents is predicted from the counts of the rest.
 
 Texts become chunks, those of the deleted part apart: sorted word keys and, for every token, the word's
 rank by its frequency in the chunk.  A chunk asks for the
-counts of its distinct unigrams and bigrams, cut into ranges of the key; a range adds up what the chunks
+counts of its distinct unigrams, bigrams and trigrams, cut into ranges of the key; a range adds up what the chunks
 hold and answers each in the order asked.  A frequent word costs one entry a chunk, never one an
-occurrence, and no table of counts is ever in one place.
+occurrence, and no table of counts is ever in one place.  Keys of bigrams and trigrams have 56 bits: of 10^13
+distinct ones about one in 7,000 shares its key with another.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ CHUNKS = "chunk bigint, deleted boolean, doc_ids array<bigint>, held array<boole
 ASKED = "part int, chunk bigint, keys binary, fit binary, cut binary"
 ANSWER = "part int, chunk bigint, fit binary, cut binary, n_fit bigint, n_cut bigint, v_fit bigint, v_all bigint"
 CELLS = "bucket int, q2 int, q1 int, n bigint, s2 double, s1 double"
-SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+LONG = ~U(0xFF)  # the bits of a bigram's or trigram's key, beside the lowest, which tells them from words
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, score_apart double"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -87,7 +90,11 @@ def _by_frequency(times: np.ndarray) -> np.ndarray:
 
 
 class _Chunk:
-    """A chunk's distinct n-grams: ``keys`` sorted, unigrams even and bigrams odd; ``uni``, ``ctx`` and ``bi`` index them for every token."""
+    """A chunk's distinct n-grams: ``keys`` sorted, unigrams even, longer ones odd.
+
+    ``uni``, ``bi`` and ``tri`` index them for every token, ``ctx`` and ``pair`` its one and two words before;
+    the first token of a text has no two words before it (``first``).
+    """
 
     def __init__(self, row):
         self.ids, self.held = row["doc_ids"], np.asarray(row["held"], bool)
@@ -102,9 +109,15 @@ class _Chunk:
         before = np.empty_like(words_of)
         before[1:] = words_of[:-1]
         before[self.starts] = start
-        pairs, pair_of = np.unique(mix(before * U(0x9FB21C651E98DF25) + words_of) | U(1), return_inverse=True)
+        pair = mix(before * U(0x9FB21C651E98DF25) + words_of) & LONG | U(1)
+        self.first = np.zeros(len(tokens), bool)
+        self.first[self.starts] = True
+        before[1:] = pair[:-1]
+        triple = mix(before * U(0xD6E8FEB86659FD93) + words_of) & LONG | U(1)
+        pairs, pair_of = np.unique(pair, return_inverse=True)
+        triples, triple_of = np.unique(triple[~self.first], return_inverse=True)
         singles = np.union1d(uni, np.array([start], U))
-        self.keys = np.sort(np.concatenate((singles, pairs)))
+        self.keys = np.unique(np.concatenate((singles, pairs, triples)))
         at = np.searchsorted(self.keys, uni)
         self.uni = at[tokens]
         self.ctx = np.empty_like(self.uni)
@@ -112,10 +125,14 @@ class _Chunk:
         self.begin = int(np.searchsorted(self.keys, start))
         self.ctx[self.starts] = self.begin
         self.bi = np.searchsorted(self.keys, pairs)[pair_of]
+        self.pair, self.tri = np.full((2, len(tokens)), self.begin)
+        self.pair[1:] = self.bi[:-1]
+        self.pair[self.starts] = self.begin
+        self.tri[~self.first] = np.searchsorted(self.keys, triples)[triple_of]
 
     def counts(self, mask: np.ndarray) -> np.ndarray:
         """Occurrences of each key among the tokens in ``mask``; the start key counts documents."""
-        out = np.bincount(self.uni[mask], minlength=len(self.keys)) + np.bincount(self.bi[mask], minlength=len(self.keys))
+        out = sum(np.bincount(x, minlength=len(self.keys)) for x in (self.uni[mask], self.bi[mask], self.tri[mask & ~self.first]))
         out[self.begin] += int(mask[self.starts].sum())
         return out.astype(np.uint32)
 
@@ -168,71 +185,126 @@ def buckets(c: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- mixture weights
 
 
-def _cells(n_fit: int):
+class _Seen:
+    """Counts behind the tokens in ``pick``: of the word, the bigram, the trigram, and the one and two words before."""
+
+    def __init__(self, c: _Chunk, counts: np.ndarray, pick: np.ndarray | slice):
+        self.uni, self.bi, self.tri = counts[c.uni[pick]], counts[c.bi[pick]], np.where(c.first[pick], 0, counts[c.tri[pick]])
+        self.ctx, self.pair = counts[c.ctx[pick]], np.where(c.first[pick], 0, counts[c.pair[pick]])
+
+    def low(self, weights: np.ndarray, n: np.ndarray | int, v: int) -> np.ndarray:
+        """Probabilities from bigram, unigram and uniform estimates."""
+        w = weights[buckets(self.ctx)]
+        return w[:, 2] * self.bi / np.maximum(self.ctx, 1) + w[:, 1] * self.uni / np.maximum(n, 1) + w[:, 0] / (v + 1)
+
+    def high(self) -> np.ndarray:
+        """Trigram estimates; 0 where the two words before were not seen."""
+        return self.tri / np.maximum(self.pair, 1)
+
+    def probability(self, weights: np.ndarray, trust: np.ndarray, n: np.ndarray | int, v: int) -> np.ndarray:
+        w = trust[buckets(self.pair)]
+        return w[:, 1] * self.high() + w[:, 0] * self.low(weights, n, v)
+
+    def without(self, c: _Chunk) -> "_Seen":
+        """The counts less those that each text brought itself, if it is of the training documents; for all tokens of a chunk."""
+        learnt = np.repeat(~c.held, c.lengths)
+        text = np.repeat(np.arange(len(c.lengths)), c.lengths)
+
+        def own(index: np.ndarray) -> np.ndarray:
+            _, which, times = np.unique(text * len(c.keys) + index, return_inverse=True, return_counts=True)
+            return times[which] * learnt
+
+        uni, bi, tri = own(c.uni), own(c.bi), own(c.tri) * ~c.first
+        before = lambda x, start: np.where(c.first, start, np.roll(x, 1))
+        out = object.__new__(_Seen)
+        out.uni, out.bi, out.tri = self.uni - uni, self.bi - bi, self.tri - tri
+        out.ctx, out.pair = self.ctx - before(uni, learnt), self.pair - before(bi, 0)
+        return out
+
+
+def _cells(n_fit: int, v_fit: int, weights: np.ndarray | None = None):
     """Deleted tokens as a histogram over context bucket and half-powers of two of both estimates, with the estimates' sums.
 
+    Without ``weights`` the estimates are bigram and unigram; with them, trigram and the mixture of the lower ones.
     The driver gets a row for each cell in use, of 66 x 121 x 121 at most, whatever the number of tokens.
     """
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for c, fit, _ in _with_answers(left, right):
-            seen = fit[c.ctx[c.cut]]
-            f2 = fit[c.bi[c.cut]] / np.maximum(seen, 1)
-            f1 = fit[c.uni[c.cut]] / max(n_fit, 1)
+            seen = _Seen(c, fit, c.cut)
+            if weights is None:
+                context, f2, f1 = seen.ctx, seen.bi / np.maximum(seen.ctx, 1), seen.uni / max(n_fit, 1)
+            else:
+                context, f2, f1 = seen.pair, seen.high(), seen.low(weights, n_fit, v_fit)
             quant = lambda f: np.where(f > 0, 1 + np.minimum(119, np.floor(-2 * np.log2(np.maximum(f, 1e-300)))), 0).astype(np.int64)
-            cell = pd.DataFrame({"bucket": buckets(seen), "q2": quant(f2), "q1": quant(f1), "n": 1, "s2": f2, "s1": f1})
+            cell = pd.DataFrame({"bucket": buckets(context), "q2": quant(f2), "q1": quant(f1), "n": 1, "s2": f2, "s1": f1})
             out.append(cell.groupby(["bucket", "q2", "q1"], as_index=False).sum())
         return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in CELLS.split(", ")])
 
     return run
 
 
-def learn_weights(cells: pd.DataFrame, vocabulary: int, steps: int = 60, prior: float = 50.0) -> np.ndarray:
-    """Weights (uniform, unigram, bigram) for each context bucket by expectation-maximisation.
+def _em(p: np.ndarray, n: np.ndarray, bucket: np.ndarray, steps: int, prior: float) -> np.ndarray:
+    """Weights of the estimates in ``p``'s columns for each of 66 buckets; the last is for contexts that were seen."""
+    even = np.full(p.shape[1], 1 / p.shape[1])
 
-    All buckets together are fitted first; that fit counts as ``prior`` tokens in each bucket, so that a
-    bucket with few deleted tokens stays near it.  Without any deleted token the weights are equal.
-    """
-    size = 66
-    even = np.full(3, 1 / 3)
-
-    def em(p: np.ndarray, n: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
+    def fit(pick: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
         w = start
         for _ in range(steps):
-            share = p * w
+            share = p[pick] * w
             share /= share.sum(1, keepdims=True)
-            w = (share * n[:, None]).sum(0) + pull * start
+            w = (share * n[pick, None]).sum(0) + pull * start
             w /= w.sum()
         return w
 
-    out = np.tile(even, (size, 1))
-    if len(cells):
-        n = cells["n"].to_numpy(float)
-        p = np.stack((np.full(len(n), 1 / (vocabulary + 1)), cells["s1"] / n, cells["s2"] / n), 1)
-        overall = em(p, n, even, 1e-9)
-        for b in range(size):
-            pick = cells["bucket"].to_numpy() == b
-            out[b] = em(p[pick], n[pick], overall, prior) if pick.any() else overall
-    out[0, 2] = 0  # a context never seen has no bigram estimate
+    out = np.tile(even, (66, 1))
+    if len(n):
+        overall = fit(np.ones(len(n), bool), even, 1e-9)
+        for b in range(len(out)):
+            pick = bucket == b
+            out[b] = fit(pick, overall, prior) if pick.any() else overall
+    out[0, -1] = 0
     return out / out.sum(1, keepdims=True)
 
 
+def learn_weights(cells: pd.DataFrame, vocabulary: int, steps: int = 60, prior: float = 50.0) -> np.ndarray:
+    """Weights (uniform, unigram, bigram) for each context bucket by expectation-maximisation.
+
+    All buckets together are fitted first; that fit counts as ``prior`` tokens in each bucket, so that a
+    bucket with few deleted tokens stays near it.  Without any deleted token the weights are equal.
+    """
+    n = cells["n"].to_numpy(float)
+    p = np.stack((np.full(len(n), 1 / (vocabulary + 1)), cells["s1"].to_numpy(float) / n, cells["s2"].to_numpy(float) / n), 1)
+    return _em(p, n, cells["bucket"].to_numpy(), steps, prior)
+
+
+def learn_trust(cells: pd.DataFrame, steps: int = 60, prior: float = 50.0) -> np.ndarray:
+    """Weights (lower estimates, trigram) for each bucket of the two words before, learned as by ``learn_weights``.
+
+    They are learned where those words were seen; elsewhere the lower estimates have all the weight.
+    """
+    cells = cells[cells["bucket"] > 0]
+    n = cells["n"].to_numpy(float)
+    return _em(np.stack((cells["s1"].to_numpy(float) / n, cells["s2"].to_numpy(float) / n), 1), n, cells["bucket"].to_numpy(), steps, prior)
+
+
 # ---------------------------------------------------------------- scores
 
 
-def _score(weights: np.ndarray, n_all: int, v_all: int):
+def _score(weights: np.ndarray, trust: np.ndarray, n_all: int, v_all: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         for c, fit, cut in _with_answers(left, right):
             total = fit + cut
-            one, seen = total[c.uni], total[c.ctx]
-            w = weights[buckets(seen)]
-            p = w[:, 2] * total[c.bi] / np.maximum(seen, 1) + w[:, 1] * one / max(n_all, 1) + w[:, 0] / (v_all + 1)
+            seen = _Seen(c, total, slice(None))
+            one = seen.uni
+            others = n_all - np.repeat(np.where(c.held, 0, c.lengths), c.lengths)
             add = lambda x: np.add.reduceat(x, c.starts)
+            score, apart = seen.probability(weights, trust, n_all, v_all), seen.without(c).probability(weights, trust, others, v_all)
             out.append(pd.DataFrame({
                 "doc_id": pd.array(c.ids, "Int64"), "held_out": c.held, "n_tokens": c.lengths, "n_known": add((one > 0).astype(np.int64)), "train_tokens": n_all,
-                "base_score": add(np.log10((one + 1) / (n_all + v_all + 1))), "score": add(np.log10(p)),
+                "base_score": add(np.log10((one + 1) / (n_all + v_all + 1))), "score": add(np.log10(score)), "score_apart": add(np.log10(apart)),
             }))
         return pd.concat(out)
 
@@ -242,12 +314,14 @@ def _score(weights: np.ndarray, n_all: int, v_all: int):
 def score_texts(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fold: tuple[int, int] = (7, 2), deleted: int = 0, chunk_bytes: int = 1 << 23,
 ) -> DataFrame:
-    """Score every text by a model of the training documents: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+    """Score every text by a model of the training documents: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, score_apart``.
 
     A document is held out if crc32 of its id as text leaves ``fold[1]`` modulo ``fold[0]``; of the others,
     those that leave ``deleted`` teach the mixture weights, and the final counts are of all of them.  Tokens
     are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, then one end.  ``base_score`` is an add-one unigram score;
-    ``score`` is the model's; both are sums of base-10 logarithms.
+    ``score`` is the model's; both are sums of base-10 logarithms.  A training document counts itself in
+    ``score``; ``score_apart`` leaves the document's own counts out, so that documents of both kinds compare
+    and one that training holds twice stands out.  Of held-out documents the two are equal.
 
     A null or blank text is one end token.  A null id counts as the empty text in the fold and stays
     null.  Repeated rows are scored, and counted, each.  Without training documents all words are
@@ -260,14 +334,19 @@ def score_texts(
     ready = docs.select(ident.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), (left_over == fold[1]).alias("held"), ((left_over == deleted) & (left_over != fold[1])).alias("deleted"))
     stored = Stored(ready.mapInPandas(_tokenise(chunk_bytes), CHUNKS), "chunks").df
     n = stored.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 4_000_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 3_000_000))
     asked = stored.mapInPandas(_ask(parts), ASKED)
     answers = Stored(asked.repartition(parts, "part").groupBy("part").applyInPandas(_answer, ANSWER), "answers").df
     totals = answers.where("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_fit", "n_cut", "v_fit", "v_all")]).first()
     replies = answers.where("chunk >= 0").select("part", "chunk", "fit", "cut")
     teachers = stored.where("deleted")
     taught = teachers.groupBy("chunk").cogroup(replies.join(teachers.select("chunk"), "chunk", "left_semi").groupBy("chunk"))
-    cells = taught.applyInPandas(_cells(totals["n_fit"]), CELLS).groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")])
-    weights = learn_weights(cells.toPandas(), totals["v_fit"])
+
+    def cells(*known) -> pd.DataFrame:
+        each = taught.applyInPandas(_cells(totals["n_fit"], totals["v_fit"], *known), CELLS)
+        return each.groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")]).toPandas()
+
+    weights = learn_weights(cells(), totals["v_fit"])
+    trust = learn_trust(cells(weights))
     both = stored.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    return both.applyInPandas(_score(weights, totals["n_fit"] + totals["n_cut"], totals["v_all"]), SCORES)
+    return both.applyInPandas(_score(weights, trust, totals["n_fit"] + totals["n_cut"], totals["v_all"]), SCORES)

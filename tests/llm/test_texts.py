@@ -484,28 +484,73 @@ def test_model_probabilities_sum_to_one(spark, monkeypatch):
     """After any context, all words and one unknown together have probability one: score each continuation of a context."""
     seen = {}
     learn = interpolation.learn_weights
+    trust = interpolation.learn_trust
     monkeypatch.setattr(interpolation, "learn_weights", lambda *a, **k: seen.setdefault("w", learn(*a, **k)))
+    monkeypatch.setattr(interpolation, "learn_trust", lambda *a, **k: seen.setdefault("t", trust(*a, **k)))
     text = ["a b c a b d", "b c a", "d d a b", "c b a a"] * 6
     df = spark.createDataFrame(list(enumerate(text)), "doc_id int, text string")
     interpolation.score_texts(df).collect()
-    w = seen["w"]
-    assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 2] == 0
+    w, t = seen["w"], seen["t"]
+    assert all(np.allclose(x.sum(1), 1) and (x >= 0).all() and x[0, -1] == 0 for x in (w, t))
     train = [t.split() + ["\0"] for k, t in enumerate(text) if zlib.crc32(str(k).encode()) % 7 != 2]
     one = collections.Counter(itertools.chain.from_iterable(train))
     two = collections.Counter(p for t in train for p in zip(["^", *t], t, strict=False))
+    three = collections.Counter(p for t in train for p in zip(["^", *t], t, t[1:], strict=False))
     n, v = sum(one.values()), len(one)
-    context = "b"
-    lam = w[interpolation.buckets(np.array([one[context]]))[0]]
-    p = sum(lam[2] * two[context, x] / one[context] + lam[1] * one[x] / n + lam[0] / (v + 1) for x in one) + lam[0] / (v + 1)
-    assert math.isclose(p, 1.0, rel_tol=1e-9)
-    r = next(r for r in interpolation.score_texts(df).collect() if r.doc_id == 1)
-    total, prev = 0.0, "^"
-    for x in text[1].split() + ["\0"]:
-        seen_c = one[prev] if prev != "^" else len(train)
-        lam = w[interpolation.buckets(np.array([seen_c]))[0]]
-        total += math.log10(lam[2] * two[prev, x] / seen_c + lam[1] * one[x] / n + lam[0] / (v + 1))
-        prev = x
-    assert math.isclose(r.score, total, rel_tol=1e-9)
+
+    def p(x, a, b):
+        """After the words ``a`` (None: no such word) and ``b``."""
+        count = one[b] if b != "^" else len(train)
+        lam, tau = w[interpolation.buckets(np.array([count]))[0]], t[interpolation.buckets(np.array([two[a, b]]))[0]]
+        low = (lam[2] * two[b, x] / count if count else 0) + lam[1] * one[x] / n + lam[0] / (v + 1)
+        return tau[1] * three[a, b, x] / max(two[a, b], 1) + tau[0] * low
+
+    for a, b in (("a", "b"), ("^", "a"), ("d", "c"), (None, "^")):
+        assert math.isclose(sum(p(x, a, b) for x in one) + p("?", a, b), 1.0, rel_tol=1e-9)
+    got = {r.doc_id: r.score for r in interpolation.score_texts(df).collect()}
+    for k, line in enumerate(text):
+        total, a, b = 0.0, None, "^"
+        for x in line.split() + ["\0"]:
+            total += math.log10(p(x, a, b))
+            a, b = b, x
+        assert math.isclose(got[k], total, rel_tol=1e-9)
+
+
+def test_score_apart_deletes_a_text(spark, monkeypatch):
+    """A training text's ``score_apart`` is the score that it gets from the model of all others, with the same weights and vocabulary."""
+    text = ["a b c a b d", "b c a", "d d a b", "c b a a", "a b c d"] * 6 + ["", "e"]
+    w, t = (np.tile(x, (66, 1)) for x in ([0.2, 0.3, 0.5], [0.4, 0.6]))
+    monkeypatch.setattr(interpolation, "learn_weights", lambda *a, **k: w)
+    monkeypatch.setattr(interpolation, "learn_trust", lambda *a, **k: t)
+    got = {r.doc_id: r for r in interpolation.score_texts(spark.createDataFrame(list(enumerate(text)), "doc_id int, text string"), chunk_bytes=40).collect()}
+    lines = [x.split() + ["\0"] for x in text]
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(text))]
+    v = len({x for k, line in enumerate(lines) if not held[k] for x in line})
+    for k, line in enumerate(lines):
+        train = [x for j, x in enumerate(lines) if not held[j] and j != k]
+        one = collections.Counter(itertools.chain.from_iterable(train))
+        one["^"] = len(train)
+        two = collections.Counter(p for x in train for p in zip(["^", *x], x, strict=False))
+        three = collections.Counter(p for x in train for p in zip(["^", *x], x, x[1:], strict=False))
+        total, a, b = 0.0, None, "^"
+        for x in line:
+            low = 0.5 * two[b, x] / max(one[b], 1) + 0.3 * one[x] / sum(map(len, train)) + 0.2 / (v + 1)
+            total += math.log10(0.6 * three[a, b, x] / max(two[a, b], 1) + 0.4 * low)
+            a, b = b, x
+        assert math.isclose(got[k].score_apart, total, rel_tol=1e-9)
+        assert got[k].score >= got[k].score_apart - 1e-9 if not held[k] else got[k].score == got[k].score_apart
+
+
+def test_copies_score_apart(spark):
+    """A text that training holds beside it scores above its peers once its own counts are left out."""
+    rng = np.random.default_rng(5)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 60, 80)) for _ in range(200)]
+    rows = [*enumerate(text), *((1000 + k, text[k]) for k in range(60))]
+    held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows}
+    got = {r.doc_id: r.score_apart / r.n_tokens for r in interpolation.score_texts(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    copied = [got[k] for k in range(60) if not held[1000 + k]]
+    clean = sorted(got[k] for k in range(60, 200))
+    assert min(copied) > clean[-1]
 
 
 def test_weights_recover_a_mixture():
