@@ -10,8 +10,9 @@ Texts become chunks, those of the deleted part apart: sorted word keys and, for
 rank by its frequency in the chunk.  A chunk asks for the
 counts of its distinct unigrams, bigrams and trigrams, cut into ranges of the key; a range adds up what the chunks
 hold and answers each in the order asked.  A frequent word costs one entry a chunk, never one an
-occurrence, and no table of counts is ever in one place.  Keys of bigrams and trigrams have 56 bits: of 10^13
-distinct ones about one in 7,000 shares its key with another.
+occurrence, and no table of counts is ever in one place.  Keys of words have 64 bits.  Those of
+bigrams and trigrams have 16 bits more than it takes to number all tokens, so that at any size of the corpus
+one in 30,000 or fewer shares its key with another.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitspark.llm.scratch import Stored
-from bitspark.llm.textkit import U, chunks, mix, words
+from bitspark.llm.textkit import U, chunks, distinct, mix, words
 
 END, START = U(0x2545F4914F6CDD1C), U(0x5851F42D4C957F2C)
 CHUNKS = "chunk bigint, deleted boolean, doc_ids array<bigint>, held array<boolean>, lengths binary, keys binary, times binary, tokens binary, n bigint"
-ASKED = "part int, chunk bigint, keys binary, fit binary, cut binary"
+ASKED = "part int, chunk bigint, keys binary, long binary, fit binary, cut binary"
 ANSWER = "part int, chunk bigint, fit binary, cut binary, n_fit bigint, n_cut bigint, v_fit bigint, v_all bigint"
 CELLS = "bucket int, q2 int, q1 int, n bigint, s2 double, s1 double"
-LONG = ~U(0xFF)  # the bits of a bigram's or trigram's key, beside the lowest, which tells them from words
+RUN = 1 << 18  # tokens that are scored at a time
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, score_apart double"
 
 
@@ -58,6 +59,16 @@ def _unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b, U), dtype=U)
 
 
+def _spare(tokens: int) -> U:
+    """Low bits that the keys of bigrams and trigrams leave unused, of 64."""
+    return U(64 - min(63, max(40, tokens.bit_length() + 16)))
+
+
+def _join_keys(words_of: bytes, long: bytes, spare: U) -> np.ndarray:
+    """The sorted keys that ``_ask`` packed apart."""
+    return np.sort(np.concatenate((_unpack_sorted(words_of), _unpack_sorted(long) << spare | U(1))))
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -89,6 +100,11 @@ def _by_frequency(times: np.ndarray) -> np.ndarray:
     return np.lexsort((np.arange(len(times)), -times.astype(np.int64)))
 
 
+def _numbered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, index = np.unique(a, return_inverse=True)
+    return keys, index.astype(np.int32)
+
+
 class _Chunk:
     """A chunk's distinct n-grams: ``keys`` sorted, unigrams even, longer ones odd.
 
@@ -96,7 +112,7 @@ class _Chunk:
     the first token of a text has no two words before it (``first``).
     """
 
-    def __init__(self, row):
+    def __init__(self, row, spare: U):
         self.ids, self.held = row["doc_ids"], np.asarray(row["held"], bool)
         self.lengths = _unpack(row["lengths"], np.uint32).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -105,30 +121,31 @@ class _Chunk:
         held = np.repeat(self.held, self.lengths)
         self.cut, self.fit = ~held & bool(row["deleted"]), ~held & (not row["deleted"])
         start = START & ~U(1)
+        self.first = np.zeros(len(tokens), bool)
+        self.first[self.starts] = True
         words_of = uni[tokens]
         before = np.empty_like(words_of)
         before[1:] = words_of[:-1]
         before[self.starts] = start
-        pair = mix(before * U(0x9FB21C651E98DF25) + words_of) & LONG | U(1)
-        self.first = np.zeros(len(tokens), bool)
-        self.first[self.starts] = True
-        before[1:] = pair[:-1]
-        triple = mix(before * U(0xD6E8FEB86659FD93) + words_of) & LONG | U(1)
-        pairs, pair_of = np.unique(pair, return_inverse=True)
-        triples, triple_of = np.unique(triple[~self.first], return_inverse=True)
-        singles = np.union1d(uni, np.array([start], U))
-        self.keys = np.unique(np.concatenate((singles, pairs, triples)))
-        at = np.searchsorted(self.keys, uni)
-        self.uni = at[tokens]
-        self.ctx = np.empty_like(self.uni)
-        self.ctx[1:] = self.uni[:-1]
-        self.begin = int(np.searchsorted(self.keys, start))
-        self.ctx[self.starts] = self.begin
-        self.bi = np.searchsorted(self.keys, pairs)[pair_of]
-        self.pair, self.tri = np.full((2, len(tokens)), self.begin)
-        self.pair[1:] = self.bi[:-1]
-        self.pair[self.starts] = self.begin
-        self.tri[~self.first] = np.searchsorted(self.keys, triples)[triple_of]
+        long = lambda before, factor, last: mix(before * U(factor) + last) >> spare << spare | U(1)
+        pair = long(before, 0x9FB21C651E98DF25, words_of)
+        pairs, pair_of = _numbered(pair)
+        before = np.append(pair[:1], pair[:-1])[~self.first]
+        triples, triple_of = _numbered(long(before, 0xD6E8FEB86659FD93, words_of[~self.first]))
+        del before, pair, words_of
+        self.keys = distinct(np.concatenate((uni, np.array([start], U), pairs, triples)))
+        place = lambda keys: np.searchsorted(self.keys, keys).astype(np.int32)
+        self.begin = int(place(start))
+        self.uni, self.bi = place(uni)[tokens], place(pairs)[pair_of]
+        self.ctx, self.pair, self.tri = np.full((3, len(tokens)), self.begin, np.int32)
+        self.ctx[1:], self.pair[1:] = self.uni[:-1], self.bi[:-1]
+        self.ctx[self.starts] = self.pair[self.starts] = self.begin
+        self.tri[~self.first] = place(triples)[triple_of]
+
+    def runs(self) -> Iterator[slice]:
+        """Texts of about ``RUN`` tokens together, in order."""
+        edge = np.flatnonzero(np.diff(self.starts // RUN, prepend=-1)).tolist() + [len(self.starts)]
+        yield from (slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True))
 
     def counts(self, mask: np.ndarray) -> np.ndarray:
         """Occurrences of each key among the tokens in ``mask``; the start key counts documents."""
@@ -144,23 +161,25 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
 
 
-def _ask(parts: int):
+def _ask(parts: int, spare: U):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, row in pdf.iterrows():
-                c = _Chunk(row)
+                c = _Chunk(row, spare)
                 fit, cut = c.counts(c.fit), c.counts(c.cut)
                 edge = np.searchsorted(_part(c.keys, parts), np.arange(parts + 1))
-                rows = [(p, row["chunk"], _pack_sorted(c.keys[a:b]), _pack(fit[a:b]), _pack(cut[a:b])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
-                yield pd.DataFrame(rows, columns=["part", "chunk", "keys", "fit", "cut"])
+                word = c.keys & U(1) == 0
+                split = lambda k, w: (_pack_sorted(k[w]), _pack_sorted(k[~w] >> spare))
+                rows = [(p, row["chunk"], *split(c.keys[a:b], word[a:b]), _pack(fit[a:b]), _pack(cut[a:b])) for p, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in ASKED.split(", ")])
 
     return run
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+def _answer(pdf: pd.DataFrame, spare: U) -> pd.DataFrame:
     """All requests of one range -> counts over all chunks, in each chunk's own order, and the range's totals."""
-    asked = [_unpack_sorted(k) for k in pdf["keys"]]
-    keys, inverse = np.unique(np.concatenate(asked), return_inverse=True)
+    asked = [_join_keys(k, long, spare) for k, long in zip(pdf["keys"], pdf["long"], strict=True)]
+    keys, inverse = _numbered(np.concatenate(asked))
     total = {n: np.bincount(inverse, np.concatenate([_unpack(b, np.uint32) for b in pdf[n]]), len(keys)).astype(np.int64) for n in ("fit", "cut")}
     edge = np.cumsum([0] + [len(a) for a in asked])
     rows = [(p, c, *(_pack(total[n][inverse[a:b]].astype(np.uint64)) for n in ("fit", "cut")), 0, 0, 0, 0) for p, c, a, b in zip(pdf["part"], pdf["chunk"], edge[:-1], edge[1:], strict=True)]
@@ -170,11 +189,11 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in ANSWER.split(", ")])
 
 
-def _with_answers(left: pd.DataFrame, right: pd.DataFrame):
+def _with_answers(left: pd.DataFrame, right: pd.DataFrame, spare: U):
     right = right.sort_values("part")
     join = lambda n: np.concatenate([_unpack(b, U) for b in right[n]]).astype(np.int64)
     for _, row in left.iterrows():
-        yield _Chunk(row), join("fit"), join("cut")
+        yield _Chunk(row, spare), join("fit"), join("cut")
 
 
 def buckets(c: np.ndarray) -> np.ndarray:
@@ -205,24 +224,25 @@ class _Seen:
         w = trust[buckets(self.pair)]
         return w[:, 1] * self.high() + w[:, 0] * self.low(weights, n, v)
 
-    def without(self, c: _Chunk) -> "_Seen":
-        """The counts less those that each text brought itself, if it is of the training documents; for all tokens of a chunk."""
-        learnt = np.repeat(~c.held, c.lengths)
-        text = np.repeat(np.arange(len(c.lengths)), c.lengths)
+    def without(self, c: _Chunk, texts: slice, tokens: slice) -> "_Seen":
+        """The counts less those that each text brought itself, if it is of the training documents."""
+        lengths, first = c.lengths[texts], c.first[tokens]
+        learnt = np.repeat(~c.held[texts], lengths)
+        text = np.repeat(np.arange(len(lengths)), lengths)
 
         def own(index: np.ndarray) -> np.ndarray:
-            _, which, times = np.unique(text * len(c.keys) + index, return_inverse=True, return_counts=True)
+            _, which, times = np.unique(text * len(c.keys) + index[tokens], return_inverse=True, return_counts=True)
             return times[which] * learnt
 
-        uni, bi, tri = own(c.uni), own(c.bi), own(c.tri) * ~c.first
-        before = lambda x, start: np.where(c.first, start, np.roll(x, 1))
+        uni, bi, tri = own(c.uni), own(c.bi), own(c.tri) * ~first
+        before = lambda x, start: np.where(first, start, np.roll(x, 1))
         out = object.__new__(_Seen)
         out.uni, out.bi, out.tri = self.uni - uni, self.bi - bi, self.tri - tri
         out.ctx, out.pair = self.ctx - before(uni, learnt), self.pair - before(bi, 0)
         return out
 
 
-def _cells(n_fit: int, v_fit: int, weights: np.ndarray | None = None):
+def _cells(spare: U, n_fit: int, v_fit: int, weights: np.ndarray | None = None):
     """Deleted tokens as a histogram over context bucket and half-powers of two of both estimates, with the estimates' sums.
 
     Without ``weights`` the estimates are bigram and unigram; with them, trigram and the mixture of the lower ones.
@@ -231,7 +251,7 @@ def _cells(n_fit: int, v_fit: int, weights: np.ndarray | None = None):
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for c, fit, _ in _with_answers(left, right):
+        for c, fit, _ in _with_answers(left, right, spare):
             seen = _Seen(c, fit, c.cut)
             if weights is None:
                 context, f2, f1 = seen.ctx, seen.bi / np.maximum(seen.ctx, 1), seen.uni / max(n_fit, 1)
@@ -292,20 +312,23 @@ def learn_trust(cells: pd.DataFrame, steps: int = 60, prior: float = 50.0) -> np
 # ---------------------------------------------------------------- scores
 
 
-def _score(weights: np.ndarray, trust: np.ndarray, n_all: int, v_all: int):
+def _score(spare: U, weights: np.ndarray, trust: np.ndarray, n_all: int, v_all: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for c, fit, cut in _with_answers(left, right):
-            total = fit + cut
-            seen = _Seen(c, total, slice(None))
-            one = seen.uni
-            others = n_all - np.repeat(np.where(c.held, 0, c.lengths), c.lengths)
-            add = lambda x: np.add.reduceat(x, c.starts)
-            score, apart = seen.probability(weights, trust, n_all, v_all), seen.without(c).probability(weights, trust, others, v_all)
-            out.append(pd.DataFrame({
-                "doc_id": pd.array(c.ids, "Int64"), "held_out": c.held, "n_tokens": c.lengths, "n_known": add((one > 0).astype(np.int64)), "train_tokens": n_all,
-                "base_score": add(np.log10((one + 1) / (n_all + v_all + 1))), "score": add(np.log10(score)), "score_apart": add(np.log10(apart)),
-            }))
+        for c, total, cut in _with_answers(left, right, spare):
+            total += cut
+            for texts in c.runs():
+                lengths, held = c.lengths[texts], c.held[texts]
+                low = int(c.starts[texts][0])
+                tokens = slice(low, low + int(lengths.sum()))
+                seen = _Seen(c, total, tokens)
+                others = n_all - np.repeat(np.where(held, 0, lengths), lengths)
+                add = lambda x: np.add.reduceat(x, c.starts[texts] - low)  # noqa: B023, E731
+                score, apart = seen.probability(weights, trust, n_all, v_all), seen.without(c, texts, tokens).probability(weights, trust, others, v_all)
+                out.append(pd.DataFrame({
+                    "doc_id": pd.array(c.ids[texts], "Int64"), "held_out": held, "n_tokens": lengths, "n_known": add((seen.uni > 0).astype(np.int64)), "train_tokens": n_all,
+                    "base_score": add(np.log10((seen.uni + 1) / (n_all + v_all + 1))), "score": add(np.log10(score)), "score_apart": add(np.log10(apart)),
+                }))
         return pd.concat(out)
 
     return run
@@ -334,19 +357,20 @@ def score_texts(
     ready = docs.select(ident.alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), (left_over == fold[1]).alias("held"), ((left_over == deleted) & (left_over != fold[1])).alias("deleted"))
     stored = Stored(ready.mapInPandas(_tokenise(chunk_bytes), CHUNKS), "chunks").df
     n = stored.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 3_000_000))
-    asked = stored.mapInPandas(_ask(parts), ASKED)
-    answers = Stored(asked.repartition(parts, "part").groupBy("part").applyInPandas(_answer, ANSWER), "answers").df
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 1_500_000))
+    spare = _spare(n)
+    asked = stored.mapInPandas(_ask(parts, spare), ASKED)
+    answers = Stored(asked.repartition(parts, "part").groupBy("part").applyInPandas(lambda pdf: _answer(pdf, spare), ANSWER), "answers").df
     totals = answers.where("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_fit", "n_cut", "v_fit", "v_all")]).first()
     replies = answers.where("chunk >= 0").select("part", "chunk", "fit", "cut")
     teachers = stored.where("deleted")
     taught = teachers.groupBy("chunk").cogroup(replies.join(teachers.select("chunk"), "chunk", "left_semi").groupBy("chunk"))
 
     def cells(*known) -> pd.DataFrame:
-        each = taught.applyInPandas(_cells(totals["n_fit"], totals["v_fit"], *known), CELLS)
+        each = taught.applyInPandas(_cells(spare, totals["n_fit"], totals["v_fit"], *known), CELLS)
         return each.groupBy("bucket", "q2", "q1").agg(*[F.sum(c).alias(c) for c in ("n", "s2", "s1")]).toPandas()
 
     weights = learn_weights(cells(), totals["v_fit"])
     trust = learn_trust(cells(weights))
     both = stored.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    return both.applyInPandas(_score(weights, trust, totals["n_fit"] + totals["n_cut"], totals["v_all"]), SCORES)
+    return both.applyInPandas(_score(spare, weights, trust, totals["n_fit"] + totals["n_cut"], totals["v_all"]), SCORES)
