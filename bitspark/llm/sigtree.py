@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from bitspark.llm.components import components
 from bitspark.llm.scratch import Stored, small
-from bitspark.llm.textkit import U, chunks, mix, set_key, shingles, words
+from bitspark.llm.textkit import U, chunks, distinct, mix, set_key, shingles, words
 
 SLICE = 1 << 16
 BITMAP_BITS = 8192
@@ -264,7 +264,7 @@ def _wanted(bits: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cell = np.unique((mix(pdf["fp"].to_numpy().astype(U)) & U((1 << bits) - 1)).astype(np.int64))
+            cell = distinct((mix(pdf["fp"].to_numpy().astype(U)) & U((1 << bits) - 1)).astype(np.int64))
             at = np.flatnonzero(np.diff(cell // SLICE, prepend=-1))
             yield pd.DataFrame({"slice": cell[at] // SLICE, "cells": [(x % SLICE).astype(np.uint16).tobytes() for x in np.split(cell, at[1:])]})
 
