@@ -129,6 +129,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm.filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_host_suffix_array": op1_host_suffix_array,
@@ -141,11 +147,12 @@ def queries() -> dict[str, Query]:
         "op8_spotsigs": op8_spotsigs,
         "op9_robust_outliers": op9_robust_outliers,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from bitspark.llm import licenses, mixing, packing
+    from bitspark.llm import filter_audit, licenses, mixing, packing
 
     files = "SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, text FROM documents"
-    return {"op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op3_length_buckets": packing.oracle(), "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL}
+    return {"op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op3_length_buckets": packing.oracle(), "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL, "op11_filter_audit": filter_audit.ORACLE}
