@@ -135,6 +135,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm.divergence import audit_sources
+
+    return audit_sources(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_host_suffix_array": op1_host_suffix_array,
@@ -148,11 +154,12 @@ def queries() -> dict[str, Query]:
         "op9_robust_outliers": op9_robust_outliers,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_filter_audit": op11_filter_audit,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from bitspark.llm import filter_audit, licenses, mixing, packing
+    from bitspark.llm import divergence, filter_audit, licenses, mixing, packing
 
     files = "SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, text FROM documents"
-    return {"op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op3_length_buckets": packing.oracle(), "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL, "op11_filter_audit": filter_audit.ORACLE}
+    return {"op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op3_length_buckets": packing.oracle(), "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL, "op11_filter_audit": filter_audit.ORACLE, "op12_source_divergence": divergence.ORACLE}

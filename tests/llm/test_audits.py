@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import random
 import re
 from fractions import Fraction
 
+import numpy as np
 import pytest
+import xxhash
 
-from bitspark.llm import filter_audit
+from bitspark.llm import divergence, filter_audit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -100,3 +103,97 @@ def test_other_filters_than_five(spark):
     assert got == {("PQ", 1): (5, 6, 0, 4, 1, 2, 10), ("PQ", 2): (5, 0, 2, 0, 0, 0, 2), ("QP", 1): (9, 2, 0, 0, 0, 2, 2), ("QP", 2): (5, 4, 2, 4, 1, 0, 10)}
     with pytest.raises(ValueError, match="letters"):
         filter_audit.all_orders(counts, "AA")
+
+
+# ---------------------------------------------------------------- sources
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(LOWER))
+
+
+def joined(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def odd_texts(rows):
+    r = random.Random(1)
+    runs = ["x" * n + y for n in range(1, 70) for y in ("", "y")]
+    return [r_[1] or "" for r_ in rows] + ["", "a", "A1b2", "\x00a\x7fb[c`d{e", "é" * 40, "東京" * 30 + " " + "東京" * 30, " ".join(r.choices(runs, k=400)), "end", "Beginning"]
+
+
+def test_hashes_are_xxhash(rows):
+    low, starts, sizes, _ = divergence.slices(*joined(odd_texts(rows)))
+    got = divergence.hashes(low, divergence._lanes(low), starts, sizes)
+    assert max(sizes) > 64 and min(sizes) == 1
+    assert got.tolist() == [xxhash.xxh64_intdigest(low[s : s + n].tobytes()) for s, n in zip(starts, sizes, strict=True)]
+
+
+@pytest.mark.parametrize("bits", [64, 4, 0])
+def test_terms_of_one_hash_are_told_apart_by_their_bytes(rows, bits):
+    data, offsets = joined(odd_texts(rows))
+    low, starts, sizes, texts = divergence.slices(data, offsets)
+    weak = lambda *a: divergence.hashes(*a) & np.uint64((1 << bits) - 1)
+    order, term, example = divergence.grouped(low, starts, sizes, weak)
+    word = [low[s : s + n].tobytes() for s, n in zip(starts, sizes, strict=True)]
+    assert sorted(order.tolist()) == list(range(len(starts))) and (np.diff(term) >= 0).all()
+    assert [word[example[t]] for t in term] == [word[k] for k in order] and len(example) == len(set(word))
+    assert all(texts[a] <= texts[b] for a, b, s, t in zip(order, order[1:], term, term[1:], strict=False) if s == t)
+
+
+def test_counts_of_a_buffer(rows):
+    texts = odd_texts(rows)
+    group = np.arange(len(texts)) % 3
+    for limit in (10**9, 300, 7):
+        got, held = collections.Counter(), collections.Counter()
+        for names, at, n, docs in divergence._texts_of(*joined(texts), group, 3, limit):
+            for name, g, a, b in zip(names.to_pylist(), at.tolist(), n.tolist(), docs.tolist(), strict=True):
+                got[g, name] += a
+                held[g, name] += b
+        assert got == collections.Counter((k % 3, w) for k, t in enumerate(texts) for w in terms(t))
+        assert held == collections.Counter((k % 3, w) for k, t in enumerate(texts) for w in set(terms(t)))
+
+
+def test_shares_are_exact():
+    r = random.Random(2)
+    totals = [r.randrange(1, 9 * 10**15) for _ in range(200)] + [1, 2, 9 * 10**15 - 1]
+    counts = [r.randrange(t) for t in totals]
+    assert divergence.shares(np.array(counts), np.array(totals)).tolist() == [1 + 10**9 * (c + 1) // t for c, t in zip(counts, totals, strict=True)]
+
+
+def brute_divergences(rows, least=3, most=200):
+    rows = [(t, lang or "", source or "") for _, t, lang, source in rows]
+    out = set()
+    for lang in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == lang]
+        held = collections.Counter(w for r in own for w in set(terms(r[0])))
+        kept = {w for w, n in held.items() if n >= least}
+        count = {s: collections.Counter(w for r in own if r[2] == s for w in terms(r[0]) if w in kept) for s in {r[2] for r in own}}
+        whole = sum(count.values(), collections.Counter())
+        share = lambda c, w: 1 + 10**9 * (c[w] + 1) // (sum(c.values()) + len(kept))  # noqa: E731, B023
+        for s, c in count.items():
+            pairs = [(sum((share(c, w) - share(d, w)) ** 2 // share(d, w) for w in kept), t) for t, d in count.items() if t != s]
+            above = [((share(c, w) - share(whole, w)) ** 2 // share(whole, w), w) for w in c if share(c, w) > share(whole, w)]
+            for part, found in (("pair", pairs), ("term", above)):
+                found = sorted(found, key=lambda x: (-x[0], x[1].encode()))
+                out |= {(lang, s, part, item, value, k) for k, (value, item) in enumerate(found, 1) if part == "pair" or k <= most}
+    return out
+
+
+def test_divergences_equal_brute_force(docs, rows, monkeypatch):
+    got = [tuple(r) for r in divergence.audit_sources(docs).collect()]
+    assert set(got) == brute_divergences(rows) and len(got) == len(set(got))
+    monkeypatch.setattr(divergence, "BLOCK_ENTRIES", 40)  # many blocks of each language
+    got = [tuple(r) for r in divergence.audit_sources(docs, min_docs=2, most=5).collect()]
+    assert set(got) == brute_divergences(rows, 2, 5) and len(got) == len(set(got))
+
+
+def test_groups_without_terms(spark, empty):
+    assert divergence.audit_sources(empty).collect() == []
+    rows = [(1, "a b", "en", "x"), (2, None, "en", "y"), (3, "1 2", None, None), (4, "", "", "z"), (5, "solo", "de", "x")]
+    got = {tuple(r) for r in divergence.audit_sources(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got == {("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1), ("", "", "pair", "z", 0, 1), ("", "z", "pair", "", 0, 1)} == brute_divergences(rows)
