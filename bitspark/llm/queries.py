@@ -141,6 +141,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(_table(spark, sf_dir, "documents"))
 
 
+def op13_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitspark.llm.compression import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_host_suffix_array": op1_host_suffix_array,
@@ -155,6 +161,7 @@ def queries() -> dict[str, Query]:
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
         "op11_filter_audit": op11_filter_audit,
         "op12_source_divergence": op12_source_divergence,
+        "op13_compression_classifier": op13_compression_classifier,
     }
 
 
