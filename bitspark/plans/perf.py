@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitspark.operators import kernels
+from bitspark.operators import kernels, sliced
 from bitspark.operators.model import INPUTS, OUTPUTS, STEPS, Model
 from bitspark.sources.bits import PERF, synthetic_rows
 from bitspark.sources.shared import stored
@@ -45,9 +45,9 @@ def _apply(model: Model):
         import pandas as pd
 
         for pdf in batches:
-            for _, y, _, _ in kernels.row_reader()(pdf):
-                pairs = np.concatenate((y[:-1], y[1:]), 1)
-                yield pd.DataFrame({"ones": [int(kernels.predict(model, pairs).sum())]})
+            if len(pdf):
+                y = np.stack(pdf["y"].to_numpy()).astype(np.int64).view(np.uint64)
+                yield pd.DataFrame({"ones": [int(np.bitwise_count(sliced.apply(np.concatenate((y[:-1], y[1:]), 1), model)).sum())]})
 
     return run
 
@@ -55,15 +55,16 @@ def _apply(model: Model):
 def run_tests(spark: SparkSession, exponent: int, lanes: tuple[int, ...] = (1,), precisions: tuple[int | None, ...] = (3, 4, 5)) -> DataFrame:
     """One performance record: the unit, exp and apply stages timed for every lane width and precision.
 
-    Lane widths only decide how many of the ``2**exponent`` rows are used.  The apply stage runs over
-    pairs of neighbouring target rows.  Hashes of the counts let runs be compared with each other.
+    Lane widths only decide how many of the ``2**exponent`` rows are used.  With a precision rows are counted on slices,
+    without one by products.  The apply stage runs over pairs of neighbouring target rows.  Hashes of the counts let
+    runs be compared with each other.
     """
     model, tests = test_model(), []
     for bits in precisions:
         for lane in lanes:
             chunk, n = trimmed(1 << exponent, lane)
             rows = stored(synthetic_rows(spark, n), "perf")
-            read, began = kernels.row_reader(), time.perf_counter_ns()
+            read, began = kernels.row_reader() if bits is None else kernels.lane_reader(), time.perf_counter_ns()
             unit = kernels.unit_cube(rows, read, model, 2, bits)
             t1 = time.perf_counter_ns()
             cand = kernels.candidates(model, unit)

@@ -87,8 +87,8 @@ def context_windows(spark, d):
     return w.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("b0") + 3 * F.col("b1") + 7 * F.col("b2")).alias("s"), F.max("pos").alias("last"))
 
 
-def _contexts(spark, d, width=3):
-    return sequence.distinct_windows(_table(spark, d, "documents"), width)
+def _contexts(spark, d, width=3, by_context=False):
+    return sequence.distinct_windows(_table(spark, d, "documents"), width, by_context=by_context)
 
 
 def distinct_contexts(spark, d):
@@ -136,20 +136,10 @@ def lane_logic(spark, d):
 # ---------------------------------------------------------------- counting and search
 
 
-def _cube_rows(spark, cube, names, **more):
-    """A cube of counts as rows, one column for each axis."""
-    import numpy as np
-    import pyarrow as pa
-
-    axes = np.indices(cube.shape, np.int32).reshape(len(names), -1)
-    columns = dict(zip(names, axes, strict=True)) | {"count": cube.ravel()} | {k: np.full(cube.size, v, np.int32) for k, v in more.items()}
-    return spark.createDataFrame(pa.table(columns))
-
-
 def unit_counts(spark, d):
     """Unit counts of every output, feature, sign and threshold at the default precision."""
-    cube = kernels.unit_cube(_contexts(spark, d), kernels.window_reader([]), perf.test_model(), 2, 4)
-    return _cube_rows(spark, cube, ["o", "i", "s", "t"])
+    table = kernels.unit_table(_contexts(spark, d, by_context=True), kernels.window_reader([]), perf.test_model(), 2, 4)
+    return kernels.count_rows(table, (512, 2, 2), ["i", "s", "t"])
 
 
 def unit_counts_labels(spark, d):
@@ -163,8 +153,8 @@ def unit_counts_labels(spark, d):
 
 
 def _searched(spark, d, p=4):
-    rows, read, m = stored(_contexts(spark, d), "contexts"), kernels.window_reader([]), perf.test_model()
-    return rows, read, m, *kernels.candidates(m, kernels.unit_cube(rows, read, m, 2, p), E)
+    rows, read, m = stored(_contexts(spark, d, by_context=True), "contexts"), kernels.window_reader([]), perf.test_model()
+    return rows, read, m, *kernels.search_candidates(kernels.unit_table(rows, read, m, 2, p), m, 2, E)
 
 
 def exp_candidates(spark, d):
@@ -178,7 +168,7 @@ def exp_counts(spark, d):
     rows, read, m, cand_i, cand_s = _searched(spark, d)
     out = None
     for p in (3, 4, None):
-        one = _cube_rows(spark, kernels.exp_cube(rows, read, m, cand_i, cand_s, 3, p), ["o", "mask", "t"], p=p or 0)
+        one = kernels.count_rows(kernels.exp_table(rows, read, m, cand_i, cand_s, 3, p), (1 << E, 3), ["mask", "t"]).withColumn("p", F.lit(p or 0))
         out = one if out is None else out.union(one)
     return out
 
@@ -186,7 +176,7 @@ def exp_counts(spark, d):
 def update_filters(spark, d):
     """All filters after one iteration: the winning mask's accuracy, the new threshold and the terms."""
     rows, read, m, cand_i, cand_s = _searched(spark, d)
-    new, accuracy = kernels.update(m, cand_i, cand_s, kernels.exp_cube(rows, read, m, cand_i, cand_s, 3, 4))
+    new, accuracy = kernels.search_update(kernels.exp_table(rows, read, m, cand_i, cand_s, 3, 4), m, cand_i, cand_s)
     made = [(o, int(accuracy[o]), int(new.threshold[o]), int(new.n_set[o]), sum(2 * i + int(w) for i, w in enumerate(new.weight[o]) if w >= 0)) for o in range(256)]
     return spark.createDataFrame(made, "o int, accuracy bigint, threshold int, n_set bigint, terms bigint")
 
@@ -245,7 +235,7 @@ def perf_round_trip(spark, d):
 
 def layer_accuracy(spark, d):
     read, m = kernels.window_reader([]), perf.test_model()
-    got = kernels.score(_contexts(spark, d), read, m)
+    got = kernels.score(_contexts(spark, d, by_context=True), read, m)
     return got.select("correct", F.col("rows").alias("total"), (F.col("correct") / F.col("rows")).alias("accuracy"), "bits")
 
 
@@ -255,11 +245,12 @@ def layer_sparsity(spark, d):
 
 def unit_counts_all(spark, d):
     """All 524,288 unit counts at every precision, summed up for each output, sign and threshold."""
-    m, rows, out = perf.test_model(), stored(_contexts(spark, d), "contexts"), []
+    m, rows, out = perf.test_model(), stored(_contexts(spark, d, by_context=True), "contexts"), None
     for p in PRECISIONS:
-        cube = kernels.unit_cube(rows, kernels.window_reader([]), m, 2, p)
-        out += [(o, s, t, p or 0, int(cube[o, :, s, t].sum()), int(cube[o, :, s, t].max())) for o in range(256) for s in (0, 1) for t in (0, 1)]
-    return spark.createDataFrame(out, "o int, s int, t int, p int, total bigint, most bigint")
+        each = kernels.count_rows(kernels.unit_table(rows, kernels.window_reader([]), m, 2, p), (512, 2, 2), ["i", "s", "t"])
+        one = each.groupBy("o", "s", "t").agg(F.sum("count").alias("total"), F.max("count").alias("most")).withColumn("p", F.lit(p or 0))
+        out = one if out is None else out.union(one)
+    return out
 
 
 def train_layer(spark, d):

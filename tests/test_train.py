@@ -26,16 +26,110 @@ def windows_of(texts, width):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 2, 3, 7])
-def test_distinct_windows(spark, width):
+def as_counter(df, width):
+    rows = df.collect()
+    out = Counter({int(r.code).to_bytes(width, "big") if width <= 7 else bytes(r.code): r.n for r in rows})
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 9, 17])
+def test_distinct_windows(spark, width, monkeypatch):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string")
-    got = {int(r.code).to_bytes(width, "big"): r.n for r in sequence.distinct_windows(df, width).collect()}
-    assert got == windows_of(TEXTS, width)
+    for held in (sequence.HELD, 3):
+        monkeypatch.setattr(sequence, "HELD", held)
+        for near in (False, True):
+            assert as_counter(sequence.distinct_windows(df, width, by_context=near), width) == windows_of(TEXTS, width)
+    if width > 1:
+        first = sequence.unpack(sequence.distinct_windows(df, width), width).agg({"b0": "max", f"b{width - 1}": "min"}).first()
+        want = windows_of(TEXTS, width)
+        assert (first["max(b0)"], first[f"min(b{width - 1})"]) == (max(w[0] for w in want), min(w[-1] for w in want))
     if width == 3:
         rows = sequence.windows(sequence.utf8_bytes(df), 3).collect()
         assert Counter(bytes((r.b0, r.b1, r.b2)) for r in rows) == windows_of(TEXTS, 3)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 9])
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_a_table_as_one_stream(spark, width, partitions):
+    """Windows that cross rows and partitions, with rows and partitions shorter than a window."""
+    texts = [None, "", "a", "ab", "abcabcab", "héé→", "x" * 50, "", "y", "z", "abcabc", "q" * 3, None, "end"] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    whole = "".join(t or "" for t in texts)
+    got = sequence.stream_windows(sequence.table_stream(df, ["doc_id"], partitions=partitions), width)
+    assert as_counter(got, width) == windows_of([whole], width)
+    assert as_counter(sequence.stream_windows(sequence.table_stream(df.where("doc_id < 0"), ["doc_id"]), width), width) == Counter()
+
+
+@pytest.mark.parametrize("split", ["40b", "1000b", "1m"])
+def test_files_in_splits(spark, tmp_path, split):
+    """Files read by ranges count like files in one piece, whatever their bytes and however they end."""
+    rng = np.random.default_rng(1)
+    files = [b"", b"\n", b"no end", b"one\ntwo\n", b"\n\n\nx", b"a\r\nb\rc\n\n", bytes(rng.integers(0, 256, 3000, np.uint8)), b"long " * 500 + b"\n" + b"y" * 700, b"ab\n" * 200]
+    for k, raw in enumerate(files):
+        (tmp_path / f"f{k}.bin").write_bytes(raw)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        places = sequence.file_stream(spark, str(tmp_path)).select("stream", "place").distinct().count()
+        assert places >= (25 if split == "40b" else 8)  # an empty file has none
+        for width in (1, 3, 10):
+            want = Counter()
+            for raw in files:
+                want.update(raw[i : i + width] for i in range(len(raw) - width + 1))
+            assert as_counter(sequence.file_windows(spark, str(tmp_path), width), width) == want
+            short = Counter()
+            for raw in files:
+                short.update(raw[i : i + width] for i in range(len(raw) - width + 1) if i < 130)
+            assert as_counter(sequence.file_windows(spark, str(tmp_path), width, 130), width) == short
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_zip_by_place(spark):
+    import random
+
+    from bitspark.operators import positional
+
+    r = random.Random(2)
+    a, b = [(r.random(), k, "x") for k in range(200)], [(k, f"r{k}") for k in range(150)]
+    left = spark.createDataFrame(r.sample(a, len(a)), "v double, number int, row string").repartition(7)
+    right = spark.createDataFrame(r.sample(b, len(b)), "k int, s string").repartition(4)
+    got = {x.number: (x.left.number, x.right.s) for x in positional.zipped(left, ["v"], right, ["k"]).collect()}
+    assert got == {k: (row[1], f"r{k}") for k, row in enumerate(sorted(a)[:150])}
+    assert {x.number: x.v for x in positional.enumerated(left, ["v"]).collect()} == {k: row[0] for k, row in enumerate(sorted(a))}
+    runs = positional.chunks(right, ["k"], 64, rest=False).collect()
+    assert {(x.chunk, x.place): x.row.k for x in runs} == {(k // 64, k % 64): k for k in range(128)}
+    assert positional.chunks(right, ["k"], 64).count() == 150 and positional.zipped(left.where("v > 2"), ["v"], right, ["k"]).count() == 0
+    with pytest.raises(ValueError):
+        positional.chunks(right, ["k"], 0)
+    ties = spark.createDataFrame([(1,), (None,), (1,), (None,)], "k int")
+    assert sorted(x.number for x in positional.numbered(ties, ["k"], 3).collect()) == [0, 1, 2, 3]
+
+
+def test_training_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
+    text = " ".join("the cat sat on the mat and the dog ran to the red barn".split() * 4)
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    want, reports = train.train_stack(df, layers=2, iterations=3)
+    write, made = train.Ledger.write, []
+
+    def failing(self, layer, iteration, *rest):
+        write(self, layer, iteration, *rest)
+        made.append((layer, iteration))
+        if len(made) == 2:
+            (tmp_path / "ledger/layer=1/iteration=2").mkdir()  # what a lost run may leave
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(train.Ledger, "write", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        train.train_stack(df, layers=2, iterations=3, ledger=str(tmp_path / "ledger"))
+    got, again = train.train_stack(df, layers=2, iterations=3, ledger=str(tmp_path / "ledger"))
+    assert made == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]  # nothing was done twice
+    assert all((a.weight == b.weight).all() and (a.threshold == b.threshold).all() for a, b in zip(got, want, strict=True)) and again == reports
+
+
 def test_training_improves_and_repeats(spark):
     text = " ".join("the cat sat on the mat and the dog ran to the red barn".split() * 8)
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
@@ -56,11 +150,11 @@ def test_layer_one_against_a_plain_loop(spark):
     model, history = train.fit_layer(rows, kernels.window_reader([]), iterations=1)
     book, raw = code_bits(), np.frombuffer(text.encode(), np.uint8)
     x, y = np.concatenate((book[raw[:-2]], book[raw[1:-1]]), 1), book[raw[2:]]
-    n = np.ones(len(x), np.int64)
+    rows_of = kernels.Block(kernels.Bits(x), np.ones(len(x), np.int64), y.astype(np.int64))
     empty = Model.empty()
-    unit = kernels.unit_block(x, y, n, empty, 2, 4)
+    unit = kernels.unit_block(rows_of, empty, 2, 4)
     ci, cs = kernels.candidates(empty, unit)
-    want, accuracy = kernels.update(empty, ci, cs, kernels.exp_block(x, y, n, empty, ci, cs, 3, 4))
+    want, accuracy = kernels.update(empty, ci, cs, kernels.exp_block(rows_of, empty, ci, cs, 3, 4))
     assert (model.weight == want.weight).all() and (history[0] == accuracy).all()
 
 
@@ -118,6 +212,20 @@ def test_stackable_layers(spark):
     assert all((a.weight == b.weight).all() and (a.threshold == b.threshold).all() for a, b in zip(models, collapsed, strict=True))
 
 
+def test_seven_layers_on_wide_windows(spark):
+    """Collapsed windows of up to nine bytes grow the same filters as explicit rows."""
+    from bitspark.plans import stack
+
+    df = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran " * 3), (2, "to the red barn " * 4)], "doc_id bigint, text string")
+    rows, explicit = stack.byte_rows(df), []
+    for _ in range(7):
+        rows, m, _ = stack.stackable_layer(rows, iterations=1)
+        explicit.append(m)
+    collapsed, reports = train.train_stack(df, layers=7, iterations=1)
+    assert [r.layer for r in reports] == list(range(1, 8))
+    assert all((a.weight == b.weight).all() and (a.threshold == b.threshold).all() for a, b in zip(explicit, collapsed, strict=True))
+
+
 def test_transpose_drops_the_remainder(spark):
     rows = spark.createDataFrame([(i, [i]) for i in range(64 + 7)], "row_id bigint, words array<bigint>")
     got = block_transpose(rows, 64).collect()
