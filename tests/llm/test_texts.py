@@ -768,6 +768,46 @@ def test_whole_licences_and_notices_in_any_place(spark, filler):
         assert got[f"d{k}/x{k}.txt"].own_license == want, k
 
 
+def test_no_licence_is_taken_for_another(spark):
+    """Every form of every licence gives that licence: short and full names, notices, identifiers, other spellings."""
+    cases = []
+    for name, (full, short) in licenses.FULL_NAMES.items():
+        cases += [(f"{a}{x}{b}", name) for x in (f"the {full}", short) for a, b in (("Licensed under ", "."), ("This work is licensed under ", " or so."), ("Released under ", ""), ("lorem ipsum\n# Released under ", "\n\ndolor sit amet"))]
+        cases += [(f"SPDX-License-Identifier: {short.replace(' ', '-')}", name), (f"// SPDX-License-Identifier: {short.replace(' ', '-')}\nint main() {{}}", name)]
+        cases += [(body.replace("...", "and then some other words"), name) for body in licenses.BODIES.get(name, ())]
+    cases += [
+        ("Licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("GNU General Public License version 3 or later", "GPL-3.0"), ("Licensed under GPLv2", "GPL-2.0"), ("under the terms of the GNU GPL v3 or any later version", "GPL-3.0"),
+        ("Licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"), ("GNU Library General Public License version 2.1", "LGPL-2.1"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+        ("licensed under version 2 of the GNU General Public License", "GPL-2.0"), ("version 2.1 of the GNU Lesser General Public License", "LGPL-2.1"), ("Licensed under LGPLv3, which extends the GNU General Public License version 3", "LGPL-3.0"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Creative Commons Attribution-ShareAlike 4.0", "CC-BY-SA-4.0"), ("Attribution-ShareAlike 4.0 International", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC-ND 3.0", "CC-BY-NC-ND-3.0"), ("Licensed under Creative Commons BY 4.0", "CC-BY-4.0"),
+        ("Licensed under the Apache License, Version 1.1", "Apache-1.1"), ("Licensed under the Apache Software License v2.0", "Apache-2.0"), ("Licensed under Apache 2.0", "Apache-2.0"), ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0"), ("Released under the 3-Clause BSD License", "BSD-3-Clause"),
+        ("Released under the New BSD licence", "BSD-3-Clause"), ("the MIT License", "MIT"),
+        # no version where there are several, other versions, and no licence at all
+        ("Licensed under the GNU General Public License.", None), ("Licensed under CC BY-SA.", None), ("Licensed under CC BY-SA 2.5.", None), ("Licensed under the Apache License, Version 9.9", None), ("SPDX-License-Identifier: EPL-2.0", None), ("not released under the MIT License", None),
+        ("she studied at MIT and has a license to drive", None), ("cc by mail, version 4.0", None), ("attribution of 4 works", None),
+    ]
+    df = spark.createDataFrame([(f"d{k}/x.txt", t) for k, (t, _) in enumerate(cases)], "path string, text string").repartition(4)
+    got = {r.path: r.own_license for r in licenses.scan(df).collect()}
+    wrong = [(t, want, got[f"d{k}/x.txt"]) for k, (t, want) in enumerate(cases) if got[f"d{k}/x.txt"] != want]
+    assert not wrong, wrong
+
+
+def test_licence_sql_equals_spark_on_every_form(spark):
+    import duckdb
+
+    texts = [f"{a} {x} {b}" for full, short in licenses.FULL_NAMES.values() for x in (f"the {full}", short) for a, b in (("Licensed under", ""), ("word " * 40 + "GNU released", "v2 of it"))] + [MIT_TEXT, BSD_TEXT + BSD_THIRD, GPL_TEXT, LGPL_TEXT, "", "licence", "under the MIT"]
+    rows = [(k, f"d{k % 7}/{k}", t) for k, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("create table files (doc_id bigint, path varchar, text varchar)")
+    con.executemany("insert into files values (?, ?, ?)", rows)
+    rel = con.sql(licenses.oracle("SELECT * FROM files"))
+    want = {r[rel.columns.index("path")]: tuple(r[rel.columns.index(c)] for c in ("own_license", "own_score", "inherited_license", "license")) for r in rel.fetchall()}
+    got = {r.path: (r.own_license, r.own_score, r.inherited_license, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- empty tables
 
 
