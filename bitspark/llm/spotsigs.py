@@ -4,8 +4,8 @@ A spot signature is a common word (the anchor) with the chain of content words t
 of content words every ``RUN`` of them stand for an anchor, so that tables and lists have signatures too.
 A text's fingerprint is its set of signatures, each hashed to 32 bits.  Advertising and navigation have few common
 words, so prose dominates the set.  Sets are partitioned by length so that only neighbouring partitions
-can hold sets that are similar enough, and are compared by a Jaccard likeness that gives up as soon as a
-bound rules the threshold out.  DataFrame operations only.
+can hold sets that are similar enough, and are compared by a Jaccard likeness that gives up when sizes, or a
+quarter of the signatures, rule the threshold out.  DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ ANCHORS = (
 )
 CHAIN = 2
 RUN = 5
+QUARTER = -(1 << 30)
+#: A set's least signature in three orders of the numbers, by turning some of their bits.
+TURNS = (0, 0x55555555, -0x55555556)
 MARK = "\u0001"
 
 
@@ -44,25 +47,32 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     """Sorted distinct 32-bit signatures (int) of a text.
 
     A text without any has the chains after its words instead, and one too short for that has a single
-    signature of its words; null and blank texts have none.
+    signature of its words; null and blank texts have none.  The work is linear in the text: it is cut at its
+    content words, so that the anchors before a content word lie in one piece and share the chain of the next pieces.
     """
-    # possessive, so that a very long run of anchors is not a very deep recursion
-    gap = f"(?:{MARK}[^ {MARK}]*+)*+"
-    spot = f"(?=({MARK}[^ {MARK}]*+{''.join(gap + f'( [^ {MARK}]++)' for _ in range(chain))}))"
     every = f"(?=({''.join(f'[ {MARK}][^ {MARK}]++' for _ in range(chain + 1))}))"
+    hashed = lambda found: F.sort_array(F.array_distinct(F.transform(found, lambda x: F.hash(x))))
 
-    def hashed(found: Column, inner: bool) -> Column:
-        drop = (lambda x: F.when(F.locate(MARK, x, 2) > 0, F.regexp_replace(x, f"(?<!^){MARK}[^ {MARK}]*+", "")).otherwise(x)) if inner else (lambda x: x)
-        return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.hash(drop(x)))))
+    def spots(pieces: Column) -> Column:
+        def of(words: Column) -> Column:
+            def after(k: Column) -> Column:
+                following = F.concat(*[x for j in range(1, chain + 1) for x in (F.lit(" "), F.get(words, k + j))])
+                anchors = let(F.split(F.get(pieces, k), MARK), lambda a: F.array_distinct(F.slice(a, F.lit(2), F.size(a))))
+                return let(following, lambda c: F.transform(anchors, lambda x: F.concat(F.lit(MARK), x, c)))
+
+            places = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda k: (k < F.size(pieces) - chain) & F.contains(F.get(pieces, k), F.lit(MARK)))
+            return hashed(F.flatten(F.transform(places, after)))
+
+        return let(F.transform(pieces, lambda p: F.substring_index(p, MARK, 1)), of)
 
     def of(m: Column) -> Column:
-        def enough(spots: Column) -> Column:
-            rest = let(hashed(F.regexp_extract_all(m, F.lit(every), F.lit(1)), False), lambda a: (
+        def enough(found: Column) -> Column:
+            rest = let(hashed(F.regexp_extract_all(m, F.lit(every), F.lit(1))), lambda a: (
                 F.when(F.size(a) > 0, a).when(F.length(m) > 0, F.array(F.hash(m))).otherwise(a)
             ))
-            return F.when(F.size(spots) > 0, spots).otherwise(rest)
+            return F.when(F.size(found) > 0, found).otherwise(rest)
 
-        return let(hashed(F.regexp_extract_all(m, F.lit(spot), F.lit(1)), True), enough)
+        return let(let(F.split(m, " "), spots), enough)
 
     return let(_marked(text), of)
 
@@ -73,10 +83,18 @@ def encode(sigs: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, at_least: float = 0.0) -> Column:
-    """Jaccard likeness of two signature sets; 0 where set sizes alone put it below ``at_least``; two empty sets are alike."""
+    """Jaccard likeness of two signature sets, 0 where it can't reach ``at_least``; two empty sets are alike.
+
+    Sizes are compared first.  Then only the signatures below ``QUARTER`` meet, about a fourth of either set: if
+    those in common and all that may still come don't reach what ``at_least`` asks for, the rest isn't looked at.
+    """
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    common = F.size(F.array_intersect(a, b))
-    exact = let(common, lambda c: c / (small + large - c))
+    exact = let(F.size(F.array_intersect(a, b)), lambda c: c / (small + large - c))
+    if at_least > 0:
+        low = lambda s: F.filter(s, lambda x: x < QUARTER)
+        enough = at_least / (1 + at_least) * (small + large) - 1e-9  # common signatures that the likeness asks for
+        most = let(low(a), lambda x: let(low(b), lambda y: F.size(F.array_intersect(x, y)) + F.least(F.size(a) - F.size(x), F.size(b) - F.size(y))))
+        exact = F.when(most < enough, F.lit(0.0)).otherwise(exact)
     return F.when(large == 0, F.lit(1.0)).when(small < at_least * large, F.lit(0.0)).otherwise(exact).cast("double")
 
 
@@ -143,14 +161,16 @@ def with_next(docs: DataFrame) -> DataFrame:
 def leaders(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``sets(doc_id, k, sigs)`` -> ``doc_id, k, leader, near_leader`` for those that have a leader.
 
-    Sets lie in buckets of a length partition and their least signature; a bucket is led by its smallest
-    (doc_id, k).  A set's leader is the smallest one before it that leads the bucket of its least signature in
+    Sets lie in buckets of a length partition and their least signature, in three orders of signatures; a
+    bucket is led by its smallest (doc_id, k).  A set's leader is the smallest one before it that leads one of its buckets in
     its own or a neighbouring partition and that it is alike to by ``threshold``.  Sizes prune before sets
-    are fetched, and equal keys need no comparison.  That is one min-hash of a fingerprint's kin, linear in the
+    are fetched, and equal keys need no comparison.  That is three min-hashes of a fingerprint's kin, linear in the
     rows whatever the size of a group; all kin of given queries are what ``search`` finds.  Null ids neither
     lead nor follow.
     """
-    keyed = sets.where("doc_id is not null and size(sigs) > 0").select("doc_id", "k", F.size("sigs").alias("n"), length_partition(F.size("sigs"), threshold).alias("part"), F.get("sigs", F.lit(0)).alias("least"))
+    turned = lambda t: F.array_min(F.transform("sigs", lambda x: x.bitwiseXOR(F.lit(t))))
+    least = F.array(*[F.struct(F.lit(t).alias("turn"), turned(t).alias("sig")) for t in TURNS])
+    keyed = sets.where("doc_id is not null and size(sigs) > 0").select("doc_id", "k", F.size("sigs").alias("n"), length_partition(F.size("sigs"), threshold).alias("part"), F.explode(least).alias("least"))
     heads = keyed.groupBy("part", "least").agg(F.min(F.struct("doc_id", "k", "n")).alias("head"))
     heads = heads.select("least", "head", F.explode(F.array(F.col("part") - 1, "part", F.col("part") + 1)).alias("part"))
     near = F.least("n", "head.n") >= threshold * F.greatest("n", "head.n")

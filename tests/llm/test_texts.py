@@ -639,16 +639,17 @@ def test_leaders_equal_plain_loops(spark, docs, rows):
     df = spark.createDataFrame(group, "doc_id bigint, text string")
     made = [(r.doc_id, r.s) for r in df.select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()]
     part = lambda s: math.floor(math.log(len(s)) / -math.log(0.75) + 1e-9)
+    least = lambda s: [(t, min(x ^ t for x in s)) for t in spotsigs.TURNS]
     heads = {}
     for d, s in made:
         if d is not None and s:
-            key = (part(s), s[0])
-            heads[key] = min(heads.get(key, (d, s)), (d, s), key=lambda x: x[0])
+            for m in least(s):
+                heads[part(s), m] = min(heads.get((part(s), m), (d, s)), (d, s), key=lambda x: x[0])
     want = set()
     for d, s in made:
         best = None
-        for p in (-1, 0, 1):
-            h = heads.get((part(s) + p, s[0])) if d is not None and s else None
+        for p, m in itertools.product((-1, 0, 1), least(s) if s else [None]):
+            h = heads.get((part(s) + p, m)) if d is not None and s else None
             if h and h[0] < d:
                 near = len(set(s) & set(h[1])) / len(set(s) | set(h[1]))
                 if near >= 0.75 and (best is None or h[0] < best[0]):
@@ -658,6 +659,33 @@ def test_leaders_equal_plain_loops(spark, docs, rows):
     assert got == want and sum(x[1] is not None for x in want) > 20
 
 
+def test_pruned_likeness_equals_the_whole(spark):
+    r = random.Random(3)
+    pairs = []
+    for _ in range(400):
+        a = {r.randrange(-(2**31), 2**31) for _ in range(r.randint(0, 40))}
+        b = {x for x in a if r.random() < r.choice([0.6, 0.85, 0.95])} | {r.randrange(-(2**31), 2**31) for _ in range(r.randint(0, 6))}
+        pairs.append((sorted(a), sorted(b)))
+    df = spark.createDataFrame(pairs, "a array<int>, b array<int>")
+    for t in (0.0, 0.5, 0.75, 1.0):
+        for row in df.withColumn("near", spotsigs.likeness(F.col("a"), F.col("b"), t)).collect():
+            a, b = set(row.a), set(row.b)
+            exact = len(a & b) / len(a | b) if a | b else 1.0
+            assert row.near == pytest.approx(exact) if exact >= t else row.near in (0.0, pytest.approx(exact))
+
+
+def test_signatures_are_made_in_linear_time(spark):
+    """Long runs of anchors, of content words and of both."""
+    import time
+
+    texts = ["the " * 400_000, "the " * 300_000 + "cat sat", "cat " * 400_000, "the cat " * 200_000, "the of cat " * 3 + "and " * 300_000 + "dog ran"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    began = time.perf_counter()
+    got = {r.k: r.n for r in df.select("k", F.size(spotsigs.signatures(F.col("text"))).alias("n")).collect()}
+    # a chain of "the"; the anchor before cat sat; five words and an anchor; the cat cat; the and of before cat cat and before cat dog, and before dog ran
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 5} and time.perf_counter() - began < 30
+
+
 def test_one_document_follows_itself(spark):
     r = spotsigs.fingerprints(spark.createDataFrame([(1, "the cat and the dog")], "doc_id int, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"the cat and tthe ca").hexdigest() and r.near_next == 1.0
