@@ -14,7 +14,8 @@
    text is the article, whole; or the main element, if there is no article or only a ``SHORT`` one and the
    main element has far more that is unique; or else, in the same way, the unique runs of the open blocks.
    Articles are not searched: pages of a host share quotations and copies, and dropping what they share
-   would take text from more than half of the articles.
+   would take text from more than half of the articles; even whole blocks at an article's end that three pages
+   share are its own text far more often than the host's.
 """
 
 from __future__ import annotations
@@ -51,12 +52,23 @@ FURNITURE_WORDS = frozenset(
     "adbox adslot adunit adwrap adsense adsbygoogle advert adverts advertisement sponsored navbar navbox topmenu mainmenu submenu breadcrumb breadcrumbs sidebar bottombar topbar masthead comments "
     "commentlist disqus gdpr newsletter pager".split()
 )
+#: Names that an article also gives to parts of its own: warnings, title blocks, remarks at its foot.
+OWN_WORDS = frozenset("alert header overlay notice notices search skip foot".split())
+#: Words that make furniture of what stands beside them in a class.
+PAIRED = {
+    frozenset("ad ads".split()): frozenset("container slot unit wrap wrapper box banner block space zone area label top bottom inline leaderboard rectangle placeholder".split()),
+    frozenset("cookie cookies consent privacy".split()): frozenset("banner notice consent bar popup message wall overlay warning dialog".split()),
+    frozenset("share sharing social".split()): frozenset("link links button buttons bar icon icons tools widget box list".split()),
+    frozenset("related recommended more".split()): frozenset("post posts article articles link links story stories reading".split()),
+    frozenset(["login", "search"]): frozenset("form bar button".split()),
+}
 
 NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 QUOTES = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 MARKED = re.compile(r"class|id|role|hidden|style")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("div section ul ol dl table".split())
 #: Names with one of these say that an element goes with or without furniture, not that it is some.
 RELATIONS = frozenset("no non not with without has hide show".split())
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -74,8 +86,9 @@ def _furniture(tag: str, attrs: dict[str, str], in_article: bool = False) -> int
     """Whether an element is furniture.
 
     Certain are elements and roles that mean it, hidden ones, a class or id that is a furniture word as a
-    whole, and a class with one of ``FURNITURE_WORDS``.  A class with another such word in it is doubtful;
-    an id only outside an article, inside ids are commonly slugs of headings.
+    whole, and a class with one of ``FURNITURE_WORDS`` or two words that are ``PAIRED``.  A class with another such word in it is doubtful.
+    Inside an article ids are commonly slugs of headings: only a container's counts, if it is one of ``FURNITURE_WORDS`` as a
+    whole; and a class that is one of ``OWN_WORDS`` is doubtful.
     """
     if tag in ("html", "body", "article", "main"):
         return NEITHER
@@ -83,15 +96,23 @@ def _furniture(tag: str, attrs: dict[str, str], in_article: bool = False) -> int
         return CERTAIN
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return CERTAIN
-    ids, found = attrs.get("id", "").split(), NEITHER
-    for k, name in enumerate(ids + attrs.get("class", "").split()):
-        parts = re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-        if RELATIONS.intersection(parts[:-1]):
-            continue
-        if "".join(parts) in CHROME_WORDS or k >= len(ids) and FURNITURE_WORDS.intersection(parts):
-            return CERTAIN
-        if (k >= len(ids) or not in_article) and (CHROME_WORDS.intersection(parts) or any(x + y in CHROME_WORDS for x, y in zip(parts, parts[1:], strict=False))):
-            found = DOUBTFUL
+    found = NEITHER
+    for kind in ("id", "class"):
+        for name in attrs.get(kind, "").split():
+            parts = re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if RELATIONS.intersection(parts[:-1]):
+                continue
+            whole = "".join(parts)
+            if kind == "id" and in_article:
+                if tag in CONTAINERS and whole in FURNITURE_WORDS:
+                    return CERTAIN
+                continue
+            if whole in CHROME_WORDS and not (in_article and whole in OWN_WORDS):
+                return CERTAIN
+            if kind == "class" and (FURNITURE_WORDS.intersection(parts) or any(x in a and y in b or x in b and y in a for x, y in zip(parts, parts[1:], strict=False) for a, b in PAIRED.items())):
+                return CERTAIN
+            if CHROME_WORDS.intersection(parts) or any(x + y in CHROME_WORDS for x, y in zip(parts, parts[1:], strict=False)):
+                found = DOUBTFUL
     return found
 
 
@@ -100,7 +121,7 @@ class _Scanner:
 
     def __init__(self, page: str):
         self.page, self.at = page, 0
-        self.open_ended = 0  # tags whose quotes ran to the end of the page
+        self.ends: dict[int, int] = {}  # where a tag ends whose next quote or bracket stands at a place, or -1
 
     def __iter__(self) -> Iterator[tuple[str, str, bool, str]]:
         """``(text before, element, whether it ends, attributes)``; the element is empty for comments and the like.  The rest is ``page[at:]``."""
@@ -132,19 +153,27 @@ class _Scanner:
         return text
 
     def _end(self, at: int, quoted: bool) -> int:
-        """Where the tag whose attributes begin at ``at`` ends; a ``>`` in quotes doesn't end it unless the quotes are never closed."""
-        pos = at
-        while quoted and self.open_ended < 16:
+        """Where the tag whose attributes begin at ``at`` ends; a ``>`` in quotes doesn't end it unless the quotes are never closed.
+
+        What follows a place outside of quotes is the same for every tag that gets there, so each place is looked at once.
+        """
+        seen, pos, found = [], at, -1
+        while quoted:
             m = QUOTES.search(self.page, pos)
             if m is None:
                 break
+            if m.start() in self.ends:
+                found = self.ends[m.start()]
+                break
             if m[0] == ">":
-                return m.start()
+                found = m.start()
+                break
+            seen.append(m.start())
             pos = self.page.find(m[0], m.end()) + 1
             if not pos:
                 break
-        self.open_ended += quoted
-        return self.page.find(">", at)
+        self.ends.update(dict.fromkeys(seen, found))
+        return found if found >= 0 else self.page.find(">", at)
 
     def skip(self, tag: str) -> None:
         """Go on behind the end of a raw element."""
