@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from bitspark.llm.scratch import Stored
 
 CRLF = "\r\n"
+#: Bytes of payload that a file holds at most, before compression, unless a single one has more; a file is read as one row, of at most 2 GB.
+FILE_BYTES = 1 << 30
 #: RFC 4648 base 32 digits, fixed by the format.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
-    "record_id string, type string, concurrent_to string, refers_to string, page_id bigint, uri string, date string, "
+    "record_id string, type string, concurrent_to array<string>, refers_to string, page_id bigint, uri string, date string, "
     "payload_bytes bigint, payload_digest string, fields string, payload binary"
 )
 
@@ -61,9 +63,12 @@ def metadata_text(n: Column) -> Column:
     return F.concat(F.lit("payloadBytes: "), n, F.lit(CRLF))
 
 
-def write_warc(pages: DataFrame, path: str, *, dedupe_from: int = 0, date: str = "1970-01-01T00:00:00Z", captures_per_file: int = 1000) -> None:
+def write_warc(pages: DataFrame, path: str, *, dedupe_from: int = 0, date: str = "1970-01-01T00:00:00Z", captures_per_file: int = 1024) -> None:
     """Write ``pages(page_id, url, html)`` as gzipped WARC files below ``path``, three records a page.
 
+    A file holds ``captures_per_file`` pages at most, and ``FILE_BYTES`` of payload or one page: pages are written by
+    classes of their size, each with as many to a file as surely fit.
+
     Of pages with equal payloads of ``dedupe_from`` bytes or more, that with the smallest id is a
     response and the others are revisits without payload; repeated rows of that smallest id, and
     pages without id, are responses.  A null html is an empty payload.  Line breaks in a url are
@@ -97,11 +102,27 @@ def write_warc(pages: DataFrame, path: str, *, dedupe_from: int = 0, date: str =
     meta = _record([
         ("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uuid("metadata", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", rid), ("Content-Type", F.lit("application/warc-fields")),
     ], metadata_text(n))
-    records = rows.select(F.explode(F.array(ask, F.when(F.col("first").isNull(), whole).otherwise(again), meta)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_per_file).text(path)
+    triple = F.array(ask, F.when(F.col("first").isNull(), whole).otherwise(again), meta)
+    # how many pages of each size class there are: few classes but the first have any
+    size = F.octet_length("html")
+    bounds = _size_classes(captures_per_file)
+    named = F.coalesce(*[F.when(size <= top, k) for k, (top, _) in enumerate(bounds)])
+    there = sorted(r["k"] for r in pages.select(named.alias("k")).distinct().collect()) or [0]
+    for k in there:
+        records = rows.where(named == k).select(F.explode(triple).alias("value"))
+        records.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * bounds[k][1]).text(path)
     revisits.drop()
 
 
+def _size_classes(captures: int) -> list[tuple[int, int]]:
+    """``(bytes of a payload at most, pages to a file)``: each class has a quarter of the pages of the one before."""
+    out = [(FILE_BYTES // captures, captures)]
+    while out[-1][1] > 1:
+        fewer = max(1, out[-1][1] // 4)
+        out.append((FILE_BYTES // fewer if fewer > 1 else 1 << 31, fewer))
+    return out if captures > 1 else [(1 << 31, 1)]
+
+
 def inflated(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
     """Pieces of a file's plain bytes: of all its gzip or zlib members, one after the other, or the file itself if it isn't compressed.
 
@@ -121,11 +142,12 @@ def inflated(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
             yield piece
 
 
-def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive's ``inflated`` pieces.
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Headers (names in lower case, each with all of its values) and block of each record of an archive's ``inflated`` pieces.
 
     Blocks are taken by Content-Length, whatever they hold; one record at a time is held.  A header's name
-    ends at its first colon; a line that begins with white space goes on with the one before.
+    ends at its first colon; a line that begins with white space goes on with the one before.  Bytes of headers that
+    aren't UTF-8 are replaced.  What isn't a record, or has no length, raises ValueError.
     """
     source, held, gone = iter(pieces), bytearray(), 0
 
@@ -147,9 +169,14 @@ def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byt
             seen = max(0, len(held) - 3)
             if not more():
                 raise ValueError(f"headers without end at byte {gone}")
-        lines = re.sub(r"\r\n[ \t]+", " ", held[:end].decode("utf-8")).split(CRLF)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        stop = end + 4 + int(headers["content-length"])
+        headers: dict[str, list[str]] = {}
+        for line in re.sub(r"\r\n[ \t]+", " ", held[:end].decode("utf-8", "replace")).split(CRLF)[1:]:
+            name, _, value = line.partition(":")
+            headers.setdefault(name.strip().lower(), []).append(value.strip())
+        length = headers.get("content-length", [""])[0]
+        if not re.fullmatch(r"[0-9]+", length):
+            raise ValueError(f"record without length at byte {gone}")
+        stop = end + 4 + int(length)
         while len(held) < stop + 4 and more():
             pass
         if held[stop : stop + 4] != b"\r\n\r\n":
@@ -164,14 +191,15 @@ def _rows(payloads: bool):
         for pdf in batches:
             for content in pdf["content"]:
                 out = []
-                for h, block in parse_records(inflated(content)):
-                    kind, body = h["warc-type"], None
+                for headers, block in parse_records(inflated(content)):
+                    h = {k: v[0] for k, v in headers.items()}
+                    kind, body, page = h.get("warc-type"), None, h.get("warc-page-id", "")
                     if kind == "response":
                         body = block.partition(b"\r\n\r\n")[2]
                     out.append((
-                        h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), int(h["warc-page-id"]) if "warc-page-id" in h else None, h.get("warc-target-uri"), h.get("warc-date"),
+                        h.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), h.get("warc-refers-to"), int(page) if re.fullmatch(r"-?[0-9]{1,19}", page) else None, h.get("warc-target-uri"), h.get("warc-date"),
                         None if body is None else len(body), h.get("warc-payload-digest", "").removeprefix("sha1:") or None if body is None else base64.b32encode(hashlib.sha1(body).digest()).decode(),
-                        block.decode("utf-8") if kind in ("metadata", "request") else None, body if payloads else None,
+                        block.decode("utf-8", "replace") if kind in ("metadata", "request") else None, body if payloads else None,
                     ))
                     if len(out) == 256:
                         yield _frame(out)
@@ -189,7 +217,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     """The records below ``path``.  Digest and length of a response are of the payload that was read, not of its headers.
 
     A file is one row of at most 2 GB compressed, and is inflated a record at a time.  Files of other makers are
-    read too, with a null page id; an empty folder gives no records.
+    read too, with a null page id; a record without id or type has null there, and bytes of headers, requests and metadata
+    that aren't UTF-8 are replaced.  An empty folder gives no records.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(_rows(payloads), RECORDS)
@@ -198,18 +227,18 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 def assemble(records: DataFrame) -> DataFrame:
     """One row a capture: ``capture, request, metadata`` structs and ``original``, the response that a revisit refers to.
 
-    Requests and metadata meet their capture by ``concurrent_to``; of several for one capture that with
-    the smallest record id counts, and one whose capture is missing is dropped.  A capture without
-    request or metadata, or a revisit without original, has null there.
+    Requests and metadata meet their capture by ``concurrent_to``, which either side may have, with as many ids as it likes; of
+    several for one capture that with the smallest record id counts, and one whose capture is missing is dropped.  A
+    capture without request or metadata, or a revisit without original, has null there; one without an id meets nothing.
     """
     fields = F.struct("record_id", "type", "page_id", "uri", "date", "payload_bytes", "payload_digest", "refers_to", "payload")
-    captures = records.where("type in ('response', 'revisit')").select("record_id", "refers_to", fields.alias("capture"))
-    parts = (
-        records.where("type in ('request', 'metadata') and concurrent_to is not null")
-        .groupBy("concurrent_to")
-        .agg(*[F.min(F.when(F.col("type") == k, F.struct("record_id", "date", "fields"))).alias(k) for k in ("request", "metadata")])
-        .withColumnRenamed("concurrent_to", "record_id")
-    )
+    seen = records.where("type in ('response', 'revisit')")
+    captures = seen.select("record_id", "refers_to", fields.alias("capture"))
+    told = records.where("type in ('request', 'metadata')").select("record_id", "concurrent_to", "type", F.struct("record_id", "date", "fields").alias("part"))
+    forward = told.select(F.explode("concurrent_to").alias("record_id"), "type", "part")
+    named = seen.select(F.col("record_id").alias("by"), F.explode("concurrent_to").alias("record_id")).where("by is not null")
+    backward = told.join(named, "record_id").select(F.col("by").alias("record_id"), "type", "part")
+    parts = forward.union(backward).groupBy("record_id").agg(*[F.min(F.when(F.col("type") == k, F.col("part"))).alias(k) for k in ("request", "metadata")])
     originals = records.where("type = 'response'").groupBy("record_id").agg(F.min(F.struct("page_id", "payload_bytes", "payload_digest")).alias("original"))
     first = captures.where("refers_to is null").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType))
     again = captures.where("refers_to is not null").join(originals.withColumnRenamed("record_id", "refers_to"), "refers_to", "left").select(*first.columns)

@@ -51,8 +51,60 @@ def test_slugs_inside_an_article_are_no_furniture(attribute):
 
 
 def test_whole_names_inside_an_article_are_furniture():
-    for attribute in ("class=share", "id=comments", "class='x related'", "class=user-comments", "class=right-sidebar", "id=side-bar"):
-        assert text_of(page(f"<article><p>a</p><div {attribute}>out</div></article>")) == "a"
+    for attribute in (
+        "class=share", "id=comments", "class='x related'", "class=user-comments", "class=right-sidebar", "id=side-bar", "class=ad-container", "class='x top-ads-banner'", "class=cookie-banner", "class=cookieNotice", "class=share-links",
+        "class=social-icons", "class=related-posts", "class=more-stories", "class=search-form", "class=consent", "class=privacy-notice", "class=adSlot",
+    ):
+        assert text_of(page(f"<article><p>a</p><div {attribute}>out</div></article>")) == "a", attribute
+
+
+@pytest.mark.parametrize("part", [
+    "<h2 id=search>x</h2>", "<h2 id=notice>x</h2>", "<p id=share>x</p>", "<h3 id=comments>x</h3>", "<div class=alert>x</div>", "<div class=header>x</div>", "<div class=overlay>x</div>", "<p class=notice>x</p>", "<div id=search>x</div>", "<li id=related>x</li>",
+    "<div class='cookie-recipe'>x</div>", "<p class='ad-hoc'>x</p>", "<div class='social-history'>x</div>", "<section id=ad><p>x</p></section>", "<div class='header-image more'>x</div>",
+])
+def test_an_article_keeps_parts_of_its_own(part):
+    """Slugs of one word, and names that articles use for warnings and titles, stay unless the host repeats what they hold."""
+    assert text_of(page(f"<article><p>a</p>{part}<p>b</p></article>")) == "a\n\nx\n\nb"
+
+
+def test_tags_after_many_open_quotes_still_end_rightly():
+    """However many tags were ended early for a quote that never closes, a later one's closed quotes may hold an angle bracket."""
+    assert text_of("<article>" + "<p title='a>b'>q</p>" * 50 + "<p title='open>r</p></article>") == "\n\n".join(["q"] * 50 + ["r"])
+    assert text_of("<article>" + "<p title=\"it's>a</p><p title=\"x>y\">b</p>" * 40 + "</article>").endswith("b")
+    many = "<article>" + "<p title='x\">n</p>" * 40  # an even number of single quotes: they close each other
+    assert "title" not in text_of(many + "</article>")
+
+
+TRUTHS = [
+    # (markup of a page's body, its main text)
+    ("<header><h1>Site</h1></header><main><article><h1>T</h1><p>one</p></article></main>", "T\n\none"),
+    ("<div id=page><div id=header>Site</div><div id=content><article><h2>T</h2><div class=byline>by A</div><p>one</p></article></div><div id=footer>f</div></div>", "T\n\nby A\n\none"),
+    ("<article><h1>T</h1><p>one</p><div class=share-buttons><a>Tweet</a></div><p>two</p><section class=comments><article>no</article></section></article>", "T\n\none\n\ntwo"),
+    ("<div class=cookie-banner>We use cookies</div><article><p>one</p></article>", "one"),
+    ("<article><p>one</p><div class=ad-container>Buy shoes</div><p>two</p></article><div class=related-posts>more</div>", "one\n\ntwo"),
+    ("<article><ul class=breadcrumbs><li>a</li></ul><h1>T</h1><p>one</p></article>", "T\n\none"),
+    ("<article><h1>T</h1><nav class=toc><a>1</a></nav><h2 id=search>Search</h2><p>one</p><h2 id=notice>Notice</h2><p>two</p></article>", "T\n\nSearch\n\none\n\nNotice\n\ntwo"),
+    ("<article><table><tr><th>k<th>v<tr><td>1<td>2</table></article>", "k\n\nv\n\n1\n\n2"),
+    ("<article><p>a &lt;b&gt; &amp;amp; &quot;c&quot; &nbsp; d</p></article>", "a <b> &amp; \"c\" d"),
+    ("<article><pre>x\n  y</pre><blockquote><p>q</p></blockquote></article>", "x y\n\nq"),
+    ("<article><figure><img src=x alt=no><figcaption>cap</figcaption></figure><p>one</p></article>", "cap\n\none"),
+    ("<article><p>one<script>var a = '<p>no</p>';</script> more</p><style>p{}</style></article>", "one more"),
+    ("<article><p>one</p><form><label>Mail</label><input><button>Go</button></form></article>", "one"),
+    ("<article><div class=alert><b>Warning:</b> hot</div><p>one</p></article>", "Warning: hot\n\none"),
+    ("<article><p>one</p><!-- <p>no</p> --><p>two</p></article>", "one\n\ntwo"),
+    ("<div role=navigation>n</div><div role=main><p>one</p></div><div role=contentinfo>f</div>", "one"),
+    ("<article><p>first<p>second<div>third<p>fourth</div></article>", "first\n\nsecond\n\nthird\n\nfourth"),
+    ("<article><h1>T</h1><div class=widget>w</div><div aria-hidden=true>h</div><p>one</p><aside>s</aside></article>", "T\n\none"),
+    ("<article><dl><dt>t<dd>d</dl><p>one<hr>two</p></article>", "t\n\nd\n\none\n\ntwo"),
+    ("<article><p>caf&eacute; na&iuml;ve &#x1F600; &unknown;</p></article>", "café naïve 😀 &unknown;"),
+]
+
+
+def test_hand_made_truths(spark):
+    """Whole extraction of pages whose main text was written down by hand."""
+    rows = [(k, f"http://h{k}.example/", page(body)) for k, (body, _) in enumerate(TRUTHS)]
+    got = {r.page_id: r.text for r in html_main.extract_main(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[k] for k in range(len(TRUTHS))] == [t for _, t in TRUTHS]
 
 
 @pytest.mark.parametrize(("body", "want"), [
@@ -201,7 +253,7 @@ def test_query_returns_every_request_and_metadata(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     df = queries.op2_warc_transactions(spark, sf)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Join") == 2 and "concurrent_to" in plan
+    assert plan.count("Join") == 3 and "concurrent_to" in plan
     got = df.collect()
     assert len(got) == len(pages)
     for r in got:
@@ -221,15 +273,55 @@ def test_archives_of_other_makers(spark, tmp_path):
     for name, data in (("each", b"".join(map(gzip.compress, records))), ("all", gzip.compress(b"".join(records))), ("plain", b"".join(records))):
         (tmp_path / name).write_bytes(data)
         for step in (1, 7, 1 << 16):
-            assert [h["warc-type"] for h, _ in warc.parse_records(warc.inflated(data, step))] == ["warcinfo", "response", "response", "metadata"]
+            assert [h["warc-type"] for h, _ in warc.parse_records(warc.inflated(data, step))] == [["warcinfo"], ["response"], ["response"], ["metadata"]]
         got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / name)).collect()}
-        assert len(got) == 4 and got["<r1>"].payload_bytes == 70 and got["<r2>"].payload_bytes == 0 and got["<r3>"].concurrent_to == "<r1>" and got["<r1>"].page_id is None
+        assert len(got) == 4 and got["<r1>"].payload_bytes == 70 and got["<r2>"].payload_bytes == 0 and got["<r3>"].concurrent_to == ["<r1>"] and got["<r1>"].page_id is None
     assert list(warc.parse_records(iter([b"", b""]))) == []
-    for broken in (gzip.compress(records[0])[:-9], records[0][:-2], b"WARC", b"junk!"):
+    for broken in (gzip.compress(records[0])[:-9], records[0][:-2], b"WARC", b"junk!", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n\r\n\r\n", b"WARC/1.0\r\nContent-Length: -1\r\n\r\n\r\n\r\n"):
         with pytest.raises(ValueError):
             list(warc.parse_records(warc.inflated(broken)))
 
 
+def test_bytes_that_are_no_utf8_and_both_ways_to_name_a_transaction(spark, tmp_path):
+    """Requests in Latin-1, several concurrent-to headers, responses that name their request, records without id or type."""
+
+    def record(kind, name, block, *more):
+        lines = [b"WARC/1.1", *([b"WARC-Type: " + kind] if kind else []), *([b"WARC-Record-ID: " + name] if name else []), *more, b"Content-Length: %d" % len(block)]
+        return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    data = b"".join([
+        record(b"request", b"<q1>", b"GET /caf\xe9 HTTP/1.1\r\n\r\n", b"WARC-Target-URI: http://h/\xe9", b"WARC-Concurrent-To: <r1>", b"WARC-Concurrent-To: <r2>"), record(b"response", b"<r1>", http + b"one"),
+        record(b"response", b"<r2>", http + b"two\xff"), record(b"response", b"<r3>", http + b"three", b"WARC-Concurrent-To: <q3>", b"WARC-Concurrent-To: <m3>", b"WARC-Page-ID: x"), record(b"request", b"<q3>", b"GET /3"), record(b"metadata", b"<m3>", b"a: \xe9"),
+        record(b"response", b"", http + b"no id", b"WARC-Concurrent-To: <q3>"), record(b"", b"<n>", b"no type"), record(b"request", b"<q4>", b"", b"WARC-Concurrent-To: <r3>"),
+    ])
+    (tmp_path / "a.warc").write_bytes(data)
+    records = warc.read_warc(spark, str(tmp_path), payloads=True)
+    assert records.count() == 9 and records.where("record_id = '<q1>'").first().uri == "http://h/\ufffd"
+    got = {r.capture.record_id: r for r in warc.assemble(records).collect()}
+    assert set(got) == {"<r1>", "<r2>", "<r3>", None}
+    assert got["<r1>"].request.record_id == got["<r2>"].request.record_id == "<q1>" and got["<r1>"].request.fields == "GET /caf\ufffd HTTP/1.1\r\n\r\n"
+    assert bytes(got["<r2>"].capture.payload) == b"two\xff" and got["<r1>"].metadata is None
+    assert got["<r3>"].request.record_id == "<q3>" and got["<r3>"].metadata.fields == "a: \ufffd" and got["<r3>"].capture.page_id is None
+    assert got[None].request is None
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    sizes = [10] * 60 + [900] * 9 + [3000, 5000, 9000, 0]
+    df = spark.createDataFrame([(k, "http://h", chr(97 + k % 26) * n + str(k)) for k, n in enumerate(sizes)], "page_id bigint, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"), captures_per_file=40)
+    import gzip
+
+    got = []
+    for f in (tmp_path / "w").glob("part-*"):
+        found = [len(b) for h, b in warc.parse_records([gzip.decompress(f.read_bytes())]) if h["warc-type"] == ["response"]]
+        got += found
+        assert len(found) == 1 or len(found) <= 40 and sum(found) <= 4000 + 100 * len(found)
+    assert len(got) == len(sizes)
+    assert warc._size_classes(1) == [(1 << 31, 1)] and warc._size_classes(1024)[-1] == (1 << 31, 1)
+
+
 def test_headers_are_single_lines(archive, spark):
     uris = [r.uri for r in warc.read_warc(spark, archive).select("uri").collect()]
     assert "http://c.example/%0D%0ASet: x" in uris and None in uris
@@ -242,9 +334,9 @@ def test_small_payloads_are_not_deduplicated(spark, tmp_path):
 
 
 def test_lone_records(spark):
-    fields = "record_id string, type string, concurrent_to string, refers_to string, page_id bigint, uri string, date string, payload_bytes bigint, payload_digest string, fields string, payload binary"
-    rows = [("r1", "response", None, None, 1, None, None, 2, "d", None, None), ("q2", "request", "r1", None, 1, None, "b", None, None, "2", None), ("q1", "request", "r1", None, 1, None, "a", None, None, "1", None),
-            ("m1", "metadata", "gone", None, 1, None, None, None, None, "x", None), ("v1", "revisit", None, "gone", 2, None, None, None, "d", None, None)]
+    fields = "record_id string, type string, concurrent_to array<string>, refers_to string, page_id bigint, uri string, date string, payload_bytes bigint, payload_digest string, fields string, payload binary"
+    rows = [("r1", "response", None, None, 1, None, None, 2, "d", None, None), ("q2", "request", ["r1"], None, 1, None, "b", None, None, "2", None), ("q1", "request", ["r1"], None, 1, None, "a", None, None, "1", None),
+            ("m1", "metadata", ["gone"], None, 1, None, None, None, None, "x", None), ("v1", "revisit", None, "gone", 2, None, None, None, "d", None, None)]
     got = {r.capture.record_id: r for r in warc.assemble(spark.createDataFrame(rows, fields)).collect()}
     assert set(got) == {"r1", "v1"} and got["r1"].request.record_id == "q1" and got["r1"].metadata is None and got["v1"].original is None
     assert warc.assemble(spark.createDataFrame([], fields)).count() == 0
