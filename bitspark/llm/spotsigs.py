@@ -158,14 +158,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     return following.where("guest = 0").select("doc_id", "text", "sigs", "next_text", "next_sigs")
 
 
-def leaders(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """``sets(doc_id, k, sigs)`` -> ``doc_id, k, leader, near_leader`` for those that have a leader.
+def leading(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """``sets(doc_id, k, sigs)`` -> ``doc_id, k, may array<struct<leader, led>>`` of those that a leader may have, ``led`` being its set, or null if it is the same.
 
     Sets lie in buckets of a length partition and their least signature, in three orders of signatures; a
     bucket is led by its smallest (doc_id, k).  A set's leader is the smallest one before it that leads one of its buckets in
     its own or a neighbouring partition and that it is alike to by ``threshold``.  Sizes prune before sets
-    are fetched, and equal keys need no comparison.  That is three min-hashes of a fingerprint's kin, linear in the
-    rows whatever the size of a group; all kin of given queries are what ``search`` finds.  Null ids neither
+    are fetched, and equal keys need no comparison.  That is three min-hashes of a fingerprint's kin, nine sets at most for
+    each, linear in the rows whatever the size of a group; all kin of given queries are what ``search`` finds.  Null ids neither
     lead nor follow.
     """
     turned = lambda t: F.array_min(F.transform("sigs", lambda x: x.bitwiseXOR(F.lit(t))))
@@ -176,12 +176,16 @@ def leaders(sets: DataFrame, threshold: float = 0.75) -> DataFrame:
     near = F.least("n", "head.n") >= threshold * F.greatest("n", "head.n")
     met = keyed.join(heads, ["part", "least"]).where(near & (F.struct("head.doc_id", "head.k") < F.struct("doc_id", "k"))).select("doc_id", "k", F.col("head.doc_id").alias("leader"), F.col("head.k").alias("l")).distinct()
     met = Stored(met, "met").df
-    equal = met.where("k = l").select("doc_id", "k", "leader", F.lit(1.0).alias("near_leader"))
-    own = sets.select("doc_id", "k", "sigs")  # repeated rows only repeat pairs
-    other = own.select(F.col("doc_id").alias("leader"), F.col("k").alias("l"), F.col("sigs").alias("led"))
-    pairs = met.where("k <> l").join(other, ["leader", "l"]).join(own, ["doc_id", "k"]).select("doc_id", "k", "leader", likeness(F.col("sigs"), F.col("led"), threshold).alias("near_leader"))
-    found = equal.union(pairs.where(F.col("near_leader") >= threshold))
-    return found.groupBy("doc_id", "k").agg(F.min(F.struct("leader", "near_leader")).alias("m")).select("doc_id", "k", "m.leader", "m.near_leader")
+    other = sets.select(F.col("doc_id").alias("leader"), F.col("k").alias("l"), F.col("sigs").alias("led")).dropDuplicates(["leader", "l"])
+    unlike = met.where("k <> l").join(other, ["leader", "l"]).select("doc_id", "k", "leader", "led")
+    same = met.where("k = l").select("doc_id", "k", "leader", F.lit(None).cast("array<int>").alias("led"))
+    return same.union(unlike).groupBy("doc_id", "k").agg(F.collect_list(F.struct("leader", "led")).alias("may"))
+
+
+def leader_of(sigs: Column, may: Column, threshold: float) -> Column:
+    """Struct of the smallest ``leader`` to which the set is alike, and that likeness; null without any."""
+    near = F.transform(may, lambda c: F.struct(c["leader"].alias("leader"), F.when(c["led"].isNull(), F.lit(1.0)).otherwise(likeness(sigs, c["led"], threshold)).alias("near")))
+    return F.array_min(F.filter(near, lambda x: x["near"] >= threshold))
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.75) -> DataFrame:
@@ -190,7 +194,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     The edited text is the text with its last third (rounded down, in code points) replaced by as many
     first code points, or all, of the next document by descending id; the last is followed by the first.
     ``near_edited`` and ``near_next`` are likenesses to the edited text and to the next document.
-    ``leader`` is the document that heads this one's bucket (see ``leaders``) and ``near_leader`` its
+    ``leader`` is the document that heads one of this one's buckets (see ``leading``) and ``near_leader`` its
     likeness; both are null for a document that heads its own or is alike to no head.  Null
     texts are empty; their fingerprint is empty and like only another empty one.  Equal texts have equal
     fingerprints; repeated rows follow each other.  A table of one row is followed by itself.  Other
@@ -207,7 +211,8 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         let(signatures(F.col("edited")), lambda e: F.struct(e.alias("sigs"), likeness(F.col("sigs"), e).alias("near"))).alias("edited"),
     )
     stored = Stored(sets.withColumn("k", F.xxhash64("sigs")), "fingerprints").df
-    led = Stored(leaders(stored, threshold), "leaders").df.select(F.col("doc_id").alias("i"), F.col("k").alias("l"), "leader", "near_leader")
-    return stored.join(led, (F.col("doc_id") == F.col("i")) & (F.col("k") == F.col("l")), "left").select(
-        "doc_id", "n_chars", "edited_sha256", encode(F.col("sigs")).alias("fingerprint"), encode(F.col("edited.sigs")).alias("edited_fingerprint"), F.col("edited.near").alias("near_edited"), "near_next", "leader", "near_leader",
+    may = leading(stored, threshold).select(F.col("doc_id").alias("i"), F.col("k").alias("l"), "may")
+    led = stored.join(may, (F.col("doc_id") == F.col("i")) & (F.col("k") == F.col("l")), "left").withColumn("led", leader_of(F.col("sigs"), F.col("may"), threshold))
+    return led.select(
+        "doc_id", "n_chars", "edited_sha256", encode(F.col("sigs")).alias("fingerprint"), encode(F.col("edited.sigs")).alias("edited_fingerprint"), F.col("edited.near").alias("near_edited"), "near_next", "led.leader", F.col("led.near").alias("near_leader"),
     )
