@@ -3,7 +3,8 @@
 Sequences are numbered, a keyed Feistel permutation gives each number its global slot, and every
 ``shard_slots`` consecutive slots are one file of fixed-length records in slot order.  A reader that has
 consumed k sequences finds the next at record ``k % shard_slots`` of shard ``k // shard_slots``, by one
-seek, and reads on sequentially.
+seek, and reads on sequentially.  Stride and shard size stand beside the shards.  Shards are as many as lets
+tasks share the work, up to ``SHARD_BYTES`` each, so that their number stays small where there is much.
 
 The permutation works on the least even number of bits that holds all numbers; an image outside the
 range is permuted again until it falls inside (cycle-walking), which keeps it one-to-one.
@@ -34,6 +35,9 @@ HEADER_SIZE = struct.calcsize(HEADER)
 NO_ID = -(1 << 63)
 ROUNDS = 6
 TASK_BYTES = 1 << 30  # records that one task sorts and writes, if shards are larger in number than shuffle partitions
+SHARD_BYTES = 1 << 29
+LEAST_SLOTS = 1 << 14
+LAYOUT = "sequences bigint, stride int, shard_slots bigint"
 SEQUENCE = "slot bigint, doc_id bigint, part int, tokens binary"
 
 
@@ -98,9 +102,12 @@ def _replayable(docs: DataFrame) -> bool:
     return all(n in ("Project", "Filter") or n.startswith("Relation") for n in nodes)
 
 
-def materialise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", key: int = 1, stride: int = 512, shard_slots: int = 1 << 14) -> int:
+def materialise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", key: int = 1, stride: int = 512, shard_slots: int | None = None) -> int:
     """Write every document's sequences in training order below ``path``; returns their number.
 
+    ``shard_slots`` is by default the power of two, from ``LEAST_SLOTS`` to what ``SHARD_BYTES`` hold, that makes about a
+    thousand shards.
+
     A text of b bytes is ``max(1, ceil(b / stride))`` sequences; a null text is one empty sequence, and a
     null id is the least 64-bit integer.  Repeated rows are sequences of their own.  Other columns are
     ignored, whatever their names; an empty table writes nothing.
@@ -124,6 +131,9 @@ def materialise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
         n = int(bases[-1])
         if not n:
             return 0
+        if shard_slots is None:
+            most = 1 << (SHARD_BYTES // (HEADER_SIZE + stride + 1)).bit_length() - 1
+            shard_slots = max(LEAST_SLOTS, min(most, 1 << (n // 1000).bit_length()))
         shards = -(-n // shard_slots)
         tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (HEADER_SIZE + stride + 1) // TASK_BYTES)))
         run = -(-shards // tasks)  # consecutive shards of one task, a range of slots
@@ -132,6 +142,7 @@ def materialise(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
         ordered = dealt.mapInPandas(_unpacked(stride), "shard bigint, slot bigint, record binary").sortWithinPartitions("shard", "slot")
         ordered.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
     _verify(spark, path, n, stride, shard_slots)
+    spark.createDataFrame([(n, stride, shard_slots)], LAYOUT).coalesce(1).write.json(f"{path}/_layout")
     return n
 
 
@@ -178,11 +189,13 @@ def _read(stride: int, shard_slots: int, first: int, last: int):
     return run
 
 
-def read_sequences(spark: SparkSession, path: str, *, stride: int = 512, shard_slots: int = 1 << 14, first: int = 0, last: int | None = None) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, *, first: int = 0, last: int | None = None) -> DataFrame:
     """``slot, doc_id, part, tokens`` of the slots in [first, last), from the shards that hold them only; none if nothing was written."""
     last = (1 << 62) if last is None else last
     files = spark.read.format("binaryFile").load(path)
     if "shard" not in files.columns:  # no documents, no shards
         return spark.createDataFrame([], SEQUENCE)
+    layout = spark.read.schema(LAYOUT).json(f"{path}/_layout").first()
+    stride, shard_slots = layout["stride"], layout["shard_slots"]
     files = files.where((F.col("shard") >= first // shard_slots) & (F.col("shard") * shard_slots < last))
     return files.select(F.col("shard").cast("bigint").alias("shard"), "content").mapInPandas(_read(stride, shard_slots, first, last), SEQUENCE)

@@ -63,6 +63,23 @@ def shingle_set(text):
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
 
 
+def brute_class_of(rows):
+    """``(doc_id, shingles, representative's place)`` of every row in order."""
+    sets = [(r[0], shingle_set(r[1])) for r in rows]
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i][1], sets[j][1]
+        if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            parent[find(j)] = find(i)
+    return [(d, len(s), find(i)) for i, (d, s) in enumerate(sets)]
+
+
 def brute_classes(rows):
     sets = [(r[0], shingle_set(r[1])) for r in rows]
     parent = list(range(len(sets)))
@@ -444,20 +461,20 @@ def test_batches_fit_and_hold_everything(docs, rows):
 def test_shards_hold_every_sequence_in_slot_order(spark, docs, rows, tmp_path):
     path = str(tmp_path / "shards")
     n = training_order.materialise(docs, path, stride=64, shard_slots=16, key=9)
-    got = training_order.read_sequences(spark, path, stride=64, shard_slots=16).orderBy("slot").collect()
+    got = training_order.read_sequences(spark, path).orderBy("slot").collect()
     assert [r.slot for r in got] == list(range(n))
     want = collections.Counter()
     for d, t, *_ in rows:
         raw = (t or "").encode()
         want.update((d, k, raw[64 * k : 64 * k + 64]) for k in range(max(1, -(-len(raw) // 64))))
     assert collections.Counter((r.doc_id, r.part, bytes(r.tokens)) for r in got) == want
-    part = training_order.read_sequences(spark, path, stride=64, shard_slots=16, first=20, last=45).orderBy("slot").collect()
+    part = training_order.read_sequences(spark, path, first=20, last=45).orderBy("slot").collect()
     assert part == got[20:45]
     docs.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "file"))
     one = spark.read.parquet(str(tmp_path / "file"))
     path = str(tmp_path / "one")
     n = training_order.materialise(one, path, stride=64, shard_slots=16, key=9)
-    at = {r.slot: (r.doc_id, r.part) for r in training_order.read_sequences(spark, path, stride=64, shard_slots=16).collect()}
+    at = {r.slot: (r.doc_id, r.part) for r in training_order.read_sequences(spark, path).collect()}
     numbered = [(r.doc_id, k) for r in one.collect() for k in range(max(1, -(-len((r.text or "").encode()) // 64)))]
     slots = training_order.feistel(np.arange(n), n, 9)
     assert [at[int(s)] for s in slots] == numbered
@@ -868,6 +885,40 @@ def test_pipeline_stages(spark, docs, rows):
     assert seen[0] > seen[1] > seen[2] and seen[3] == seen[4]
 
 
+def test_pipeline_run(spark, docs, rows, tmp_path):
+    """The whole pipeline over a table: what each stage promises, recomputed from the documents by plain loops."""
+    import corpus_pipeline
+
+    docs.drop(*[c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    passed = [r for r in rows if (lambda c: c[0] >= 50 and 2 * c[4] <= c[0])(brute_counts(r[1]))]  # too few for outliers
+    place = {id(r): k for k, r in enumerate(passed)}
+    one: dict = {}
+    for r, (_, _, root) in zip(passed, brute_class_of(passed), strict=True):
+        best = one.get(root)
+        if best is None or (r[0] is None, r[0] if r[0] is not None else 0, place[id(r)]) < (best[0] is None, best[0] if best[0] is not None else 0, place[id(best)]):
+            one[root] = r
+    kept = list(one.values())
+    by_source = collections.Counter()
+    for r in kept:
+        by_source[r[3]] += len(words(r[1]))
+    assert {r.doc_id for r in got} <= {r[0] for r in kept}
+    most = {}
+    for r in kept:
+        most[r[0]] = most.get(r[0], 0) + 2 * len(words(r[1]))
+    taken = collections.Counter()
+    for r in got:
+        taken[r.doc_id] += r.length - 1  # an end for each sequence
+    assert all(0 < n <= most[d] for d, n in taken.items())
+    # 150 % of the words, shared among the sources, in blocks of 128 words
+    assert abs(sum(taken.values()) - 1.5 * sum(by_source.values())) <= 2 * 128 * len(by_source)
+    batches = collections.defaultdict(list)
+    for r in got:
+        batches[r.bucket, r.batch].append(r)
+    assert all(len(b) <= max(1, packing.BUDGET // b[0].boundary) and sorted(r.place for r in b) == list(range(len(b))) for b in batches.values())
+    assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "mixing sources to target weights", "packing"]
+
+
 def test_empty_training_order(empty, tmp_path):
     path = str(tmp_path / "none")
     assert training_order.materialise(empty, path) == 0
@@ -876,6 +927,17 @@ def test_empty_training_order(empty, tmp_path):
     assert back.columns == ["slot", "doc_id", "part", "tokens"] and back.count() == 0
 
 
+def test_shards_grow_with_the_sequences(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "LEAST_SLOTS", 2)
+    for limit in (1 << 20, 3 * (16 + 8 + 1)):
+        monkeypatch.setattr(training_order, "SHARD_BYTES", limit)
+        path = str(tmp_path / f"s{limit}")
+        n = training_order.materialise(docs, path, stride=8)
+        layout = spark.read.schema(training_order.LAYOUT).json(f"{path}/_layout").first()
+        assert (layout.sequences, layout.stride) == (n, 8) and layout.shard_slots == max(2, min(1 << (limit // 25).bit_length() - 1, 1 << (n // 1000).bit_length()))
+        assert training_order.read_sequences(spark, path, first=3, last=50).count() == 47
+
+
 def test_few_tasks_write_many_shards(spark, docs, tmp_path, monkeypatch):
     """A task holds a range of slots: consecutive shards, each one file, whatever the number of tasks."""
     spark.conf.set("spark.sql.shuffle.partitions", "3")
@@ -888,4 +950,4 @@ def test_few_tasks_write_many_shards(spark, docs, tmp_path, monkeypatch):
     for f in (tmp_path / "s").glob("shard=*/part-*"):
         tasks[f.name.split("-")[1]].add(int(f.parent.name[6:]))
     assert len(tasks) <= 3 and all(max(x) - min(x) + 1 == len(x) for x in tasks.values())
-    assert [r.slot for r in training_order.read_sequences(spark, str(tmp_path / "s"), stride=64, shard_slots=16).orderBy("slot").collect()] == list(range(n))
+    assert [r.slot for r in training_order.read_sequences(spark, str(tmp_path / "s")).orderBy("slot").collect()] == list(range(n))
