@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitspark.functions import bits, codes, lanes
-from bitspark.operators import counts, kernels, layer, model, search, sequence, transpose
+from bitspark.operators import counts, kernels, layer, model, positional, sequence, transpose
 from bitspark.plans import perf, stack, train
 from bitspark.sources.shared import stored
 
@@ -272,6 +272,135 @@ def perf_points(spark, d):
     return perf.perf_points(perf.run_tests(spark, 13, (1, 4), (3, 4)))
 
 
+# ---------------------------------------------------------------- streams, places, slices
+
+
+def stream_contexts(spark, d):
+    """Distinct trigrams of all documents as one stream, in order of their id: windows cross documents."""
+    stream = sequence.table_stream(_table(spark, d, "documents"), ["doc_id"])
+    return sequence.unpack(sequence.stream_windows(stream, 3), 3)
+
+
+def wide_windows(spark, d):
+    """Windows of ten bytes, by their first."""
+    w = _contexts(spark, d, 10)
+    return w.groupBy(sequence.byte_of("code", 0, 10).alias("first")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum(F.col("n") * sequence.byte_of("code", 9, 10)).alias("last"))
+
+
+def file_contexts(spark, d):
+    """The texts written as raw files and read in splits as streams: trigrams without a line feed, which are those of the texts' lines."""
+    from bitspark.sources.shared import fresh
+
+    path = fresh(spark, "raw")
+    _table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("lineSep", "\n").text(path)
+    found = sequence.unpack(sequence.file_windows(spark, path, 3), 3)
+    return found.where("b0 <> 10 and b1 <> 10 and b2 <> 10")
+
+
+def positional_zip(spark, d):
+    """The k-th dearest order beside the k-th line item."""
+    orders, lines = _table(spark, d, "orders").select("o_orderkey", "o_totalprice"), _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    both = positional.zipped(orders, [F.col("o_totalprice").desc(), "o_orderkey"], lines, ["l_orderkey", "l_linenumber"])
+    return both.select("number", "left.o_orderkey", "right.l_orderkey", "right.l_linenumber")
+
+
+def chunked_rows(spark, d):
+    """Whole chunks of 64 events in order of their id, with what each sums up to."""
+    runs = positional.chunks(_table(spark, d, "events").select("event_id", "user_id"), ["event_id"], 64, rest=False)
+    return runs.groupBy("chunk").agg(F.count("*").alias("n"), F.min("row.event_id").alias("first"), F.max("row.event_id").alias("last"), F.sum("row.user_id").alias("users"), F.sum(F.col("row.user_id") * F.col("place")).alias("placed"))
+
+
+def _labelled_rows(spark, d):
+    """Whole lanes of rows that don't collapse: signed embedding bits, and one-hot labels at the front of a word."""
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (63 - F.col("label")).cast("int"))
+    rows = counts.whole_lanes(_sign_words(spark, d), 64, "vec_id").select(F.array("word").alias("x"), F.array(one).alias("y"))
+    outputs = list(range(10))
+    return rows, model.Model.from_tables(model.test_filters(spark, outputs, 64), spark.createDataFrame([(o, 1) for o in outputs], "o int, threshold int"), 64, 10)
+
+
+def unit_counts_lanes(spark, d):
+    """Unit counts of signed embedding bits against one-hot labels, on slices."""
+    rows, m = _labelled_rows(spark, d)
+    return kernels.count_rows(kernels.unit_table(rows, kernels.lane_reader(), m, 2, 4), (64, 2, 2), ["i", "s", "t"])
+
+
+def exp_counts_lanes(spark, d):
+    """Exp counts of the best candidates of the same, on slices, with sums of three bits that wrap around."""
+    rows, m = _labelled_rows(spark, d)
+    cand_i, cand_s = kernels.search_candidates(kernels.unit_table(rows, kernels.lane_reader(), m, 2, 4), m, 2, E)
+    return kernels.count_rows(kernels.exp_table(rows, kernels.lane_reader(), m, cand_i, cand_s, 3, 3), (1 << E, 3), ["mask", "t"])
+
+
+def train_benchmark(spark, d):
+    """A layer's filters after four iterations on the benchmark texts: every weight, with its output's threshold and accuracy."""
+    rows = stored(train.by_context(sequence.distinct_windows(_table(spark, d, "benchmark"), 3), 3), "windows")
+    m, history = train.fit_layer(rows, kernels.window_reader([]), iterations=4)
+    weights, thresholds = m.to_tables(spark)
+    right = spark.createDataFrame([(o, int(n)) for o, n in enumerate(history[-1])], "o int, accuracy bigint")
+    return thresholds.join(right, "o").join(weights, "o", "left").select("o", "threshold", "accuracy", F.coalesce("i", F.lit(-1)).alias("i"), F.coalesce("s", F.lit(-1)).alias("s"))
+
+
+# ---------------------------------------------------------------- codes, filters and records of given rows
+
+
+def coded_keys(spark, d):
+    """The codewords of all kinds of every customer's key modulo 256, and the distances to the codes of its nation."""
+    byte, nation = (F.col("c_custkey") % 256).cast("int"), F.col("c_nationkey")
+    out = _table(spark, d, "customer").select("c_custkey", byte.alias("byte"), nation.alias("nation"))
+    for kind in codes.KINDS:
+        a, b = codes.encode_byte(F.col("byte"), kind), codes.encode_byte(F.col("nation"), kind)
+        out = out.withColumn(f"{kind}_ones", F.aggregate(F.transform(a, bits.count_ones), F.lit(0), lambda x, y: x + y)).withColumn(f"{kind}_distance", bits.hamming(a, b)).withColumn(f"{kind}_bit", codes.code_bit(F.col("byte"), F.col("nation"), kind))
+    return out.drop("byte", "nation")
+
+
+def decoded_keys(spark, d):
+    """The nearest codeword of every supplier's key modulo 256 with some bits of its first word turned, as many as its nation's key."""
+    s = _table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 256).cast("int").alias("byte"), F.col("s_nationkey").alias("k"))
+    noise = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("k") + 37).cast("int")) - 1
+    code = F.transform(codes.encode_byte("byte"), lambda w, p: F.when(p == 0, w.bitwiseXOR(noise)).otherwise(w))
+    return codes.decode(s.withColumn("code", code)).select("s_suppkey", "decoded", "distance")
+
+
+def _sold(spark, d):
+    """Filters made of line items: output by supplier, input by part; a feature is negated if most of its lines have odd numbers."""
+    li = _table(spark, d, "lineitem").select((F.col("l_suppkey") % 16).cast("int").alias("o"), (F.col("l_partkey") * 7 % 128).cast("int").alias("i"), (F.col("l_linenumber") % 2).alias("odd"), "l_quantity")
+    weights = li.groupBy("o", "i").agg((2 * F.sum("odd") > F.count("*")).cast("int").alias("s"), F.sum("l_quantity").alias("q")).where("q % 3 = 0")
+    thresholds = li.groupBy("o").agg((F.max("i") % 5).cast("int").alias("threshold"))
+    return weights.select("o", "i", "s"), thresholds
+
+
+def sold_filters(spark, d):
+    """Sparse and dense forms of such filters."""
+    weights, thresholds = _sold(spark, d)
+    sparse = model.sparse_weights(weights, thresholds, 3).select("o", F.concat_ws(",", F.transform("terms", lambda t: F.concat_ws(":", t["i"], t["s"]))).alias("terms"), F.concat_ws(",", "thresholds").alias("thresholds"))
+    show = lambda c: F.concat_ws("", F.transform(c, bits.display)).alias(c)
+    return sparse.join(model.dense_weights(weights, 128).select("o", show("sign"), show("mask")), "o", "left")
+
+
+def sold_sparsity(spark, d):
+    weights, _ = _sold(spark, d)
+    return layer.sparsity(weights, 128, 16)
+
+
+def sold_records(spark, d):
+    """Performance records made of orders, written as JSON, read back, and the points of their plot."""
+    from bitspark.sources.bits import PERF, read_perf, write_perf
+    from bitspark.sources.shared import fresh
+
+    o = _table(spark, d, "orders").select((F.col("o_orderkey") % 9).alias("lane"), (F.col("o_custkey") % 7).alias("bits"), "o_orderkey", "o_custkey")
+    tests = o.groupBy("lane", "bits").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("u"), F.sum("o_custkey").alias("e"))
+    name = F.concat(F.lit("bitslice-BitArray64x"), "lane", F.lit("_u"), "bits")
+    big = lambda c: (F.lit(str(2**64)).cast("decimal(20,0)") - F.col(c)).cast("decimal(20,0)")
+    test = F.struct(name.alias("algorithm"), F.lit(4096).cast("bigint").alias("chunk_size"), F.col("n").alias("n_examples"), F.col("u").alias("unit_nanos"), F.col("e").alias("exp_nanos"), F.col("n").alias("apply_nanos"), (F.col("u") + F.col("e")).alias("total_nanos"), big("u").alias("unit_hash"), big("e").alias("exp_hash"))
+    records = tests.groupBy("lane").agg(F.collect_list(test).alias("tests")).select(F.concat(F.lit("m"), "lane").alias("machine_type"), F.lit("x").alias("cpu_arch"), F.lit(8).alias("n_cores"), F.lit(8).alias("n_physical"), F.lit(0.5).alias("price"), F.lit(0.25).alias("spot_price"), "tests")
+    path = fresh(spark, "records")
+    write_perf(records.select(*PERF.fieldNames()), path)
+    back = read_perf(spark, path)
+    points = perf.perf_points(back).select("precision", "x", "y")
+    hashes = back.select(F.explode("tests").alias("t")).select(F.regexp_extract("t.algorithm", r"_u(\d+)$", 1).cast("int").alias("precision"), F.regexp_extract("t.algorithm", r"x(\d+)_", 1).cast("int").alias("x"), F.col("t.unit_hash").cast("string").alias("unit_hash"), F.col("t.exp_hash").cast("string").alias("exp_hash"))
+    return points.join(hashes, ["precision", "x"])
+
+
 # ---------------------------------------------------------------- SQL
 
 _BYTES = """
@@ -344,6 +473,36 @@ SELECT o, mask, t, {p or 0} AS p, CAST(sum(CASE WHEN CAST({v} > {_wrap('1 + t',
 FROM cells2, (SELECT range AS mask FROM range({1 << E})) m, (VALUES (0), (1), (2)) AS b(t) GROUP BY o, mask, t"""
 
 
+def _train_sql(iterations: int, p: int = 4) -> str:
+    """CTEs of ``iterations`` of training on ``ctx``, from empty filters: ``w{k}(o, i, s)``, ``h{k}(o, threshold, accuracy)``."""
+    out = "w0 AS (SELECT 0 AS o, 0 AS i, 0 AS s WHERE false), h0 AS (SELECT range::INTEGER AS o, 0 AS threshold, 0::BIGINT AS accuracy FROM range(256))"
+    for k in range(iterations):
+        feature = _FEATURE
+        out += f""",
+base{k} AS MATERIALIZED (
+  SELECT h.o, c.b0, c.b1, c.b2, c.n, coalesce(sum(CASE WHEN f.i IS NOT NULL THEN xor({feature}, f.s) END), 0)::BIGINT AS c, any_value({_code('c.b2', 'h.o')}) AS y
+  FROM ctx c CROSS JOIN h{k} h LEFT JOIN w{k} f ON f.o = h.o GROUP BY h.o, c.b0, c.b1, c.b2, c.n),
+half{k} AS (SELECT 0 AS h, o, c, y, b0 AS b, sum(n) AS n FROM base{k} GROUP BY ALL UNION ALL SELECT 1, o, c, y, b1, sum(n) FROM base{k} GROUP BY ALL),
+cells{k} AS MATERIALIZED (SELECT o, h * 256 + j AS i, c, y, {_code('b', 'j')} AS x, sum(n) AS n FROM half{k}, (SELECT range AS j FROM range(256)) GROUP BY ALL),
+unit{k} AS (
+  SELECT z.o, z.i, s, t, CAST(sum(CASE WHEN CAST({_wrap('c + xor(x, s)', p)} > {_wrap('threshold + t', p)} AS INTEGER) = y THEN n ELSE 0 END) AS BIGINT) AS count
+  FROM cells{k} z JOIN h{k} h ON h.o = z.o, (VALUES (0), (1)) AS a(s), (VALUES (0), (1)) AS b(t) GROUP BY z.o, z.i, s, t),
+best{k} AS (SELECT o, i, max(struct_pack(count := count, s := s)) AS x FROM unit{k} u WHERE NOT EXISTS (SELECT 1 FROM w{k} w WHERE w.o = u.o AND w.i = u.i) GROUP BY o, i),
+cand{k} AS MATERIALIZED (
+  SELECT o, CAST(slot AS INTEGER) AS slot, i, s FROM (SELECT o, i, x.s AS s, row_number() OVER (PARTITION BY o ORDER BY x.count DESC, i) - 1 AS slot FROM best{k}) WHERE slot < {E}),
+pat{k} AS (SELECT c.o, c.b0, c.b1, c.b2, sum(xor({feature}, f.s) << f.slot)::BIGINT AS pattern FROM base{k} c JOIN cand{k} f ON f.o = c.o GROUP BY ALL),
+tab{k} AS MATERIALIZED (SELECT b.o, b.c, p.pattern, b.y, sum(b.n) AS n FROM base{k} b JOIN pat{k} p USING (o, b0, b1, b2) GROUP BY ALL),
+exp{k} AS (
+  SELECT z.o, mask, t, CAST(sum(CASE WHEN CAST({_wrap('c + bit_count(pattern & mask)', p)} > {_wrap('threshold + t', p)} AS INTEGER) = y THEN n ELSE 0 END) AS BIGINT) AS count
+  FROM tab{k} z JOIN h{k} h ON h.o = z.o, (SELECT range AS mask FROM range({1 << E})) m, (VALUES (0), (1), (2)) AS b(t) GROUP BY z.o, mask, t),
+m{k} AS (SELECT o, mask, max(struct_pack(count := count, low := -t)) AS z FROM exp{k} GROUP BY o, mask),
+ns{k} AS (SELECT h.o, count(w.i) AS n_set FROM h{k} h LEFT JOIN w{k} w ON w.o = h.o GROUP BY h.o),
+win{k} AS MATERIALIZED (SELECT o, max(struct_pack(count := z.count, few := -bit_count(mask), mask := mask, low := z.low)) AS z FROM m{k} JOIN ns{k} USING (o) WHERE bit_count(mask) + n_set < 16 GROUP BY o),
+w{k + 1} AS MATERIALIZED (SELECT o, i, s FROM w{k} UNION ALL SELECT c.o, c.i, c.s FROM cand{k} c JOIN win{k} USING (o) WHERE (win{k}.z.mask >> c.slot) & 1 = 1),
+h{k + 1} AS MATERIALIZED (SELECT h.o, CAST(h.threshold - v.z.low AS INTEGER) AS threshold, v.z.count AS accuracy FROM h{k} h JOIN win{k} v ON v.o = h.o)"""
+    return out
+
+
 def _codebook_sql(kind: str) -> str:
     n, offset = codes.KINDS[kind]
     return f"""
@@ -359,6 +518,13 @@ def _sql() -> dict[str, str]:
     cat = "list_concat(a.bits, b.bits)"
     lane = "CASE WHEN label % 2 = 0 THEN 1 ELSE 0 END"
     s = lambda e: f"CAST(list_sum(list_transform(bits, lambda x: {e})) AS INTEGER)"
+    labelled = f"""every AS (SELECT * FROM embeddings), whole AS (SELECT * FROM every WHERE vec_id < (SELECT count(*) // 64 * 64 FROM every)),
+          {_SIGNS.replace('FROM embeddings', 'FROM whole')}, {_filters('SELECT range::INTEGER FROM range(10)', 64)},
+          base AS MATERIALIZED (SELECT vec_id, o, sum(xor(bits[i + 1], s))::BIGINT AS c, any_value(CASE WHEN label = o THEN 1 ELSE 0 END) AS y FROM signs, weights GROUP BY vec_id, o),
+          cells AS (SELECT o, i, c, y, bits[i + 1] AS x, count(*) AS n FROM base JOIN signs USING (vec_id), (SELECT range AS i FROM range(64)) GROUP BY ALL)"""
+    sold = """li AS (SELECT CAST(l_suppkey % 16 AS INTEGER) AS o, CAST(l_partkey * 7 % 128 AS INTEGER) AS i, l_linenumber % 2 AS odd, l_quantity FROM lineitem),
+          weights AS (SELECT o, i, CASE WHEN 2 * sum(odd) > count(*) THEN 1 ELSE 0 END AS s FROM li GROUP BY o, i HAVING sum(l_quantity) % 3 = 0),
+          thresholds AS (SELECT o, CAST(max(i) % 5 AS INTEGER) AS threshold FROM li GROUP BY o)"""
     return {
         "word_bits": f"""SELECT o_orderkey, CAST(bit_count(o_orderkey) AS INTEGER) AS ones, {bit.format(s=3)} = 1 AS bit60,
           CASE WHEN 63 - {at} > 62 THEN 0 ELSE CAST((o_orderkey >> CAST(least(62, 63 - {at}) AS INTEGER)) & 1 AS INTEGER) END AS bit_at,
@@ -389,11 +555,7 @@ def _sql() -> dict[str, str]:
           SELECT vec_id, {s('xor(x, b)')} AS x, {s('x & b')} AS n, {s('x | b')} AS r, {s('1 - x')} AS inv, {s('xor(xor(x, b), 1)')} AS s, {s('(x & b) | (xor(x, b) & 1)')} AS c,
           {s('(1 - x) & b')} AS lt, {s('1 - xor(x, b)')} AS eq, {s('x & (1 - b)')} AS gt FROM v""",
         "unit_counts": f"WITH {_base()}, {_CELLS} SELECT o, CAST(i AS INTEGER) AS i, s, t, count FROM ({_unit(4)})",
-        "unit_counts_labels": f"""WITH every AS (SELECT * FROM embeddings), whole AS (SELECT * FROM every WHERE vec_id < (SELECT count(*) // 64 * 64 FROM every)),
-          {_SIGNS.replace('FROM embeddings', 'FROM whole')}, {_filters('SELECT range::INTEGER FROM range(10)', 64)},
-          base AS (SELECT vec_id, o, sum(xor(bits[i + 1], s))::BIGINT AS c, any_value(CASE WHEN label = o THEN 1 ELSE 0 END) AS y FROM signs, weights GROUP BY vec_id, o),
-          cells AS (SELECT o, i, c, y, bits[i + 1] AS x, count(*) AS n FROM base JOIN signs USING (vec_id), (SELECT range AS i FROM range(64)) GROUP BY ALL)
-          SELECT o, CAST(i AS INTEGER) AS i, s, t, count FROM ({_unit(4)})""",
+        "unit_counts_labels": f"WITH {labelled} SELECT o, CAST(i AS INTEGER) AS i, s, t, count FROM ({_unit(4)})",
         "exp_candidates": f"WITH {_CANDIDATES} SELECT o, slot, CAST(i AS INTEGER) AS i, s FROM cand",
         "exp_counts": f"WITH {_EXP} " + " UNION ALL ".join(_exp_sql(p) for p in (3, 4, None)),
         "update_filters": f"""WITH {_EXP}, x AS ({_exp_sql(4)}), ns AS (SELECT o, count(*) AS n_set FROM weights GROUP BY o),
@@ -427,6 +589,41 @@ def _sql() -> dict[str, str]:
           lpad(bin(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey | (1::BIGINT << CAST(o_orderkey % 62 AS INTEGER)) ELSE o_orderkey END), 64, '0') AS put,
           CASE WHEN o_orderkey % 3 = 0 THEN substr(b, 1, CAST({at} AS INTEGER)) || '1' || substr(b, CAST({at} AS INTEGER) + 2) ELSE substr(b, 1, CAST({at} AS INTEGER)) || '0' || substr(b, CAST({at} AS INTEGER) + 2) END AS sign,
           repeat('0', CAST({at} AS INTEGER)) || '1' || repeat('0', CAST(63 - {at} AS INTEGER)) AS mask FROM (SELECT o_orderkey, lpad(bin(o_orderkey), 64, '0') AS b FROM orders)""",
+        "stream_contexts": """WITH whole AS (SELECT regexp_extract_all(hex(encode(string_agg(text, '' ORDER BY doc_id))), '..') AS h FROM documents), b AS (SELECT unnest(h) AS h, generate_subscripts(h, 1) AS pos FROM whole),
+          w AS (SELECT CAST('0x' || h AS INTEGER) AS b0, CAST('0x' || lead(h, 1) OVER (ORDER BY pos) AS INTEGER) AS b1, CAST('0x' || lead(h, 2) OVER (ORDER BY pos) AS INTEGER) AS b2 FROM b)
+          SELECT b0, b1, b2, count(*) AS n FROM w WHERE b2 IS NOT NULL GROUP BY ALL""",
+        "file_contexts": f"WITH {_BYTES} SELECT * FROM ctx WHERE b0 <> 10 AND b1 <> 10 AND b2 <> 10",
+        "wide_windows": """WITH l AS (SELECT hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), p AS (SELECT h, unnest(generate_series(1, len(h) // 2 - 9)) AS k FROM l WHERE len(h) >= 20),
+          g AS (SELECT substr(h, 2 * k - 1, 20) AS code, count(*) AS n FROM p GROUP BY ALL)
+          SELECT CAST('0x' || substr(code, 1, 2) AS INTEGER) AS first, count(*) AS kinds, CAST(sum(n) AS BIGINT) AS n, max(n) AS most, CAST(sum(n * CAST('0x' || substr(code, 19, 2) AS INTEGER)) AS BIGINT) AS last FROM g GROUP BY 1""",
+        "positional_zip": """SELECT number, o_orderkey, l_orderkey, l_linenumber FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS number FROM orders)
+          JOIN (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS number FROM lineitem) USING (number)""",
+        "chunked_rows": """SELECT k // 64 AS chunk, count(*) AS n, min(event_id) AS first, max(event_id) AS last, CAST(sum(user_id) AS BIGINT) AS users, CAST(sum(user_id * (k % 64)) AS BIGINT) AS placed
+          FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events) WHERE k < (SELECT count(*) // 64 * 64 FROM events) GROUP BY 1""",
+        "unit_counts_lanes": f"WITH {labelled} SELECT o, CAST(i AS INTEGER) AS i, s, t, count FROM ({_unit(4)})",
+        "exp_counts_lanes": f"""WITH {labelled}, unit AS ({_unit(4)}),
+          best AS (SELECT o, i, max(struct_pack(count := count, s := s)) AS x FROM unit u WHERE NOT EXISTS (SELECT 1 FROM weights w WHERE w.o = u.o AND w.i = u.i) GROUP BY o, i),
+          cand AS MATERIALIZED (SELECT o, CAST(slot AS INTEGER) AS slot, i, s FROM (SELECT o, i, x.s AS s, row_number() OVER (PARTITION BY o ORDER BY x.count DESC, i) - 1 AS slot FROM best) WHERE slot < {E}),
+          pat AS (SELECT b.vec_id, b.o, b.c, b.y, CAST(sum(xor(g.bits[f.i + 1], f.s) << f.slot) AS BIGINT) AS pattern FROM base b JOIN signs g USING (vec_id) JOIN cand f ON f.o = b.o GROUP BY ALL),
+          cells2 AS (SELECT o, c, pattern, y, count(*) AS n FROM pat GROUP BY ALL)
+          SELECT o, CAST(mask AS INTEGER) AS mask, t, count FROM ({_exp_sql(3)})""",
+        "train_benchmark": f"""WITH {_BYTES.replace('doc_id', 'item_id').replace('FROM documents', 'FROM benchmark')}, {_train_sql(4)}
+          SELECT h.o, threshold, accuracy, CAST(coalesce(w.i, -1) AS INTEGER) AS i, CAST(coalesce(w.s, -1) AS INTEGER) AS s FROM h4 h LEFT JOIN w4 w ON w.o = h.o""",
+        "coded_keys": "SELECT c_custkey, " + ", ".join(
+            f"CAST(list_sum(list_transform(range({n}), lambda i: {_code('(c_custkey % 256)', 'i', k)})) AS INTEGER) AS {kind}_ones, "
+            f"CAST(list_sum(list_transform(range({n}), lambda i: abs({_code('(c_custkey % 256)', 'i', k)} - {_code('c_nationkey', 'i', k)}))) AS INTEGER) AS {kind}_distance, CAST({_code('(c_custkey % 256)', 'c_nationkey', k)} AS INTEGER) AS {kind}_bit"
+            for kind, (n, k) in codes.KINDS.items()) + " FROM customer",
+        "decoded_keys": f"""WITH k AS (SELECT s_suppkey, d.range::INTEGER AS decoded, CAST(list_sum(list_transform(range(256), lambda i: abs((CASE WHEN i < 64 AND 63 - i < s_nationkey + 37 THEN 1 - {_code('(s_suppkey % 256)', 'i')} ELSE {_code('(s_suppkey % 256)', 'i')} END) - {_code('d.range', 'i')}))) AS INTEGER) AS distance
+            FROM supplier, range(256) d)
+          SELECT s_suppkey, decoded, distance FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY distance, decoded) AS r FROM k) WHERE r = 1""",
+        "sold_filters": f"""WITH {sold}
+          SELECT h.o, coalesce(string_agg(w.i || ':' || w.s, ',' ORDER BY w.i), '') AS terms, any_value(threshold || ',' || (threshold + 1) || ',' || (threshold + 2)) AS thresholds,
+            CASE WHEN count(w.i) > 0 THEN list_aggregate(list_transform(range(128), lambda k: CASE WHEN list_contains(list(w.i) FILTER (w.s = 1), k) THEN '1' ELSE '0' END), 'string_agg', '') END AS sign,
+            CASE WHEN count(w.i) > 0 THEN list_aggregate(list_transform(range(128), lambda k: CASE WHEN list_contains(list(w.i), k) THEN '1' ELSE '0' END), 'string_agg', '') END AS mask
+          FROM thresholds h LEFT JOIN weights w ON w.o = h.o GROUP BY h.o""",
+        "sold_sparsity": f"WITH {sold} SELECT count(*) AS n_set, 1::DOUBLE - count(*)::DOUBLE / 2048::DOUBLE AS sparsity FROM weights",
+        "sold_records": """SELECT CAST(o_custkey % 7 AS INTEGER) AS precision, CAST(o_orderkey % 9 AS INTEGER) AS x, CAST(sum(o_orderkey) + sum(o_custkey) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS y,
+          CAST(18446744073709551616::HUGEINT - sum(o_orderkey) AS VARCHAR) AS unit_hash, CAST(18446744073709551616::HUGEINT - sum(o_custkey) AS VARCHAR) AS exp_hash FROM orders WHERE o_custkey % 7 IN (3, 4, 5) GROUP BY 1, 2""",
         "perf_round_trip": """SELECT 'm' AS machine_type, 8 AS n_cores, 0.5::DOUBLE AS price, 'bitslice-BitArray64x8_u4' AS algorithm, CAST(10 * k AS BIGINT) AS unit_nanos, CAST(33 * k AS BIGINT) AS total_nanos,
           CAST(18446744073709551616::HUGEINT - k AS VARCHAR) AS unit_hash FROM (VALUES (1), (2), (3)) AS v(k)""",
     }
@@ -442,6 +639,9 @@ def queries() -> dict[str, Query]:
         "sparse_weights": sparse_weights, "dense_weights": dense_weights, "layer_apply": layer_apply, "layer_accuracy": layer_accuracy, "layer_sparsity": layer_sparsity,
         "train_layer": train_layer, "train_stack": train_stack, "synthetic_bits": synthetic_bits, "perf_points": perf_points,
         "stacked_rows": stacked_rows, "lane_transpose_32": lane_transpose_32, "trits": trits, "perf_round_trip": perf_round_trip,
+        "stream_contexts": stream_contexts, "wide_windows": wide_windows, "file_contexts": file_contexts, "positional_zip": positional_zip, "chunked_rows": chunked_rows,
+        "unit_counts_lanes": unit_counts_lanes, "exp_counts_lanes": exp_counts_lanes, "train_benchmark": train_benchmark,
+        "coded_keys": coded_keys, "decoded_keys": decoded_keys, "sold_filters": sold_filters, "sold_sparsity": sold_sparsity, "sold_records": sold_records,
     }
 
 

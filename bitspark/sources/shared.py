@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/bitspark-{sc.applicationId}"
 
 
+_leaving: set[str] = set()
+
+
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A path below the shared folder that nothing uses yet.  What is there still when the driver ends is removed."""
+    folder = shared_dir(spark)
+    if folder not in _leaving:
+        _leaving.add(folder)
+        atexit.register(_leave, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _leave(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else Spark was stopped before the driver's end
+        drop(spark, folder)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -249,15 +249,39 @@ def test_models_and_records_round_trip(spark, tmp_path):
     assert perf.trimmed(1 << 20, 5) == (4095, (1 << 20) // 4095 * 4095)
 
 
-def test_stream_counts_equal_batch_counts(spark, tmp_path):
-    from bitspark.streaming.counters import count_windows, windows_so_far
-
-    for k, t in enumerate(("abcabc", "bcabca")):
+@pytest.mark.parametrize("width", [2, 9])
+def test_stream_counts_equal_batch_counts(spark, tmp_path, width):
+    """Micro-batches, put together now and then, count like one batch; a sum that was not finished doesn't count."""
+    from bitspark.streaming.counters import compact, count_windows, windows_so_far
+
+    texts, sink = ["abcabcabcabc", "bcabcaabcabcabc", "", "x" * 12, "abcabcabca"], str(tmp_path / "out")
+    assert windows_so_far(spark, sink, width).count() == 0
+    for k, t in enumerate(texts):
         spark.createDataFrame([(t,)], "text string").write.parquet(str(tmp_path / "in"), mode="append" if k else "overwrite")
         stream = spark.readStream.schema("text string").parquet(str(tmp_path / "in"))
-        count_windows(stream, 2, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {int(r.code).to_bytes(2, "big"): r.n for r in windows_so_far(spark, str(tmp_path / "out")).collect()}
-    assert got == windows_of(["abcabc", "bcabca"], 2)
+        count_windows(stream, width, sink, str(tmp_path / "cp")).awaitTermination()
+        if k in (2, 4):
+            compact(spark, sink, width)
+            compact(spark, sink, width)
+            assert len(list((tmp_path / "out").glob("*=*"))) == 1
+        if k == 3:
+            (tmp_path / "out" / "upto=3").mkdir()  # what a lost run may leave
+        assert as_counter(windows_so_far(spark, sink, width), width) == windows_of(texts[: k + 1], width)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from bitspark import __main__ as cli
+
+    assert cli.main([]) == 2 and cli.main(["grow", "1", "x"]) == 2 and "train EXPONENT FILE" in capsys.readouterr().out
+    (tmp_path / "t").write_bytes(b"to be or not to be " * 20)
+    one = train.train_file(spark, str(tmp_path / "t"), 1 << 7, layers=1, iterations=1)[1]
+    monkeypatch.setattr(train, "train_file", lambda s, path, n: (None, one if (path, n) == (str(tmp_path / "t"), 1 << 7) else []))
+    assert cli.main(["train", "7", str(tmp_path / "t")]) == 0
+    assert capsys.readouterr().out == f"layer 1: accuracy {100 * one[0].accuracy:.3f}%, sparsity {100 * one[0].sparsity:.3f}%\n"
+    records = perf.run_tests(spark, 12, (1,), (3, 4))
+    monkeypatch.setattr(perf, "run_tests", lambda s, n: records if n == 12 else None)
+    assert cli.main(["perf", "12", str(tmp_path / "r")]) == 0 and cli.main(["plot", "9000", str(tmp_path / "r"), str(tmp_path / "o.svg")]) == 0
+    assert spark.read.text(str(tmp_path / "o.svg"), wholetext=True).first().value.count("<circle") == 2
 
 
 def test_entry_points(spark):
@@ -277,7 +301,7 @@ def test_every_oracle_agrees_on_the_smallest_tables(spark, sf):
     for name in os.listdir(sf):
         con.sql(f"create view {name.removesuffix('.parquet')} as select * from read_parquet('{sf}/{name}')")
     sql, made = queries.oracle_sql(), queries.queries()
-    for name in ("word_bits", "encode_bytes", "bitslice_add", "unit_counts_labels", "exp_candidates", "update_filters", "layer_accuracy", "dense_weights"):
+    for name in ("word_bits", "encode_bytes", "bitslice_add", "unit_counts_labels", "exp_candidates", "update_filters", "layer_accuracy", "dense_weights", "stream_contexts", "wide_windows", "file_contexts", "positional_zip", "chunked_rows", "unit_counts_lanes", "exp_counts_lanes", "coded_keys", "decoded_keys", "sold_filters", "sold_sparsity", "sold_records"):
         df = made[name](spark, sf)
         cols = sorted(df.columns)
         rel = con.sql(sql[name])
