@@ -42,6 +42,47 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
 """
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
+#: The counts of op9 and its plain rules.
+COUNTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+three AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS p, w FROM d WHERE len(w) > 2),
+found AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS n FROM three),
+again AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM found WHERE n > 1) GROUP BY doc_id),
+c AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS lines FROM d) LEFT JOIN again USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+#: The edited texts of op8.
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, coalesce(lead(t) OVER o, first_value(t) OVER o) AS following FROM d WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 3) || substring(following, 1, length(t) // 3)) AS edited_sha256 FROM n
+"""
+
+
+def _base_sql() -> str:
+    """The base of op6, with the fold of every id by a byte-wise CRC-32."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    return rf"""
+WITH k AS (SELECT {table}::BIGINT[] AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {crc} % 7 = 2 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}'), ' ') AS w FROM documents, k),
+tokens AS (SELECT r, held_out, unnest(w) AS token FROM d),
+counts AS (SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token),
+total AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM counts),
+scored AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1)::DOUBLE / (n + v + 1)::DOUBLE)) AS s FROM tokens LEFT JOIN counts USING (token), total GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(s, 3) AS base_score FROM d JOIN scored USING (r), total
+"""
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -147,6 +188,22 @@ def op13_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def interpolation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6's base, fold and token counts are, which SQL can tell."""
+    made = op6_deleted_interpolation(spark, sf_dir)
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's edited texts, by their digest."""
+    return op8_spotsigs(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's counts and plain rules."""
+    return op9_robust_outliers(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_host_suffix_array": op1_host_suffix_array,
@@ -162,6 +219,9 @@ def queries() -> dict[str, Query]:
         "op11_filter_audit": op11_filter_audit,
         "op12_source_divergence": op12_source_divergence,
         "op13_compression_classifier": op13_compression_classifier,
+        "interpolation_base": interpolation_base,
+        "edited_texts": edited_texts,
+        "quality_counts": quality_counts,
     }
 
 
@@ -169,4 +229,7 @@ def oracle_sql() -> dict[str, str]:
     from bitspark.llm import divergence, filter_audit, licenses, mixing, packing
 
     files = "SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, text FROM documents"
-    return {"op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op3_length_buckets": packing.oracle(), "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL, "op11_filter_audit": filter_audit.ORACLE, "op12_source_divergence": divergence.ORACLE}
+    return {
+        "op7_license_scan": licenses.oracle(files), "op2_warc_transactions": WARC_SQL, "op3_length_buckets": packing.oracle(), "op4_mixing": mixing.oracle(), "op10_ngram_jaccard_join": NEAR_SQL, "op11_filter_audit": filter_audit.ORACLE, "op12_source_divergence": divergence.ORACLE,
+        "interpolation_base": _base_sql(), "edited_texts": EDITED_SQL, "quality_counts": COUNTS_SQL,
+    }

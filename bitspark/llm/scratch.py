@@ -1,39 +1,13 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share; see ``bitspark.sources.shared``."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bitspark.sources.shared import cleanup, drop, fresh, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; on a local master without one, ``/tmp/checkpoints``."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "/tmp/checkpoints"
-    return f"{folder.rstrip('/')}/bitspark-{sc.applicationId}"
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a path below the shared folder; one that is gone already is no error."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Remove every table that this application has left; results computed from them must have been read."""
-    drop(spark, shared_dir(spark))
+__all__ = ["Stored", "cleanup", "drop", "fresh", "shared_dir", "small", "store"]
 
 
 class Stored:
