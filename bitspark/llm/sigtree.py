@@ -523,4 +523,21 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     classes = near_duplicates(rows.select(F.col("r").alias("doc_id"), F.col(f"d.`{text}`").alias("text")), **options)
     named = rows.select("r", F.col(f"d.`{doc_id}`").cast("bigint").alias("i"), F.xxhash64("d").alias("h")).join(classes.select(F.col("doc_id").alias("r"), "component_id"), "r")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("z"), "i", "h", "r")).alias("m")).select("m.r")
-    return rows.join(Stored(first, "kept").df, "r", "left_semi").select("d.*")
+    return _marked(rows, first).select("d.*")
+
+
+#: Rows that one bitmap tells of; Spark's bitmaps have 4 KB.
+BITMAP_ROWS = 1 << 15
+
+
+def _marked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The ``rows`` whose number ``r``, a partition and a place in it, is in ``chosen(r)``.
+
+    A bit for each row, so that the rows stay where they are: up to 64 MB of bitmaps, for half a billion rows, are sent to
+    all tasks; beyond, rows and bitmaps meet by their number.
+    """
+    low = F.col("r").bitwiseAND(F.lit((1 << 33) - 1))
+    run, place = F.concat_ws("/", F.shiftright("r", 33), F.floor(low / BITMAP_ROWS)), (low % BITMAP_ROWS).cast("int")
+    bitmaps = Stored(chosen.groupBy(run.alias("run")).agg(F.bitmap_construct_agg(place).alias("bits")), "kept").df
+    byte = F.conv(F.hex(F.col("bits").substr((place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("run", run).join(small(bitmaps, 1 << 14), "run").where(F.bit_get(byte, place % 8) == 1)

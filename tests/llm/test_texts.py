@@ -212,6 +212,13 @@ def test_one_row_of_each_class_stays(docs, rows):
     assert got == want
 
 
+def test_rows_are_marked_by_bits(spark, monkeypatch):
+    monkeypatch.setattr(sigtree, "BITMAP_ROWS", 1 << 15)
+    rows = spark.range(0, 70_000, 1, 2).select(F.monotonically_increasing_id().alias("r"), F.col("id").alias("d"))
+    for some in ("d % 3 = 0", "d < 9", "d in (0, 7, 8, 32767, 32768, 34999, 35000, 69999)", "d < 0", "true"):
+        assert {x.d for x in sigtree._marked(rows, rows.where(some).select("r")).collect()} == {x.d for x in rows.where(some).collect()}
+
+
 def brute_counts(text):
     text = text or ""
     w = words(text)
