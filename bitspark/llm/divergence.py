@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from bitspark.llm.scratch import Stored, small
 
 U = np.uint64
-CHUNK_BYTES = 1 << 22
-TABLE_ROWS = 1 << 20  # counts that a task gathers before it sends them on
+CHUNK_BYTES = 1 << 21
+TABLE_ROWS = 1 << 19  # counts that a task gathers before it sends them on
 BLOCK_ENTRIES = 1 << 15
 LONG = 32  # bytes; xxHash64 treats longer input in another way
 COUNTS = "lang string, source string, term string, n bigint, docs bigint"
