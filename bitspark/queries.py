@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitspark.functions import bits, codes, lanes
-from bitspark.operators import counts, kernels, layer, model, positional, sequence, transpose
+from bitspark.operators import counts, kernels, layer, model, positional, search, sequence, transpose
 from bitspark.plans import perf, stack, train
 from bitspark.sources.shared import stored
 
@@ -340,6 +340,43 @@ def train_benchmark(spark, d):
     return thresholds.join(right, "o").join(weights, "o", "left").select("o", "threshold", "accuracy", F.coalesce("i", F.lit(-1)).alias("i"), F.coalesce("s", F.lit(-1)).alias("s"))
 
 
+def search_tables(spark, d):
+    """One iteration on the benchmark texts by joins and aggregates alone: contexts, counts, candidates, winners and new filters are tables."""
+    ctx, weights, outputs = sequence.unpack(stored(sequence.distinct_windows(_table(spark, d, "benchmark"), 3), "contexts"), 3), model.test_filters(spark), list(range(256))
+    thresholds = spark.range(256).select(F.col("id").cast("int").alias("o"), F.lit(1).alias("threshold"))
+    unit = stored(counts.unit_counts(counts.base_sums(ctx, weights, outputs, 4), weights, thresholds, 2, 4), "unit")
+    cand = stored(search.exp_candidates(unit, weights, E), "candidates")
+    search.require_candidates(cand, E)
+    chosen = stored(search.choose(counts.exp_counts(counts.patterns(ctx, weights, cand, outputs, 4), thresholds, E, 3, 4), weights, thresholds), "chosen")
+    new, _ = search.update_filters(chosen, cand, weights)
+    terms = new.groupBy("o").agg(F.count("*").alias("n_set"), F.sum(F.col("i") * 2 + F.col("s")).cast("bigint").alias("terms"))
+    return chosen.join(terms, "o").select("o", "accuracy", "threshold", "n_set", "terms")
+
+
+def apply_tables(spark, d):
+    """The fixed filters applied to every pair of bytes of the benchmark texts by column functions: rows and right ones of each byte that follows."""
+    rows = stack.paired(stack.byte_rows(_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")))
+    thresholds = spark.range(256).select(F.col("id").cast("int").alias("o"), F.lit(1).alias("threshold"))
+    made = codes.decode(layer.apply_layer(rows.select("x", "byte"), model.dense_weights(model.test_filters(spark)), thresholds), "out")
+    return made.groupBy("byte").agg(F.count("*").alias("n"), F.sum((F.col("decoded") == F.col("byte")).cast("bigint")).alias("correct"), F.sum("distance").alias("distance"))
+
+
+def compare_planes(spark, d):
+    """Two-bit numbers compared plane by plane: a vector's bits with the next one's, and below them whether their labels are even."""
+    v = _sign_words(spark, d)
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("word").alias("w2"), F.col("label").alias("l2"))
+    below = lanes.half_comparator(lanes.splat(F.col("label") % 2 == 0), lanes.splat(F.col("l2") % 2 == 0))
+    both = v.join(nxt, "vec_id").withColumn("c", lanes.full_comparator(F.array("word"), F.array("w2"), below))
+    return both.select("vec_id", *[lanes.lane_count(F.col(f"c.{k}")).alias(k) for k in ("lt", "eq", "gt")])
+
+
+def set_rows(spark, d):
+    """Rows of zeros with one bit of every customer's key set, shown and read."""
+    row = bits.row_set(F.array_repeat(F.lit(bits.ZERO).cast("bigint"), 4), F.col("at"), F.lit(True))
+    made = _table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 256).alias("at")).withColumn("row", row)
+    return made.select("c_custkey", F.concat_ws("", F.transform("row", bits.display)).alias("shown"), bits.row_get("row", "at").alias("there"), bits.row_get("row", (F.col("at") + 1) % 256).alias("beside"), bits.hamming("row", F.array_repeat(F.lit(bits.ZERO).cast("bigint"), 4)).alias("ones"))
+
+
 # ---------------------------------------------------------------- codes, filters and records of given rows
 
 
@@ -525,6 +562,12 @@ def _sql() -> dict[str, str]:
     sold = """li AS (SELECT CAST(l_suppkey % 16 AS INTEGER) AS o, CAST(l_partkey * 7 % 128 AS INTEGER) AS i, l_linenumber % 2 AS odd, l_quantity FROM lineitem),
           weights AS (SELECT o, i, CASE WHEN 2 * sum(odd) > count(*) THEN 1 ELSE 0 END AS s FROM li GROUP BY o, i HAVING sum(l_quantity) % 3 = 0),
           thresholds AS (SELECT o, CAST(max(i) % 5 AS INTEGER) AS threshold FROM li GROUP BY o)"""
+    update = f"""WITH {_EXP}, x AS ({_exp_sql(4)}), ns AS (SELECT o, count(*) AS n_set FROM weights GROUP BY o),
+          m AS (SELECT o, mask, max(struct_pack(count := count, low := -(1 + t))) AS z FROM x GROUP BY o, mask),
+          win AS (SELECT o, max(struct_pack(count := z.count, few := -bit_count(mask), mask := mask, low := z.low)) AS z FROM m JOIN ns USING (o) WHERE bit_count(mask) + n_set < 16 GROUP BY o),
+          new AS (SELECT o, i, s FROM weights UNION ALL SELECT c.o, c.i, c.s FROM cand c JOIN win USING (o) WHERE (win.z.mask >> c.slot) & 1 = 1)
+          SELECT o, win.z.count AS accuracy, CAST(-win.z.low AS INTEGER) AS threshold, n_set, terms
+          FROM win JOIN (SELECT o, count(*) AS n_set, CAST(sum(i * 2 + s) AS BIGINT) AS terms FROM new GROUP BY o) USING (o)"""
     return {
         "word_bits": f"""SELECT o_orderkey, CAST(bit_count(o_orderkey) AS INTEGER) AS ones, {bit.format(s=3)} = 1 AS bit60,
           CASE WHEN 63 - {at} > 62 THEN 0 ELSE CAST((o_orderkey >> CAST(least(62, 63 - {at}) AS INTEGER)) & 1 AS INTEGER) END AS bit_at,
@@ -558,12 +601,7 @@ def _sql() -> dict[str, str]:
         "unit_counts_labels": f"WITH {labelled} SELECT o, CAST(i AS INTEGER) AS i, s, t, count FROM ({_unit(4)})",
         "exp_candidates": f"WITH {_CANDIDATES} SELECT o, slot, CAST(i AS INTEGER) AS i, s FROM cand",
         "exp_counts": f"WITH {_EXP} " + " UNION ALL ".join(_exp_sql(p) for p in (3, 4, None)),
-        "update_filters": f"""WITH {_EXP}, x AS ({_exp_sql(4)}), ns AS (SELECT o, count(*) AS n_set FROM weights GROUP BY o),
-          m AS (SELECT o, mask, max(struct_pack(count := count, low := -(1 + t))) AS z FROM x GROUP BY o, mask),
-          win AS (SELECT o, max(struct_pack(count := z.count, few := -bit_count(mask), mask := mask, low := z.low)) AS z FROM m JOIN ns USING (o) WHERE bit_count(mask) + n_set < 16 GROUP BY o),
-          new AS (SELECT o, i, s FROM weights UNION ALL SELECT c.o, c.i, c.s FROM cand c JOIN win USING (o) WHERE (win.z.mask >> c.slot) & 1 = 1)
-          SELECT o, win.z.count AS accuracy, CAST(-win.z.low AS INTEGER) AS threshold, n_set, terms
-          FROM win JOIN (SELECT o, count(*) AS n_set, CAST(sum(i * 2 + s) AS BIGINT) AS terms FROM new GROUP BY o) USING (o)""",
+        "update_filters": update,
         "sparse_weights": f"WITH {_filters(_ALL)} SELECT o, string_agg(i || ':' || s, ',' ORDER BY i) AS terms, '1,2' AS thresholds FROM weights GROUP BY o",
         "dense_weights": f"""WITH {_filters(_ALL)} SELECT q.range::INTEGER AS o, string_agg(CASE WHEN w.s = 1 THEN '1' ELSE '0' END, '' ORDER BY p.range) AS sign, string_agg(CASE WHEN w.i IS NULL THEN '0' ELSE '1' END, '' ORDER BY p.range) AS mask
           FROM range(256) q CROSS JOIN range(512) p LEFT JOIN weights w ON w.o = q.range AND w.i = p.range GROUP BY q.range""",
@@ -609,6 +647,16 @@ def _sql() -> dict[str, str]:
           SELECT o, CAST(mask AS INTEGER) AS mask, t, count FROM ({_exp_sql(3)})""",
         "train_benchmark": f"""WITH {_BYTES.replace('doc_id', 'item_id').replace('FROM documents', 'FROM benchmark')}, {_train_sql(4)}
           SELECT h.o, threshold, accuracy, CAST(coalesce(w.i, -1) AS INTEGER) AS i, CAST(coalesce(w.s, -1) AS INTEGER) AS s FROM h4 h LEFT JOIN w4 w ON w.o = h.o""",
+        "search_tables": update.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark"),
+        "apply_tables": f"""WITH {_base(_ALL).replace('doc_id', 'item_id').replace('FROM documents', 'FROM benchmark')},
+          codes AS (SELECT a.range::INTEGER AS byte, list({_code('a.range', 'b.range')} ORDER BY b.range) AS bits FROM range(256) a, range(256) b GROUP BY 1),
+          kinds AS (SELECT b0, b1, list(CASE WHEN c > 1 THEN 1 ELSE 0 END ORDER BY o) AS bits FROM (SELECT o, b0, b1, any_value(c) AS c FROM base GROUP BY o, b0, b1) GROUP BY b0, b1),
+          near AS (SELECT k.b0, k.b1, z.byte, (256 - list_inner_product(list_transform(k.bits, lambda x: (2 * x - 1)::DOUBLE), list_transform(z.bits, lambda x: (2 * x - 1)::DOUBLE))) / 2 AS distance FROM kinds k, codes z),
+          decoded AS (SELECT b0, b1, byte AS decoded, distance FROM (SELECT *, row_number() OVER (PARTITION BY b0, b1 ORDER BY distance, byte) AS r FROM near) WHERE r = 1)
+          SELECT b2 AS byte, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN decoded = b2 THEN n ELSE 0 END) AS BIGINT) AS correct, CAST(sum(n * distance) AS BIGINT) AS distance FROM ctx JOIN decoded USING (b0, b1) GROUP BY b2""",
+        "compare_planes": f"""WITH {_SIGNS}, z AS (SELECT a.vec_id, list_transform(list_zip(a.bits, b.bits), lambda x: 2 * (x[1] - x[2]) + (CASE WHEN a.label % 2 = 0 THEN 1 ELSE 0 END) - (CASE WHEN b.label % 2 = 0 THEN 1 ELSE 0 END)) AS d FROM signs a JOIN signs b ON b.vec_id = a.vec_id + 1)
+          SELECT vec_id, CAST(len(list_filter(d, lambda x: x < 0)) AS INTEGER) AS lt, CAST(len(list_filter(d, lambda x: x = 0)) AS INTEGER) AS eq, CAST(len(list_filter(d, lambda x: x > 0)) AS INTEGER) AS gt FROM z""",
+        "set_rows": """SELECT c_custkey, repeat('0', CAST(c_custkey % 256 AS INTEGER)) || '1' || repeat('0', CAST(255 - c_custkey % 256 AS INTEGER)) AS shown, true AS there, false AS beside, 1 AS ones FROM customer""",
         "coded_keys": "SELECT c_custkey, " + ", ".join(
             f"CAST(list_sum(list_transform(range({n}), lambda i: {_code('(c_custkey % 256)', 'i', k)})) AS INTEGER) AS {kind}_ones, "
             f"CAST(list_sum(list_transform(range({n}), lambda i: abs({_code('(c_custkey % 256)', 'i', k)} - {_code('c_nationkey', 'i', k)}))) AS INTEGER) AS {kind}_distance, CAST({_code('(c_custkey % 256)', 'c_nationkey', k)} AS INTEGER) AS {kind}_bit"
@@ -640,7 +688,8 @@ def queries() -> dict[str, Query]:
         "train_layer": train_layer, "train_stack": train_stack, "synthetic_bits": synthetic_bits, "perf_points": perf_points,
         "stacked_rows": stacked_rows, "lane_transpose_32": lane_transpose_32, "trits": trits, "perf_round_trip": perf_round_trip,
         "stream_contexts": stream_contexts, "wide_windows": wide_windows, "file_contexts": file_contexts, "positional_zip": positional_zip, "chunked_rows": chunked_rows,
-        "unit_counts_lanes": unit_counts_lanes, "exp_counts_lanes": exp_counts_lanes, "train_benchmark": train_benchmark,
+        "unit_counts_lanes": unit_counts_lanes, "exp_counts_lanes": exp_counts_lanes, "train_benchmark": train_benchmark, "search_tables": search_tables, "apply_tables": apply_tables,
+        "compare_planes": compare_planes, "set_rows": set_rows,
         "coded_keys": coded_keys, "decoded_keys": decoded_keys, "sold_filters": sold_filters, "sold_sparsity": sold_sparsity, "sold_records": sold_records,
     }
 

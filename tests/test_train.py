@@ -301,7 +301,7 @@ def test_every_oracle_agrees_on_the_smallest_tables(spark, sf):
     for name in os.listdir(sf):
         con.sql(f"create view {name.removesuffix('.parquet')} as select * from read_parquet('{sf}/{name}')")
     sql, made = queries.oracle_sql(), queries.queries()
-    for name in ("word_bits", "encode_bytes", "bitslice_add", "unit_counts_labels", "exp_candidates", "update_filters", "layer_accuracy", "dense_weights", "stream_contexts", "wide_windows", "file_contexts", "positional_zip", "chunked_rows", "unit_counts_lanes", "exp_counts_lanes", "coded_keys", "decoded_keys", "sold_filters", "sold_sparsity", "sold_records"):
+    for name in ("word_bits", "encode_bytes", "bitslice_add", "unit_counts_labels", "exp_candidates", "update_filters", "layer_accuracy", "dense_weights", "stream_contexts", "wide_windows", "file_contexts", "positional_zip", "chunked_rows", "unit_counts_lanes", "exp_counts_lanes", "coded_keys", "decoded_keys", "sold_filters", "sold_sparsity", "sold_records", "compare_planes", "set_rows"):
         df = made[name](spark, sf)
         cols = sorted(df.columns)
         rel = con.sql(sql[name])
