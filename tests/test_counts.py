@@ -271,6 +271,25 @@ def test_search_where_the_counts_are(spark, monkeypatch):
         kernels.search_candidates(table, full)
 
 
+def test_search_over_a_wide_layer(spark):
+    """4,096 inputs and 1,024 outputs: outputs are counted in two blocks, and only candidates reach the driver."""
+    rng = np.random.default_rng(9)
+    m = Model.empty(4096, 1024)
+    for o in range(1024):
+        m.weight[o, rng.choice(4096, 3, replace=False)] = rng.integers(0, 2, 3)
+    m.threshold[:] = 1
+    rows = synthetic_rows(spark, 150, 64, 16)
+    got_i, got_s = kernels.search_candidates(kernels.unit_table(rows, kernels.row_reader(), m, 2, 4), m)
+    pdf = rows.toPandas()
+    bits = lambda c: np.unpackbits(np.stack(pdf[c].to_numpy()).astype(">i8").view(np.uint8), axis=1)
+    some = [0, 511, 512, 1023]
+    part = Model(m.weight[some], m.threshold[some])
+    unit = kernels.unit_block(block(bits("x"), bits("y")[:, some], np.ones(150, np.int64)), part, 2, 4)
+    unit[part.weight >= 0] = 0
+    want_i, want_s = kernels.candidates(part, unit)
+    assert (got_i[some] == want_i).all() and (got_s[some] == want_s).all()
+
+
 def test_sparse_form_lists_empty_filters(spark):
     weights = spark.createDataFrame([(1, 7, 1), (1, 2, 0)], "o int, i int, s int")
     thresholds = spark.createDataFrame([(0, 0), (1, 3)], "o int, threshold int")
